@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, packing, quality_rules, token_count
+from . import exact_dedup, language_id, lm_scoring, ngram_join, packing, quality_rules, token_count
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1,
+        "op4_ngram_jaccard_join": ngram_join.op4,
         "op5_token_counts": token_count.op5,
         "op6_packing": packing.op6,
         "op7_language_id": language_id.op7,
         "op8_quality_rules": quality_rules.op8,
+        "op10_lm_scoring": lm_scoring.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op4_ngram_jaccard_join": ngram_join.SQL}

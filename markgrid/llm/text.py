@@ -97,10 +97,10 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     if n == 0:
         return words
     if n < k:
-        h = np.uint64(n)
-        for w in words:
-            h = mix(np.asarray([h * np.uint64(0x9E3779B97F4A7C15) + w]))[0]
-        return np.asarray([h], np.uint64)
+        h = np.full(1, n, np.uint64)
+        for i in range(n):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[i : i + 1])
+        return h
     h = np.full(n - k + 1, np.uint64(k))
     for i in range(k):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[i : n - k + 1 + i])
