@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, lm_scoring, ngram_join, packing, quality_rules, token_count
+from . import exact_dedup, language_id, lm_scoring, ngram_join, packing, quality_crf, quality_rules, token_count
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_packing": packing.op6,
         "op7_language_id": language_id.op7,
         "op8_quality_rules": quality_rules.op8,
+        "op9_quality_classifier": quality_crf.op9,
         "op10_lm_scoring": lm_scoring.op10,
     }
 
