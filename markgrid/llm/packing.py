@@ -32,29 +32,73 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
-WINDOW, END_ID, MAX_OPEN, KEPT_WORDS = 4096, 2, 512, 400_000
+WINDOW, END_ID, MAX_OPEN, KEPT_WORDS = 4096, 2, 512, 700_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Marks after a word: the tokenizer's pattern always splits them from letters.
+MARKS = ".,;:!?%$&#*|)]"
+
+
 class WordEncoder:
+    """Ids of words. A word of letters with marks behind it is the ids of the letters and of the marks;
+    many words of letters are encoded as one text, as each ends with a piece that ends a word."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {"": b""}
+        self.plain: dict[str, bytes] = {"": b""}
+
+    def each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def letters(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cut = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(cut) != len(words):
+            return self.each(words)
+        raw, start = ids.tobytes(), 0
+        out = []
+        for end in cut.tolist():
+            out.append(raw[start:end])
+            start = end
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        parts, odd, stems, tails = [], [], set(), set()
+        for w in new:
+            low = w.lower()
+            stem = low.rstrip(MARKS)
+            if (stem and not stem.isalpha()) or "\u03a3" in w:  # its lower case depends on its place
+                odd.append(w)
+            else:
+                tail = low[len(stem) :]
+                parts.append((w, stem, tail))
+                stems.add(stem)
+                tails.add(tail)
+        plain = self.plain
+        for some, encode in ((stems, self.letters), (tails, self.each)):
+            some = [x for x in some if x not in plain]
+            for at in range(0, len(some), 5_000):
+                plain.update(zip(some[at : at + 5_000], encode(some[at : at + 5_000])))
+        self.kept.update({w: plain[stem] + plain[tail] for w, stem, tail in parts})
+        for at in range(0, len(odd), 5_000):
+            self.kept.update(zip(odd[at : at + 5_000], self.each(odd[at : at + 5_000])))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         words = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        for held in (self.kept, self.plain):
+            if len(held) > KEPT_WORDS:
+                held.clear()
+                held[""] = b""
         kept = self.kept
-        if len(kept) > KEPT_WORDS:
-            kept.clear()
-            kept[""] = b""
-        new = list({w for ws in words for w in ws if w not in kept})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                kept[w] = np.array(e.ids, "<u4").tobytes()
+        self.learn(list(set().union(*words).difference(kept)))
         return [b"".join([kept[w] for w in ws]) for ws in words]
 
 
