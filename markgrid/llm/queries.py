@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, lm_scoring, ngram_join, packing, quality_crf, quality_rules, token_count
+from . import exact_dedup, html_extract, language_id, lm_scoring, mixing, ngram_join, packing, quality_crf, quality_rules, token_count
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1,
+        "op2_html_extract": html_extract.op2,
+        "op3_mixing": mixing.op3,
         "op4_ngram_jaccard_join": ngram_join.op4,
         "op5_token_counts": token_count.op5,
         "op6_packing": packing.op6,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op4_ngram_jaccard_join": ngram_join.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op3_mixing": mixing.SQL, "op4_ngram_jaccard_join": ngram_join.SQL}
