@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import answers
+
+FAMILIES = (answers,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for family in FAMILIES for name, f in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}

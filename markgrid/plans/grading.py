@@ -24,17 +24,25 @@ def question_rows(marks: DataFrame, by: tuple[str, ...] = ("sheet", "q")) -> Dat
     return marks.groupBy(*by).agg(*[F.max(F.when(F.col("rank") == r, F.col("dark"))).alias(f"d{r}") for r in RANKS]).select(*by, *[(F.col(f"d{r}") / F.lit(float(MASK))).alias(f"f{r}") for r in RANKS])
 
 
-def with_spine(rows: DataFrame, questions: int) -> DataFrame:
-    """A row for each question 1..questions of each sheet; questions without bubbles have null fills.
-    A sheet has at most `questions` rows, so its map is small; no join is needed."""
-    value = F.struct(*[f"f{r}" for r in RANKS])
-    sheets = rows.where(F.col("q").between(1, questions)).groupBy("sheet").agg(F.map_from_entries(F.collect_list(F.struct("q", value.alias("v")))).alias("m"))
-    sheets = sheets.select("sheet", "m", F.explode(F.sequence(F.lit(1), F.lit(questions))).alias("q"))
-    return sheets.select("sheet", "q", F.try_element_at("m", F.col("q")).alias("v")).select("sheet", "q", *[F.col(f"v.f{r}").alias(f"f{r}") for r in RANKS])
+def with_spine(answers: DataFrame, questions: int, blank: dict) -> DataFrame:
+    """A row for each question 1..questions of each sheet; blank has the values of questions that
+    answers lacks. A sheet has at most `questions` rows, so its map is small; no join is needed."""
+    names = [c for c in answers.columns if c not in ("sheet", "q")]
+    sheets = answers.where(F.col("q").between(1, questions)).groupBy("sheet").agg(F.map_from_entries(F.collect_list(F.struct("q", F.struct(*names).alias("v")))).alias("m"))
+    sheets = sheets.select("sheet", "m", F.explode(F.sequence(F.lit(1), F.lit(questions))).alias("q")).select("sheet", "q", F.try_element_at("m", F.col("q")).alias("v"))
+    return sheets.select("sheet", "q", *[F.when(F.col("v").isNull(), F.lit(blank[c])).otherwise(F.col(f"v.{c}")).alias(c) for c in names])
+
+
+def named(letter: str, n: int = len(RANKS)) -> list[Column]:
+    return [F.col(f"{letter}{r}") for r in range(n)]
 
 
 def fills() -> list[Column]:
-    return [F.col(f"f{r}") for r in RANKS]
+    return named("f")
+
+
+def numbered(letter: str, values: list[Column]) -> dict[str, Column]:
+    return {f"{letter}{r}": v for r, v in enumerate(values)}
 
 
 def count(flags: list[Column]) -> Column:
@@ -53,6 +61,10 @@ def arg_max(values: list[Column], flags: list[Column] | None = None) -> Column:
     return F.coalesce(*[F.when(v == top, F.lit(LETTERS[r])) for r, v in enumerate(values)])
 
 
+def first_rank(flags: list[Column]) -> Column:
+    return F.coalesce(*[F.when(f, F.lit(r)) for r, f in enumerate(flags)])
+
+
 def second(values: list[Column]) -> Column:
     """The second largest of the non-null values (equal to the largest on ties); null with fewer than two."""
     return F.get(F.sort_array(F.array_compact(F.array(*values)), asc=False), 1)
@@ -78,30 +90,36 @@ class TemplateDriven:
     high: float = 0.55
     relative: float = 0.65
 
-    def statuses(self) -> tuple[list[Column], list[Column], list[Column]]:
-        """Per rank: is filled, is ambiguous, confidence."""
+    def statuses(self, rows: DataFrame) -> DataFrame:
+        """rows with, per rank, filled and ambiguous flags s0.., b0.. and confidence c0... Steps are
+        separate projections, so that no expression repeats another's tree."""
         centre, half, tiny = (self.low + self.high) / 2, (self.high - self.low) / 2, 1e-6
-        fs = [f.cast("float").cast("double") for f in fills()]
-        top = F.greatest(*fs)
-        dark = [f > self.filled for f in fs]
-        weak = [d & (f < F.lit(self.relative) * top) for f, d in zip(fs, dark)]
-        band = [~d & (f >= self.low) & (f <= self.high) for f, d in zip(fs, dark)]
+        rows = rows.withColumns({f"g{r}": f.cast("float").cast("double") for r, f in enumerate(fills())})
+        fs = named("g")
+        rows = rows.withColumn("top", F.greatest(*fs))
+        rows = rows.withColumns(
+            {f"k{r}": F.when((f > self.filled) & (f < F.lit(self.relative) * F.col("top")), 1).when(f > self.filled, 3).when((f >= self.low) & (f <= self.high), 2).when(f.isNotNull(), 0) for r, f in enumerate(fs)}
+        )  # 0: pale, 1: dark but weak beside the darkest, 2: in the band, 3: filled
         conf = [
-            F.when(w, clip(1 - f, 0.0, 1.0))
-            .when(d, clip((f - self.filled) / (1 - self.filled + tiny) + 0.5, 0.5, 1.0))
-            .when(b, clip(1 - F.abs(f - F.lit(centre)) / F.lit(half + tiny), 0.0, 1.0))
-            .when(f.isNotNull(), clip(1 - f / F.lit(self.low + tiny), 0.0, 1.0))
-            for f, d, w, b in zip(fs, dark, weak, band)
+            F.when(k == 1, clip(1 - f, 0.0, 1.0))
+            .when(k == 3, clip((f - self.filled) / (1 - self.filled + tiny) + 0.5, 0.5, 1.0))
+            .when(k == 2, clip(1 - F.abs(f - F.lit(centre)) / F.lit(half + tiny), 0.0, 1.0))
+            .when(k == 0, clip(1 - f / F.lit(self.low + tiny), 0.0, 1.0))
+            for f, k in zip(fs, named("k"))
         ]
-        return [d & ~w for d, w in zip(dark, weak)], band, conf
+        return rows.withColumns({f"s{r}": F.coalesce(k == 3, F.lit(False)) for r, k in enumerate(named("k"))} | {f"b{r}": F.coalesce(k == 2, F.lit(False)) for r, k in enumerate(named("k"))} | {f"c{r}": c for r, c in enumerate(conf)})
+
+    blank = {"choice": None, "note": "blank", "all_filled": "", "fill": 0.0, "confidence": 0.0}
 
     def grade(self, rows: DataFrame) -> DataFrame:
-        filled, band, conf = self.statuses()
-        n, m = count(filled), count(band)
-        choice = F.when(n > 0, arg_max(fills(), filled)).when(m == 1, arg_max(fills(), band))
+        rows = self.statuses(rows).withColumns({"n": count(named("s")), "m": count(named("b"))})
+        n, m, filled, band = F.col("n"), F.col("m"), named("s"), named("b")
+        rows = rows.withColumn("best", F.greatest(*[F.when(s | ((n == 0) & b), f) for f, s, b in zip(fills(), filled, band)]))
+        best = F.coalesce(*[F.when((s | ((n == 0) & b)) & (f == F.col("best")), F.lit(LETTERS[r])) for r, (f, s, b) in enumerate(zip(fills(), filled, band))])
+        choice = F.when((n > 0) | (m == 1), best)
         note = F.when(n > 1, "double_mark").when(n == 1, "ok").when(m == 1, "ambiguous").otherwise("blank")
         marked = F.when(n > 0, letters(filled)).when(m == 1, letters(band)).otherwise("")
-        return rows.select("sheet", "q", choice.alias("choice"), note.alias("note"), marked.alias("all_filled"), nano_mean(fills()).alias("fill"), nano_mean(conf).alias("confidence"))
+        return rows.select("sheet", "q", choice.alias("choice"), note.alias("note"), marked.alias("all_filled"), nano_mean(fills()).alias("fill"), nano_mean(named("c")).alias("confidence"))
 
 
 @dataclass(frozen=True)
@@ -112,6 +130,8 @@ class BinaryFallback:
     half: float = 0.175
     relative: float = 0.65
 
+    blank = {"choice": None, "note": "no_circles", "all_filled": ""}
+
     def grade(self, rows: DataFrame) -> DataFrame:
         fs = fills()
         top = F.greatest(*fs)
@@ -136,43 +156,35 @@ class Tiered:
     double: float = 0.70
     close: float = 0.85
 
+    blank = {"choice": None, "note": "no_circles", "tier": "none", "all_filled": ""}
+
     def grade(self, rows: DataFrame) -> DataFrame:
-        raw = [f for f in fills()[: self.choices]]
-        adj = [f - F.least(*raw) for f in raw] if self.background else raw
-        average, top = mean(adj), F.greatest(*adj)
-        sure = [a >= self.filled for a in adj]
-        primary = F.greatest(*[F.when(s, a) for s, a in zip(sure, adj)])
-        if self.background:  # weaker sure hits are bleeding ink
-            sure = [s & (a >= primary * self.double) for s, a in zip(sure, adj)]
-        rel = [(a >= average + self.margin) & (a >= self.signal) for a in adj]
-        extra = [r & ~s & (a >= primary * self.double) for r, s, a in zip(rel, sure, adj)]
-        n_sure, n_rel = count(sure), count(rel)
+        k, no = self.choices, F.lit(False)
+        raw, adj, sure, rel, extra, pick, ok = (named(x, k) for x in "fasrepo")
+        low = F.least(*raw)
+        rows = rows.withColumns(numbered("a", [f - low for f in raw] if self.background else raw))
+        rows = rows.withColumns({"average": mean(adj), "top": F.greatest(*adj), "after": second(adj), "primary": F.greatest(*[F.when(a >= self.filled, a) for a in adj])})
+        average, top, after, primary = map(F.col, ("average", "top", "after", "primary"))
+        bound = F.greatest(F.lit(self.filled), primary * self.double) if self.background else F.lit(self.filled)  # with background, weaker sure hits are bleeding ink
+        rows = rows.withColumns(numbered("s", [F.coalesce(a >= bound, no) & primary.isNotNull() for a in adj]) | numbered("r", [F.coalesce((a >= average + self.margin) & (a >= self.signal), no) for a in adj]))
+        rows = rows.withColumns(numbered("e", [r & ~s & F.coalesce(a >= primary * self.double, no) for r, s, a in zip(rel, sure, adj)]) | {"n_sure": count(sure), "n_rel": count(rel)})
         rel_values = [F.when(r, a) for r, a in zip(rel, adj)]
-        rel_top, rel_second = F.greatest(*rel_values), second(rel_values)
-        near = rel_second >= rel_top * self.close
-        first = lambda values, best: [  # noqa: E731  the first rank with the best value
-            (v == best) & F.coalesce(total([F.coalesce((u == best).cast("int"), F.lit(0)) for u in values[:r]]) == 0 if r else F.lit(True), F.lit(False)) for r, v in enumerate(values)
-        ]
-        lone = first(rel_values, rel_top)
-        after = second(adj)
-        clear = (top >= self.signal) & (after.isNull() | ((after < 1e-6) if self.background else F.lit(False)) | (top >= after * self.dominant))
-        best = first(adj, top)
-        pick = [
-            F.when(n_sure > 0, F.coalesce(s | e, F.lit(False)))
-            .when(n_rel > 1, F.when(near, F.coalesce(r, F.lit(False))).otherwise(F.coalesce(o, F.lit(False))))
-            .when(n_rel == 1, F.coalesce(r, F.lit(False)))
-            .otherwise(F.coalesce(clear & b, F.lit(False)))
-            for s, e, r, o, b in zip(sure, extra, rel, lone, best)
-        ]
-        n = count(pick)
+        rows = rows.withColumns({"rel_top": F.greatest(*rel_values), "rel_second": second(rel_values)})
+        rows = rows.withColumns({"rel_first": first_rank([r & (a == F.col("rel_top")) for r, a in zip(rel, adj)]), "top_first": first_rank([a == top for a in adj])})
+        n_sure, n_rel, near = F.col("n_sure"), F.col("n_rel"), F.col("rel_second") >= F.col("rel_top") * self.close
+        clear = F.coalesce((top >= self.signal) & (after.isNull() | ((after < 1e-6) if self.background else no) | (top >= after * self.dominant)), no)
+        rows = rows.withColumns(
+            numbered("p", [F.when(n_sure > 0, s | e).when((n_rel > 1) & ~near, F.col("rel_first") == i).when(n_rel > 0, r).otherwise(clear & (F.col("top_first") == i)) for i, (s, e, r) in enumerate(zip(sure, extra, rel))])
+        )
+        status = [p & (f > F.lit(self.status)) if self.status is not None else no for p, f in zip(pick, raw)]
+        rows = rows.withColumns({f"p{i}": F.coalesce(F.col(f"p{i}"), no) for i in range(k)}).withColumns(numbered("o", [F.coalesce(x, no) for x in status]) | {"n": count(pick)})
+        rows = rows.withColumn("alone", (F.col("n") > 1) & (count(ok) == 1))
+        rows = rows.withColumns(numbered("p", [F.when(F.col("alone"), o).otherwise(p) for p, o in zip(pick, ok)]))
+        n, alone = F.col("n"), F.col("alone")
         seen = count([f.isNotNull() for f in raw])
         tier = F.when(n == 0, "none").when(n_sure > 0, "absolute").when((n_rel > 0) | F.lit(not self.background), "relative").otherwise("dominant")
-        ok = [p & (f > F.lit(self.status)) for p, f in zip(pick, raw)] if self.status is not None else []
-        alone = (n > 1) & (count(ok) == 1) if ok else F.lit(False)
-        choice = F.when(alone, arg_max(adj, ok)).when(n > 0, arg_max(adj, pick)) if ok else F.when(n > 0, arg_max(adj, pick))
         note = F.when(seen == 0, "no_circles").when(n == 0, "unanswered").when(n == 1, "").when(alone, "yolo_resolved").otherwise("double_mark")
-        marked = F.when(alone, letters(ok)).otherwise(letters(pick)) if ok else letters(pick)
-        return rows.select("sheet", "q", choice.alias("choice"), note.alias("note"), tier.alias("tier"), marked.alias("all_filled"))
+        return rows.select("sheet", "q", arg_max(adj, pick).alias("choice"), note.alias("note"), tier.alias("tier"), letters(pick).alias("all_filled"))
 
 
 @dataclass(frozen=True)
@@ -182,6 +194,8 @@ class Darkest:
     filled: float = 0.42
     soft: float = 0.72
 
+    blank = {"choice": None, "double_mark": False, "low_confidence": False}
+
     def grade(self, rows: DataFrame) -> DataFrame:
         fs = fills()
         hit = [f > self.filled for f in fs]
@@ -191,6 +205,11 @@ class Darkest:
         return rows.select("sheet", "q", choice.alias("choice"), (n > 1).alias("double_mark"), F.coalesce(low, F.lit(False)).alias("low_confidence"))
 
 
+def graded(marks: DataFrame, policy, questions: int) -> DataFrame:
+    """Answers to all questions of all sheets that have a mark."""
+    return with_spine(policy.grade(question_rows(marks)), questions, policy.blank)
+
+
 V3O = TemplateDriven()
 V2 = BinaryFallback()
 S8 = Tiered(background=True, filled=0.35, margin=0.12, signal=0.20, dominant=2.0, status=0.35)
