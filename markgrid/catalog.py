@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import answers
+from .plans import answers, geometry
 
-FAMILIES = (answers,)
+FAMILIES = (answers, geometry)
 
 
 def queries() -> dict:
