@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import answers, geometry
+from .plans import answers, codes, detections, geometry, streams
 
-FAMILIES = (answers, geometry)
+FAMILIES = (answers, geometry, codes, detections, streams)
 
 
 def queries() -> dict:
