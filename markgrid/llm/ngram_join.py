@@ -11,11 +11,15 @@ Two documents link when 100 * |A n B| >= percent * |A u B| over their sets of wo
    (the l-prefix). Each document picks l in 1..L_MAX by the estimated cost of its candidates: the
    postings read, plus the verifications that so many postings can bring about when a candidate
    needs l of them. Two documents must share min(l, l') shingles before verification.
-4. Postings are joined in two steps. First every document meets the smallest document of each of
-   its prefix shingles only, which is linear in the postings, and components are formed. Then
-   pairs from different components meet: copies of one another are together by then, so a large
-   group of near copies is not expanded into its pairs, and no link between components is lost.
-5. Candidates are verified by the full sets of just those documents that have candidates.
+4. Postings are joined in two steps. First every document meets one document of each of its prefix
+   shingles only (the first of HEADS orders, by shingle), which is linear in the postings, and
+   components are formed. Then pairs from different components meet: copies of one another are
+   together by then, so a large group of near copies is not expanded into its pairs, and no link
+   between components is lost.
+5. A pair only leaves a join if its sketches allow a link: a sketch has the parity of the number of
+   elements in each of SKETCH cells, and every element in one set only changes one parity, so sets
+   that differ in more parities than linked sets may differ in elements cannot link. This is exact.
+6. Candidates are verified by the full sets of just those documents that have candidates.
 
 Defined cases: null and empty texts have an empty set and link with nothing; texts of fewer words
 than a shingle are one shingle; rows of a repeated doc_id are one document; rows without doc_id
@@ -34,8 +38,8 @@ from .components import components
 from .shared import remove, table, written
 from .text import chunk_words, chunks, mix, shingles, signed
 
-HOT_LEAST, HOT_LIMIT, ROUNDS, L_MAX, BROADCAST_IDS = 4, 500_000, 2, 8, 1_000_000
-_other = np.uint64(0xD6E8FEB86659FD93)
+HOT_LEAST, HOT_LIMIT, ROUNDS, L_MAX, HEADS, SKETCH, BROADCAST_IDS = 4, 500_000, 2, 8, 4, 512, 1_000_000
+_other, _third = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x8CB92BA72F3D8DD7)
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -56,6 +60,19 @@ def ordered(own: np.ndarray, hot: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return own
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Parities of the elements in each cell, as SKETCH / 64 numbers."""
+    cells = np.bincount((mix(own ^ _third) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.uint64)
+
+
+def may_link(percent: int):
+    """Whether sketches (sketch, sketch2) and sizes (n, m) of two sets allow a link: linked sets differ in
+    (100 - percent) / (100 + percent) of the sum of their sizes at most."""
+    apart = sum((F.bit_count(F.get("sketch", i).bitwiseXOR(F.get("sketch2", i))) for i in range(SKETCH // 64)), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m"))
+
+
 def lists(column: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(x) for x in column])]).astype(np.int32)
     flat = signed(np.concatenate(column)) if column else np.zeros(0, np.int64)
@@ -67,7 +84,7 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.ndarray] | None, extra: int) -> DataFrame:
-    """doc_id, n, a fingerprint of the set (f, g), and the first shingles in the global order."""
+    """doc_id, n, a fingerprint of the set (f, g), its sketch, and the first shingles in the global order."""
     shared = docs.sparkSession.sparkContext.broadcast(hot) if hot else None
 
     def run(batches):
@@ -76,9 +93,9 @@ def prefixes(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.nd
             sets = [shingle_set(w, k) for w in chunk_words(some)]
             cut = [ordered(s, demoted, weight)[: prefix_size(len(s), percent) + extra] if len(s) else s for s in sets]
             f, g = (signed(np.array([mix(s ^ x).sum(dtype=np.uint64) for s in sets], np.uint64)) for x in (np.uint64(0), _other))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f), pa.array(g), lists(cut)], ["doc_id", "n", "f", "g", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f), pa.array(g), lists([sketch(s) for s in sets]), lists(cut)], ["doc_id", "n", "f", "g", "sketch", "prefix"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, f long, g long, prefix array<long>")
+    return texts(docs).mapInArrow(run, "doc_id long, n long, f long, g long, sketch array<long>, prefix array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -160,10 +177,13 @@ def near_classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     own = written(postings.join(lengths, "doc_id").where("l_rank <= l").select("token", "doc_id", "n", "l"), "own-postings")
     remove(spark, postings, lengths)
 
-    # step one: each document and the smallest document of each of its shingles
-    first = written(own.groupBy("token").agg(F.min(F.struct("doc_id", "n", "l")).alias("head"), F.count("*").alias("df")).where("df > 1"), "heads")
-    met = own.join(first.select("token", F.col("head.doc_id").alias("b"), F.col("head.n").alias("m"), F.col("head.l").alias("l2")), "token")
-    star = written(enough(met.where("doc_id <> b").where(similar_sizes(percent))), "star")
+    # step one: each document and the first document of each of its shingles
+    sketches = written(rows.join(own.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch2")), "sketches")
+    place = F.xxhash64("doc_id", F.pmod(F.col("token"), F.lit(HEADS)))
+    first = written(own.groupBy("token").agg(F.min(F.struct(place.alias("place"), "doc_id", "n")).alias("head"), F.count("*").alias("df")).where("df > 1"), "heads")
+    met = own.join(first.select("token", F.col("head.doc_id").alias("b"), F.col("head.n").alias("m")), "token").where("doc_id <> b").where(similar_sizes(percent))
+    met = met.select("doc_id", "n", "b", "m").distinct().join(sketches, "b").join(sketches.select(F.col("b").alias("doc_id"), F.col("sketch2").alias("sketch")), "doc_id")
+    star = written(met.where(may_link(percent)).select(F.col("doc_id").alias("a"), "b"), "star")
     star_sets = candidates(docs, star, k)
     links = written(verified(star, star_sets, percent), "links")
     inside = written(components(links), "inside")
@@ -173,9 +193,10 @@ def near_classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     placed = written(placed, "placed")
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     mixed = written(mixed, "mixed")
-    left = written(placed.join(mixed, "token", "left_semi"), "open-postings")
-    right = left.select(F.col("token").alias("token2"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("l").alias("l2"), F.col("c").alias("c2"))
-    cross = left.join(right, (F.col("token") == F.col("token2")) & (F.col("doc_id") > F.col("b")) & (F.col("c") != F.col("c2")) & similar_sizes(percent))
+    left = placed.join(mixed, "token", "left_semi").join(sketches.select(F.col("b").alias("doc_id"), F.col("sketch2").alias("sketch")), "doc_id")
+    left = written(left, "open-postings")
+    right = left.select(F.col("token").alias("token2"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("l").alias("l2"), F.col("c").alias("c2"), F.col("sketch").alias("sketch2"))
+    cross = left.join(right, (F.col("token") == F.col("token2")) & (F.col("doc_id") > F.col("b")) & (F.col("c") != F.col("c2")) & similar_sizes(percent) & may_link(percent))
     cross = written(enough(cross).join(star, ["a", "b"], "left_anti"), "cross")
     more = written(verified(cross, candidates(docs, cross, k), percent), "more-links")
     found = components(links.unionByName(more))
