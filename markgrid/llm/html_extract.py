@@ -9,10 +9,11 @@ on one side only become optional, differing texts become slots. Wrappers merge w
 same rule, so each task folds its own pages and the partial wrappers of a host meet in two rounds.
 No page is left out, and a wrapper's size follows the host's variety of markup, not its pages.
 
-The wrapper then says which groups are the article: those inside article or main elements; without
-them, the group that holds most slot text outside links; never groups whose element or class names
-a menu, header, footer, sidebar, notice, advert, form or reader comments; and where no element
-names the article, no text that is the same on all of at least FIXED_PAGES pages.
+The wrapper then says which groups are the article: article elements, or main elements without an
+article; for pages of the host that have neither, the group that holds most slot text outside
+links; never groups whose element or class names a menu, header, footer, sidebar, notice, advert,
+form or reader comments; and where no element names the article, no text that is the same on all of
+at least FIXED_PAGES pages.
 
 Defined cases: null html gives empty text, a null url is the host ''; pages without article text
 give ''; broken markup is closed at the end, text after an unclosed '<' is markup; nesting beyond
@@ -215,18 +216,19 @@ def drops(sig: str) -> bool:
 
 
 def mass(node: list) -> int:
-    """Characters of slot text outside links and dropped groups."""
+    """Characters of slot text outside links, dropped groups and elements that name the article."""
     if node[0] == "#":
         return 0 if node[4] or (node[1] is not None and node[3] >= FIXED_PAGES) else node[2]
-    return 0 if drops(node[0]) else sum(map(mass, node[1]))
+    return 0 if drops(node[0]) or named(node[0])[0] in ("article", "main") else sum(map(mass, node[1]))
 
 
-def main_groups(node: list, tags: tuple[str, ...]) -> list:
+def main_groups(node: list) -> list:
+    """Article elements with text, and main elements that have no such article inside."""
     if node[0] == "#" or drops(node[0]):
         return []
-    if named(node[0])[0] in tags:
-        return [node] if mass_any(node) else []
-    return [g for c in node[1] for g in main_groups(c, tags)]
+    name = named(node[0])[0]
+    inner = [g for c in node[1] for g in main_groups(c)] if name != "article" else []
+    return inner or ([node] if name in ("article", "main") and mass_any(node) else [])
 
 
 def mass_any(node: list) -> int:
@@ -245,13 +247,17 @@ def densest(node: list) -> list:
         node = inner[0]
 
 
-def decide(wrapper: list) -> list:
-    """The wrapper as [signature, children, keep]; keep of texts: whether they are article text."""
-    chosen = main_groups(wrapper, ("article",)) or main_groups(wrapper, ("main",))
-    fixed = not chosen
-    if not chosen:
-        by_name = [g for g in _walk(wrapper) if named(g[0])[1] & MAIN_NAMES and mass(g) >= 0.5 * max(1, mass(wrapper))]
-        chosen = [densest(by_name[-1] if by_name else wrapper)]
+def decide(wrapper: list) -> tuple[list, list]:
+    """Two readings of the wrapper, as [signature, children, keep]: by elements that name the article, and by mass."""
+    return kept(wrapper, main_groups(wrapper), False), kept(wrapper, heaviest(wrapper), True)
+
+
+def heaviest(wrapper: list) -> list:
+    by_name = [g for g in _walk(wrapper) if named(g[0])[1] & MAIN_NAMES and mass(g) >= 0.5 * max(1, mass(wrapper))]
+    return [densest(by_name[-1] if by_name else wrapper)]
+
+
+def kept(wrapper: list, chosen: list, fixed: bool) -> list:
     ids = {id(g) for g in chosen}
 
     def build(node: list, inside: bool) -> list:
@@ -263,6 +269,10 @@ def decide(wrapper: list) -> list:
     return build(wrapper, False)
 
 
+def names_article(page: list) -> bool:
+    return any(c[0] != "#" and (named(c[0])[0] in ("article", "main") or names_article(c)) for c in page[1])
+
+
 def _walk(node: list):
     if node[0] != "#" and not drops(node[0]):
         yield node
@@ -270,8 +280,9 @@ def _walk(node: list):
             yield from _walk(c)
 
 
-def extract(page: list, rule: list) -> str:
+def extract(page: list, rules: tuple[list, list]) -> str:
     """The page's text that the wrapper's decisions call article text."""
+    rule = rules[0] if names_article(page) else rules[1]
     out: list[str] = []
 
     def match(children: list, rules: list, inside: bool) -> None:
