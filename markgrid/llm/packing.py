@@ -20,6 +20,9 @@ sequence_id is partition * 2^40 + number, the same when a task is run again.
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
 from collections import deque
 from functools import lru_cache
@@ -38,6 +41,15 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 #: Marks after a word: the tokenizer's pattern always splits them from letters.
 MARKS = ".,;:!?%$&#*|)]"
+#: Characters whose lower case may depend on the library or on their place.
+_far = re.compile("[^\\x00-\\u012f\\u0132-\\u024f]")
+
+
+def split(text: str) -> list[str]:
+    """Words between white space; the tokenizer takes the four separators 1C to 1F for ordinary marks."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    return text.split()
 
 
 class WordEncoder:
@@ -48,6 +60,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())  # the same pieces for text that is normal already and split at spaces
+        spec["normalizer"] = None
+        spec["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        self.plain_tokenizer = Tokenizer.from_str(json.dumps(spec))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(1 + max(vocabulary.values()), bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -58,7 +74,7 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def letters(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.plain_tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cut = 4 * (np.flatnonzero(self.ends[ids]) + 1)
         if len(cut) != len(words):
             return self.each(words)
@@ -74,7 +90,7 @@ class WordEncoder:
         for w in new:
             low = w.lower()
             stem = low.rstrip(MARKS)
-            if (stem and not stem.isalpha()) or "\u03a3" in w:  # its lower case depends on its place
+            if (stem and not stem.isalpha()) or not (w.isascii() or (not _far.search(w) and unicodedata.is_normalized("NFC", stem))):
                 odd.append(w)
             else:
                 tail = low[len(stem) :]
@@ -92,14 +108,19 @@ class WordEncoder:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        words = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        words = [split(t) if t else [] for t in texts]
         for held in (self.kept, self.plain):
             if len(held) > KEPT_WORDS:
                 held.clear()
                 held[""] = b""
-        kept = self.kept
-        self.learn(list(set().union(*words).difference(kept)))
-        return [b"".join([kept[w] for w in ws]) for ws in words]
+        get = self.kept.get
+        found = [list(map(get, ws)) for ws in words]
+        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
+        self.learn(list({ws[i] for ws, at in zip(words, gaps) for i in at}))
+        for ws, ids, at in zip(words, found, gaps):
+            for i in at:
+                ids[i] = get(ws[i])
+        return list(map(b"".join, found))
 
 
 @lru_cache(maxsize=2)
