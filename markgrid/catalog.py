@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import answers, codes, detections, geometry, streams
+from .plans import answers, codes, detections, geometry, sheets, streams
 
-FAMILIES = (answers, geometry, codes, detections, streams)
+FAMILIES = (answers, geometry, codes, detections, streams, sheets)
 
 
 def queries() -> dict:

@@ -134,7 +134,7 @@ def union_detections(spark, d):
 def anchor_candidates_top12(spark, d):
     """The 12 largest marks of each page that pass the anchor filter (size and squareness)."""
     side = F.least(F.col("cx"), F.col("cy"))
-    c = circles(spark, d).select((F.col("sheet") % 100).alias("page"), "cx", "cy", (F.col("dark") * F.col("r")).alias("area")).where((F.col("area") > 81) & (F.col("area") < 12656)).where(side / F.greatest("cx", "cy") >= 0.65).distinct()
+    c = circles(spark, d).select((F.col("sheet") % 100).alias("page"), "cx", "cy", (F.col("dark") * F.col("r")).alias("area")).where((F.col("area") > 81) & (F.col("area") < 12656)).where(side / F.nullif(F.greatest("cx", "cy"), F.lit(0)) >= 0.65).distinct()
     return geo.rank_within(c, ["page"], [F.desc("area"), F.asc("cx"), F.asc("cy")], "place").where("place < 12")
 
 
@@ -197,7 +197,7 @@ SELECT e.sheet, e.corner, coalesce(cx, px) AS x, coalesce(cy, py) AS y, cx IS NO
 SELECT a.page, cx, cy, max(conf) AS conf, count(*) AS boxes FROM a JOIN b ON a.page = b.page AND (cx - ox) * (cx - ox) + (cy - oy) * (cy - oy) <= 400 GROUP BY ALL""",
     "union_detections": f"""WITH {_C}, u AS (SELECT sheet % 500 AS page, 'circle' AS kind, r, NULL::INT AS conf FROM c WHERE dark >= 48 UNION ALL SELECT sheet % 500, 'box', NULL, fill FROM c WHERE dark <= 3)
 SELECT page, kind, count(*) AS n, count(r) AS with_radius, max(conf) AS conf FROM u GROUP BY ALL""",
-    "anchor_candidates_top12": f"""WITH {_C}, a AS (SELECT DISTINCT sheet % 100 AS page, cx, cy, dark * r AS area FROM c WHERE dark * r > 81 AND dark * r < 12656 AND least(cx, cy)::DOUBLE / greatest(cx, cy) >= 0.65::DOUBLE),
+    "anchor_candidates_top12": f"""WITH {_C}, a AS (SELECT DISTINCT sheet % 100 AS page, cx, cy, dark * r AS area FROM c WHERE dark * r > 81 AND dark * r < 12656 AND least(cx, cy)::DOUBLE / nullif(greatest(cx, cy), 0) >= 0.65::DOUBLE),
 k AS (SELECT *, (row_number() OVER (PARTITION BY page ORDER BY area DESC, cx, cy) - 1)::INT AS place FROM a) SELECT * FROM k WHERE place < 12""",
     "corner_order": "WITH " + _C + ", " + ", ".join(f"{n} AS (SELECT sheet, cx AS {n}_x, cy AS {n}_y FROM (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY {k}, cx, cy) AS k FROM c) WHERE k = 1)" for n, k in (("tl", "cx + cy"), ("tr", "cy - cx"), ("br", "-(cx + cy)"), ("bl", "cx - cy"))) + " SELECT * FROM tl JOIN tr USING (sheet) JOIN br USING (sheet) JOIN bl USING (sheet)",
 }

@@ -1,0 +1,41 @@
+"""Round trip over pixels: sheets drawn from the mark table, measured by the kernels, graded, and
+compared with the answers of the marks themselves."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..operators import kernels
+from ..sources import templates as t
+from ..sources.marks import MASK, dense_marks
+from . import grading as g
+
+TEMPLATE = "Q10_5ch"
+
+
+def drawn(spark, d):
+    """sheet, template_id, gray: one in a hundred orders as a drawn page, with its marks in its bubbles."""
+    marks = dense_marks(spark, d).where("sheet % 100 = 0 AND q <= 10").groupBy("sheet", "q", "rank").agg(F.max("dark").alias("dark"))
+    cells = F.broadcast(t.grid(t.templates(spark).where(F.col("template_id") == TEMPLATE)).select("q", F.col("choice_rank").alias("rank"), "cx", "cy", "r"))
+    places = marks.join(cells, ["q", "rank"]).groupBy("sheet").agg(*[F.collect_list(c).alias(c) for c in ("cx", "cy", "dark")], F.first("r").alias("r"))
+
+    def run(batches):
+        for pdf in batches:
+            for s in pdf.itertuples():
+                page = kernels.render(np.asarray(s.cx), np.asarray(s.cy), int(s.r), np.asarray(s.dark) / MASK, seed=int(s.sheet), shade=0.2, noise=2.0)
+                yield pd.DataFrame({"sheet": [s.sheet], "template_id": [TEMPLATE], "gray": [page.tobytes()]})
+
+    return places.mapInPandas(run, "sheet long, template_id string, gray binary")
+
+
+def render_roundtrip(spark, d):
+    """sheet, q, choice and note as read from the drawn pages."""
+    bubbles = kernels.measured(drawn(spark, d), t.grid(t.templates(spark)))
+    share = bubbles.select("sheet", "q", "rank", F.round(F.col("dark") * MASK / F.col("mask")).cast("int").alias("dark"))
+    return g.graded(share, g.V3O, 10).select("sheet", "q", "choice", "note")
+
+
+QUERIES = {"render_roundtrip": render_roundtrip}
+ORACLES: dict[str, str] = {}
