@@ -36,3 +36,35 @@ def test_warp_undoes_a_perspective():
     dark, mask = kernels.dark_pixels(kernels.even_light(back), np.array([200, 500]), np.array([300, 700]), 11)
     assert dark[0] / mask > 0.7 > 0.35 > dark[1] / mask
     assert 0 < kernels.sharpness(page) <= 1 and kernels.sharpness(np.full((9, 9), 7, np.uint8)) == 0
+
+
+def darkness_model():
+    """Scores by the mean darkness of the middle of a crop."""
+
+    def predict(images):
+        dark = 1 - images[:, 12:20, 12:20].mean(axis=(1, 2))
+        return np.stack([1 - 4 * dark, 4 * dark - 1, 0 * dark], axis=1).astype(np.float32)
+
+    return predict
+
+
+def test_model_path(spark, sf_dir):
+    from markgrid.operators import classify
+    from markgrid.sources import templates as t
+
+    pages = sheets.drawn(spark, sf_dir).limit(3).persist()
+    cells = t.grid(t.templates(spark))
+    scored = classify.with_scores(classify.crops(pages, cells), darkness_model)
+    fills = kernels.measured(pages, cells).selectExpr("sheet", "q", "rank", "dark / mask AS fill")
+    out = classify.decided(scored.join(fills, ["sheet", "q", "rank"])).select("fill", "status", "confidence").toPandas()
+    assert len(out) == 50 * pages.count()
+    assert set(out[out.fill > 0.5].status) == {"filled"} and set(out[out.fill < 0.02].status) == {"empty"}
+    assert out.confidence.between(0.33, 1).all()
+    pages.unpersist()
+
+
+def test_decision_on_unsure_crops(spark):
+    from markgrid.operators import classify
+
+    rows = spark.createDataFrame([([0.0, 0.0, 3.0], 0.5), ([0.0, 0.0, 3.0], 0.1), ([0.0, 0.0, 3.0], 0.25), ([0.0, 2.0, 0.0], 0.0)], "scores array<float>, fill double")
+    assert [r.status for r in classify.decided(rows).collect()] == ["filled", "empty", "ambiguous", "filled"]
