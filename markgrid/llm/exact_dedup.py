@@ -50,7 +50,8 @@ class DigestIndex:
 
     def admit(self, rows: DataFrame) -> None:
         """Appends the winners of rows (digest, doc_id, n) whose digest the index lacks."""
-        winners = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+        # written, as the optimizer would else move the anti-join below the aggregation, to all rows of a group
+        winners = written(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "winners")
         fresh = winners.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         (
             fresh.repartition(self.buckets, "digest")
