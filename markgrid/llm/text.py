@@ -107,7 +107,7 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = 3 << 18) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Runs of rows whose texts have about size bytes together (a longer text comes alone), with
     their texts as bytes; a null text is empty."""
     for batch in batches:
