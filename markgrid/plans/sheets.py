@@ -16,8 +16,8 @@ TEMPLATE = "Q10_5ch"
 
 
 def drawn(spark, d):
-    """sheet, template_id, gray: one in a hundred orders as a drawn page, with its marks in its bubbles."""
-    marks = dense_marks(spark, d).where("sheet % 100 = 0 AND q <= 10").groupBy("sheet", "q", "rank").agg(F.max("dark").alias("dark"))
+    """sheet, template_id, gray: each order with marks in the template as a drawn page, with its marks in its bubbles."""
+    marks = dense_marks(spark, d).where("q <= 10").groupBy("sheet", "q", "rank").agg(F.max("dark").alias("dark"))
     cells = F.broadcast(t.grid(t.templates(spark).where(F.col("template_id") == TEMPLATE)).select("q", F.col("choice_rank").alias("rank"), "cx", "cy", "r"))
     places = marks.join(cells, ["q", "rank"]).groupBy("sheet").agg(*[F.collect_list(c).alias(c) for c in ("cx", "cy", "dark")], F.first("r").alias("r"))
 

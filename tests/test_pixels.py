@@ -16,6 +16,14 @@ def test_round_trip_recovers_clear_marks(spark, sf_dir):
     assert blank and all(got[r.sheet, r.q].choice is None for r in blank)
 
 
+def test_round_trip_reads_every_sheet(spark, sf_dir):
+    got = {(r.sheet, r.q): r for r in sheets.render_roundtrip(spark, sf_dir).collect()}
+    want = g.graded(dense_marks(spark, sf_dir), g.V3O, 10).collect()
+    assert {(r.sheet, r.q) for r in want} == set(got)
+    clear = [r for r in want if r.note == "ok" and r.fill > 0.4]
+    assert len({r.sheet for r in clear}) > 1000 and all(got[r.sheet, r.q].choice == r.choice for r in clear)
+
+
 def test_png_scan_with_dead_letters(spark, tmp_path):
     gray = np.random.default_rng(0).integers(0, 256, (20, 30)).astype(np.uint8)
     (tmp_path / "a.png").write_bytes(images.encode_png(gray))
