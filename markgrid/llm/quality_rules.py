@@ -1,17 +1,20 @@
 """Operator 8: quality rules with risk-controlled thresholds.
 
-Per text, line and word statistics; from them, rules of the form "reject if statistic > cutoff".
-The cutoffs are learnt from labelled rows used only for that (holdouts: no rule is fitted to
-them beforehand). For each stratum (language) and rule, cutoffs are tested from the loosest to
-the strictest: the null hypothesis "more than ALPHA of the good documents are rejected" is tested
-with the exact binomial upper bound (Clopper-Pearson). A rule's tests stop at the first that fails
-(fixed-sequence testing, no correction within a rule); over rules and strata the level is divided
-by their number (Bonferroni), and ALPHA is divided over the rules of a stratum. With probability
-1 - DELTA, all strata at once, at most ALPHA of the good documents are rejected by the rules. Of
-the certified cutoffs the loosest is taken that still rejects ENOUGH of the bad documents that the
-strictest would. A stratum with too few labels gets no cutoff, so its documents are kept.
-
-What the labels give is counted by Spark on a fixed grid of cutoffs: strata x rules x grid rows.
+Per text, line and word statistics; four of them, as shares of limits that are usual for web text
+(LIMITS, fixed beforehand, not learnt), are on one scale, and the largest is the text's score.
+
+The rule of a stratum (language) is "reject if the score is over a cutoff", learnt from labelled
+rows used only for that (holdouts: no rule is fitted to them beforehand). Cutoffs are tested from the loosest to the strictest: the null hypothesis "more than ALPHA
+of the good documents are rejected" is tested with the exact binomial upper bound (Clopper-Pearson).
+Tests stop at the first that fails (fixed-sequence testing, no correction within a stratum); over
+strata the level is divided by their number (Bonferroni); with one score, ALPHA is not divided. With
+probability 1 - DELTA, all strata at once, at most ALPHA of the good documents are rejected by the
+rule. Of the certified cutoffs the loosest is taken that still rejects ENOUGH of the bad documents
+that the strictest would. With four strata 144 good labels that pass the base rule are enough; a
+stratum with fewer gets no cutoff, as no number of rejections could be certified, and its documents
+are kept.
+
+What the labels give is counted by Spark on a fixed grid of cutoffs: strata x grid rows.
 
 Defined cases: null and empty texts have zeros everywhere and fail the base rule; a null language
 is a stratum of its own; labels that are null or of repeated documents count as given, each row;
@@ -33,6 +36,8 @@ from .text import SPACE, chunk_words, chunks, shingles
 ALPHA, DELTA, GRID, ENOUGH = 0.03, 0.05, 100, 0.95
 #: Share of the text that each rule looks at, in 0..1; higher is worse.
 RULES = ("marks", "shouting", "duplicate_lines", "repeated_words")
+#: A share of so much counts as 1 in the score, of which STEPS grid cells make 1.
+LIMITS, STEPS = {"marks": 0.1, "shouting": 0.3, "duplicate_lines": 0.3, "repeated_words": 0.3}, 25
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks")
 _symbol = np.zeros(256, bool)
 _symbol[list(b"#*$%&|<>")] = True
@@ -106,16 +111,17 @@ def certified(rejected: int, n: int, alpha: float, delta: float) -> bool:
     return n > 0 and rejected < alpha * n and binomial_cdf(rejected, n, alpha) <= delta
 
 
-def cutoffs(counts: dict[tuple[str, str], np.ndarray], alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], int]:
+def cutoffs(counts: dict[tuple[str, str], np.ndarray], alpha: float = ALPHA, delta: float = DELTA, rules: int = len(RULES)) -> dict[tuple[str, str], int]:
     """counts: by (stratum, rule), bad (row 0) and good (row 1) documents by grid cell of their
-    statistic. The chosen cutoff cell c of each: reject a document whose cell is over c."""
-    tests = max(1, len({s for s, _ in counts}) * len(RULES))
+    statistic. The chosen cutoff cell c of each: reject a document whose cell is over c. rules: how
+    many rules of a stratum share alpha and delta."""
+    tests = max(1, len({s for s, _ in counts}) * rules)
     found = {}
     for key, (bad, good) in counts.items():
         n, rejected, passed = int(good.sum()), 0, []
         for c in range(GRID - 1, -1, -1):
             rejected += int(good[c + 1])
-            if not certified(rejected, n, alpha / len(RULES), delta / tests):
+            if not certified(rejected, n, alpha / rules, delta / tests):
                 break
             passed.append((c, int(bad[c + 1 :].sum())))
         if passed and passed[-1][1]:
@@ -123,34 +129,34 @@ def cutoffs(counts: dict[tuple[str, str], np.ndarray], alpha: float = ALPHA, del
     return found
 
 
-def cell(share):
-    return F.coalesce(F.ceil(share * GRID), F.lit(0)).cast("int")
+def stratum():
+    return F.coalesce("lang", F.lit(""))
 
 
-def learn(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], int]:
-    """Cutoffs from the rows of stats (of measured()) that labels (doc_id, quality) covers."""
+def cells() -> dict:
+    """Each rule's grid cell 0..GRID as an expression; the score's is the largest."""
+    return {r: F.least(F.lit(GRID), F.coalesce(F.ceil(x / LIMITS[r] * STEPS), F.lit(0))).cast("int") for r, x in shares().items()}
+
+
+def learn(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, int]:
+    """Each stratum's cutoff of the score, from the rows of stats (of measured()) that labels (doc_id, quality) covers."""
     marked = labels.where("quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    cells = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), cell(x).alias("cell")) for r, x in shares().items()])).alias("x")
     grid = (
-        stats.where(~base_failed()).join(marked, "doc_id").select(F.coalesce("lang", F.lit("")).alias("stratum"), "quality", cells)
-        .groupBy("stratum", "x.rule", "quality", "x.cell").count()
+        stats.where(~base_failed()).join(marked, "doc_id")
+        .groupBy(stratum().alias("stratum"), "quality", F.greatest(*cells().values()).alias("cell")).count()
     )
     counts: dict[tuple[str, str], np.ndarray] = {}
-    for stratum, rule, quality, c, n in grid.collect():  # strata x rules x 2 x (GRID + 1) rows at most
-        counts.setdefault((stratum, rule), np.zeros((2, GRID + 1), np.int64))[quality, c] += n
-    return cutoffs(counts, alpha, delta)
+    for s, quality, c, n in grid.collect():  # strata x 2 x (GRID + 1) rows at most
+        counts.setdefault((s, "score"), np.zeros((2, GRID + 1), np.int64))[quality, c] += n
+    return {s: c for (s, _), c in cutoffs(counts, alpha, delta, 1).items()}
 
 
-def judged(stats: DataFrame, found: dict[tuple[str, str], int]) -> DataFrame:
+def judged(stats: DataFrame, found: dict[str, int]) -> DataFrame:
     """stats with base_failed, kept and reasons."""
-    stratum = F.coalesce("lang", F.lit(""))
-    reject = []
-    for rule, share in shares().items():
-        limit = F.lit(GRID)
-        for (s, r), c in found.items():
-            if r == rule:
-                limit = F.when(stratum == s, F.lit(c)).otherwise(limit)
-        reject.append(F.when(cell(share) > limit, F.lit(rule)))
+    limit = F.lit(GRID)
+    for s, c in found.items():
+        limit = F.when(stratum() == s, F.lit(c)).otherwise(limit)
+    reject = [F.when(c > limit, F.lit(rule)) for rule, c in cells().items()]
     return stats.withColumn("base_failed", base_failed()).withColumn("reasons", F.array_compact(F.array(*reject))).withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))
 
 

@@ -141,6 +141,16 @@ def test_exact_binomial_bound_and_error_control():
     assert broken <= 20
 
 
+def test_quality_rule_of_a_small_stratum(spark):
+    rows = [(i, "de", 60, 300, 0, 0, 0, 5, 6, 300, 0) for i in range(150)] + [(i, "de", 60, 300, 90, 0, 0, 5, 6, 300, 90) for i in range(150, 160)]
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in quality_rules.COUNTS))
+    labels = spark.createDataFrame([(r[0], int(r[0] < 150)) for r in rows], "doc_id long, quality int")
+    out = quality_rules.judged(stats, quality_rules.learn(stats, labels)).toPandas()
+    assert (out.kept == (out.doc_id < 150)).all() and list(out.reasons[150]) == ["marks"]
+    few = labels.where("doc_id >= 60")  # 90 good ones: no cutoff can be certified
+    assert quality_rules.learn(stats, few) == {}
+
+
 def test_forward_backward_is_exact():
     r = np.random.default_rng(0)
     n = np.array([3, 1, 5, 2])
