@@ -9,11 +9,13 @@ on one side only become optional, differing texts become slots. Wrappers merge w
 same rule, so each task folds its own pages and the partial wrappers of a host meet in two rounds.
 No page is left out, and a wrapper's size follows the host's variety of markup, not its pages.
 
-The wrapper then says which groups are the article: article elements, or main elements without an
-article; for pages of the host that have neither, the group that holds most slot text outside
-links; never groups whose element or class names a menu, header, footer, sidebar, notice, advert,
-form or reader comments; and where no element names the article, no text that is the same on all of
-at least FIXED_PAGES pages.
+Which groups are the article is decided on each page: article elements with text, or main elements
+without such an article inside; if that gives no text, the group that holds most slot text outside
+links, of the host's wrapper or else of the page. Never groups whose element or class names a menu,
+header, footer, sidebar, notice, advert, form or reader comments; but html, body and states of the
+layout (has-sidebar) name no part, and class names of what stands around an article count only if
+another article is found without them. Nor, within the article too, text that the wrapper has as
+the same on all of at least FIXED_PAGES pages, unless no text of the host's articles ever differs.
 
 Defined cases: null html gives empty text, a null url is the host ''; pages without article text
 give ''; broken markup is closed at the end, text after an unclosed '<' is markup; nesting beyond
@@ -24,6 +26,8 @@ from __future__ import annotations
 
 import pickle
 import re
+from collections import Counter
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -52,6 +56,8 @@ DROP_NAMES = frozenset(
     "ad ads advert adverts advertisement banner promo promotion sponsor sponsored sidebar nav navbar navigation menu breadcrumb breadcrumbs header footer masthead cookie cookies consent notice notices "
     "alert popup modal overlay newsletter subscribe signup login share sharing social comment comments reply replies respond disqus related recommended widget pagination pager copyright legal disclaimer toolbar search".split()
 )
+#: A class that begins so tells the state of a page, not what a part is.
+STATES = frozenset("has with without no is".split())
 MAIN_NAMES = frozenset("article content main maincontent story entry post body text".split())
 
 # A group is [signature, children, pages, optional]; a text is ["#", text or None (slot), characters, pages, in links].
@@ -62,6 +68,8 @@ def parse(html: str) -> list:
     root: list = ["", [], 1, False]
     stack, names, link, at = [root], [""], 0, 0
     text: list[str] = []
+    skipped: list[str] = []  # open elements beyond MAX_DEPTH
+    open_skipped: Counter = Counter()
 
     def flush() -> None:
         if text:
@@ -92,13 +100,24 @@ def parse(html: str) -> list:
             continue
         flush()
         if m["end"]:
-            if name in names:
+            if open_skipped[name]:
+                while (last := skipped.pop()) != name:
+                    open_skipped[last] -= 1
+                open_skipped[name] -= 1
+            elif name in names:
+                skipped.clear()
+                open_skipped.clear()
                 while names.pop() != name:
                     stack.pop()
                 stack.pop()
             continue
         if name in VOID:
             continue
+        if skipped:
+            if not m["attrs"].endswith("/"):
+                skipped.append(name)
+                open_skipped[name] += 1
+            continue
         if name in ENDS_P and names[-1] == "p":
             names.pop()
             stack.pop()
@@ -110,6 +129,9 @@ def parse(html: str) -> list:
             if names[depth] in same:
                 del names[depth:], stack[depth:]
         if len(stack) > MAX_DEPTH:
+            if not m["attrs"].endswith("/"):
+                skipped.append(name)
+                open_skipped[name] += 1
             continue
         group = [signature(name, m["attrs"]), [], 1, False]
         stack[-1][1].append(group)
@@ -205,14 +227,17 @@ def learn_page(wrapper: list | None, html: str) -> list:
     return page if wrapper is None else merge(wrapper, page)
 
 
+@lru_cache(1 << 14)
 def named(sig: str) -> tuple[str, frozenset[str]]:
     name, _, rest = sig.partition(".")
-    return name, frozenset(w for w in _split.split(rest) if w)
+    parts = [_split.split(c) for c in rest.split(".")]
+    return name, frozenset(w for p in parts if p[0] not in STATES or len(p) == 1 for w in p if w)
 
 
+@lru_cache(1 << 14)
 def drops(sig: str) -> bool:
     name, words = named(sig)
-    return name in DROP_TAGS or bool(words & DROP_NAMES)
+    return name in DROP_TAGS or (name not in ("html", "body") and bool(words & DROP_NAMES))
 
 
 def mass(node: list) -> int:
@@ -222,13 +247,17 @@ def mass(node: list) -> int:
     return 0 if drops(node[0]) or named(node[0])[0] in ("article", "main") else sum(map(mass, node[1]))
 
 
-def main_groups(node: list) -> list:
-    """Article elements with text, and main elements that have no such article inside."""
-    if node[0] == "#" or drops(node[0]):
+def main_groups(node: list, by_class: bool = True) -> list:
+    """Article elements with text, and main elements that have no such article inside; without
+    by_class, also where only the class of a group around them says that they are dropped."""
+    if node[0] == "#":
         return []
     name = named(node[0])[0]
-    inner = [g for c in node[1] for g in main_groups(c)] if name != "article" else []
-    return inner or ([node] if name in ("article", "main") and mass_any(node) else [])
+    here = name in ("article", "main")
+    if name in DROP_TAGS or (drops(node[0]) and (by_class or here)):
+        return []
+    inner = [g for c in node[1] for g in main_groups(c, by_class)] if name != "article" else []
+    return inner or ([node] if here and mass_any(node) else [])
 
 
 def mass_any(node: list) -> int:
@@ -247,9 +276,16 @@ def densest(node: list) -> list:
         node = inner[0]
 
 
-def decide(wrapper: list) -> tuple[list, list]:
-    """Two readings of the wrapper, as [signature, children, keep]: by elements that name the article, and by mass."""
-    return kept(wrapper, main_groups(wrapper), False), kept(wrapper, heaviest(wrapper), True)
+def decide(wrapper: list) -> tuple[list, bool]:
+    """The wrapper's reading by mass, as [signature, children, keep] and [#, fixed text or None, keep],
+    and whether texts within its articles differ."""
+    return kept(wrapper, heaviest(wrapper)), any(map(varies, main_groups(wrapper) or main_groups(wrapper, False)))
+
+
+def varies(node: list) -> bool:
+    if node[0] == "#":
+        return node[1] is None
+    return not drops(node[0]) and any(map(varies, node[1]))
 
 
 def heaviest(wrapper: list) -> list:
@@ -257,22 +293,18 @@ def heaviest(wrapper: list) -> list:
     return [densest(by_name[-1] if by_name else wrapper)]
 
 
-def kept(wrapper: list, chosen: list, fixed: bool) -> list:
+def kept(wrapper: list, chosen: list) -> list:
     ids = {id(g) for g in chosen}
 
     def build(node: list, inside: bool) -> list:
         if node[0] == "#":
-            return ["#", None, inside and not (fixed and node[1] is not None and node[3] >= FIXED_PAGES)]
+            return ["#", node[1] if node[3] >= FIXED_PAGES else None, inside]
         inside = (inside or id(node) in ids) and not drops(node[0])
         return [node[0], [build(c, inside) for c in node[1]], inside]
 
     return build(wrapper, False)
 
 
-def names_article(page: list) -> bool:
-    return any(c[0] != "#" and (named(c[0])[0] in ("article", "main") or names_article(c)) for c in page[1])
-
-
 def _walk(node: list):
     if node[0] != "#" and not drops(node[0]):
         yield node
@@ -280,9 +312,19 @@ def _walk(node: list):
             yield from _walk(c)
 
 
-def extract(page: list, rules: tuple[list, list]) -> str:
-    """The page's text that the wrapper's decisions call article text."""
-    rule = rules[0] if names_article(page) else rules[1]
+def extract(page: list, rules: tuple[list, bool]) -> str:
+    """The page's article text: of its own article or main elements, else of what the wrapper's reading
+    by mass keeps, else of the group of the page that holds most text."""
+    rule, differ = rules
+    own = main_groups(page) or main_groups(page, False)
+    if own:
+        return read(page, rule, own, False)
+    return read(page, rule, None, True) or read(page, rule, heaviest(page), True)
+
+
+def read(page: list, rule: list, chosen: list | None, drop_fixed: bool) -> str:
+    """The text of the chosen groups of the page, or of the groups that rule keeps."""
+    ids = {id(g) for g in chosen or []}
     out: list[str] = []
 
     def match(children: list, rules: list, inside: bool) -> None:
@@ -293,21 +335,20 @@ def extract(page: list, rules: tuple[list, list]) -> str:
                 i += 1
             if i == len(rules):
                 i = next((k for k, r in enumerate(rules) if r[0] == sig), -1)
-            if i < 0:  # not of the wrapper: as what it stands in
-                if sig == "#":
-                    if inside:
-                        out.append(" ".join(c[1].split()))
-                elif inside and not drops(sig):
-                    match(c[1], [], True)
-                continue
-            at = i
+            if i >= 0:
+                at = i
             if sig == "#":
-                if rules[i][2]:
+                fixed = drop_fixed and i >= 0 and rules[i][1] == c[1]
+                if not fixed and (inside if chosen is not None or i < 0 else rules[i][2]):
                     out.append(" ".join(c[1].split()))
-            else:
+            elif chosen is not None:
+                match(c[1], rules[i][1] if i >= 0 else [], (inside or id(c) in ids) and not drops(sig))
+            elif i >= 0:
                 match(c[1], rules[i][1], rules[i][2])
+            elif inside and not drops(sig):  # not of the wrapper: as what it stands in
+                match(c[1], [], True)
 
-    match(page[1], rule[1], rule[2])
+    match(page[1], rule[1], (chosen is not None and id(page) in ids) or (chosen is None and rule[2]))
     return " ".join(x for x in out if x)
 
 
@@ -355,7 +396,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         pages = pages.join(found, "host")
 
     def run(batches):
-        rules: dict[str, list] = {}
+        rules: dict[str, tuple[list, bool]] = {}
         for b in batches:
             names = b.column("host").to_pylist()
             own = None if small else b.column("wrapper")

@@ -242,3 +242,22 @@ def test_wrapper_beyond_the_broadcast_bound_is_the_same(spark, sf_dir, monkeypat
 
         article = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
         assert want[r.page_id] == " ".join(html.unescape(re.sub("<[^>]*>", " ", article)).split())
+
+
+def extracted(spark, pages):
+    rows = [(i, "https://host.example/", p) for i, p in enumerate(pages)]
+    return [r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_article_of_each_page(spark):
+    deep = "<div>" * 105 + "x" + "</div>" * 105
+    pages = [
+        "<main><article><p>In article</p></article></main>",
+        "<main><p>Only main</p></main>",
+        "<aside><article>teaser</article></aside><div class=content><p>By mass, long enough</p></div>",
+        "<html class='nav-open'><body class='has-sidebar'><div class='with-sidebar'><article><p>Layout</p></article></div></body></html>",
+        "<div class='sidebar layout'><article><p>Around</p></article></div>",
+        f"<article>{deep}<p>after</p></article>",
+    ]
+    for one in (extracted(spark, pages), [extracted(spark, [p])[0] for p in pages]):
+        assert one == ["In article", "Only main", "By mass, long enough", "Layout", "Around", "x after"]
