@@ -318,7 +318,7 @@ def extract(page: list, rules: tuple[list, bool]) -> str:
     rule, differ = rules
     own = main_groups(page) or main_groups(page, False)
     if own:
-        return read(page, rule, own, False)
+        return read(page, rule, own, differ)
     return read(page, rule, None, True) or read(page, rule, heaviest(page), True)
 
 

@@ -249,6 +249,15 @@ def extracted(spark, pages):
     return [r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
 
 
+def test_the_wrapper_decides_within_articles(spark):
+    page = "<article><div class=box>{box}</div><p>Text {i}</p></article>"
+    pages = [page.format(box="Support us", i=i) for i in range(8)] + [page.format(box="Own box", i=8), "<article><p>Bare</p></article>"]
+    fixed = [page.format(box="Support us", i=i) for i in range(8)] + ["<article><p>Bare</p></article>"]
+    assert extracted(spark, pages)[8:] == ["Own box Text 8", "Bare"]  # a box that differs is not fixed
+    assert extracted(spark, fixed) == [*[f"Text {i}" for i in range(8)], "Bare"]
+    assert extracted(spark, [page.format(box="Support us", i=0)] * 8) == ["Support us Text 0"] * 8  # copies
+
+
 def test_article_of_each_page(spark):
     deep = "<div>" * 105 + "x" + "</div>" * 105
     pages = [
