@@ -139,9 +139,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def enough(met: DataFrame) -> DataFrame:
-    """The pairs (a, b) of documents that share the shingles the shorter of their prefixes calls for."""
-    pairs = met.groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("shared"), F.first(F.least("l", "l2")).alias("need"))
+def enough(met: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of documents that share the shingles the shorter of their prefixes calls for, or
+    as many as two linked sets of their sizes (n, m) may have in common at least, if that is fewer."""
+    overlap = -F.floor(-percent * F.greatest("n", "m") / 100)
+    pairs = met.groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("shared"), F.first(F.least("l", "l2", overlap)).alias("need"))
     return pairs.where("shared >= need").select("a", "b")
 
 
@@ -197,7 +199,7 @@ def near_classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     left = written(left, "open-postings")
     right = left.select(F.col("token").alias("token2"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("l").alias("l2"), F.col("c").alias("c2"), F.col("sketch").alias("sketch2"))
     cross = left.join(right, (F.col("token") == F.col("token2")) & (F.col("doc_id") > F.col("b")) & (F.col("c") != F.col("c2")) & similar_sizes(percent) & may_link(percent))
-    cross = written(enough(cross).join(star, ["a", "b"], "left_anti"), "cross")
+    cross = written(enough(cross, percent).join(star, ["a", "b"], "left_anti"), "cross")
     more = written(verified(cross, candidates(docs, cross, k), percent), "more-links")
     found = components(links.unionByName(more))
     named = classes.join(found, classes["rep"] == found["id"], "left").select("f", "g", F.col("n").alias("n_"), F.coalesce("component", "rep").alias("component_id"))

@@ -128,6 +128,13 @@ def test_prefix_and_sketch_bounds():
                     assert len(np.intersect1d(px, py)) >= min(extra + 1, both)
 
 
+def test_short_linked_sets_share_enough(spark):
+    both = [(1, 5, 8, 2, 4, 8)] * 4  # sets of 5 and 4 with 4 in common: 80 %
+    fewer = [(3, 8, 8, 4, 8, 8)] * 6  # 8 and 8 need 7 at least
+    met = spark.createDataFrame(both + fewer, "doc_id long, n long, l int, b long, m long, l2 int")
+    assert [tuple(r) for r in ngram_join.enough(met, 80).collect()] == [(1, 2)]
+
+
 def test_components_of_chain_star_and_clique(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(i, j) for i in range(200, 208) for j in range(200, i)] + [(300, 300)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
