@@ -1,18 +1,21 @@
 """Operator 1: exact dedup against a persistent digest index.
 
 The index is a table bucketed and sorted by the SHA-256 of the normalised text (A-Z lower-cased,
-null as empty). A batch is reduced to one winner per digest, deduplicated by a sort-merge
-anti-join with the index, and appended; the verdict of each row is then read from the index.
+null as empty). Its number of buckets and its format are stored beside it, so it can be reopened by
+sessions with any settings. A batch is reduced to one winner per digest, deduplicated by a
+sort-merge anti-join with the index, and appended; how often the others turned up again is appended
+as counts (rows without keep_id), so group sizes cover the index and the batch.
 Everything is DataFrame code.
 
 Hot digests: rows are first counted per (digest, doc_id), which spreads a group of copies, then
-per digest with map-side partial sums. In the last join, digests of at least
-max(64, rows/10,000) rows - so 10,000 digests at most, whatever the input - are broadcast; all
-others go through a sort-merge join in which no key has more rows than that.
+per digest with map-side partial sums. In the last join, digests that the batch has at least
+max(64, rows/10,000) times - so 10,000 digests at most, whatever the input - are broadcast; all
+others go through a sort-merge join in which no key has more rows than that. The index itself is
+only joined with one row per digest.
 
 Defined cases: a null text equals an empty one; a null doc_id loses to any other; rows that repeat
 doc_id and text give one row each, of which one is kept; an empty table gives no rows; further
-columns are ignored.
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, table, written
+from .shared import free_name, new_path, remove, remove_path, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT_SHARE, HOT_LEAST = 10_000, 64
+FORMAT = 2
 
 
 def digest(text):
@@ -33,71 +37,110 @@ def digest(text):
 
 
 class DigestIndex:
-    """The index below a location in a shared store; the same location opens the same index again."""
+    """The index below a location in a shared store; the same location opens the same index again.
+
+    buckets only counts for a new index (default: spark.sql.shuffle.partitions); another number than
+    that of an existing index, or another format, is an error. close() takes the table out of the
+    session's catalog and leaves the files."""
 
     def __init__(self, spark: SparkSession, location: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.location = location or new_path(spark, "digest-index")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.location = (location or new_path(spark, "digest-index")).rstrip("/")
+        self.data, header = f"{self.location}/data", f"{self.location}/header"
+        path = spark._jvm.org.apache.hadoop.fs.Path(header)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            known = spark.read.json(header).first()
+            if known["format"] != FORMAT or (buckets or known["buckets"]) != known["buckets"]:
+                raise ValueError(f"{self.location} is an index of format {known['format']} with {known['buckets']} buckets")
+            self.buckets = known["buckets"]
+        else:
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spark.createDataFrame([(FORMAT, self.buckets)], "format int, buckets int").coalesce(1).write.json(header)
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.name} (digest STRING, keep_id BIGINT, group_size BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.location}'"
+            f"CREATE TABLE {self.name} (digest STRING, keep_id BIGINT, n BIGINT, first BOOLEAN) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.data}'"
         )
 
     def read(self) -> DataFrame:
+        """One row per digest and batch that had it; first marks the one with the id that stays."""
         return self.spark.table(self.name)
 
-    def admit(self, rows: DataFrame) -> None:
-        """Appends the winners of rows (digest, doc_id, n) whose digest the index lacks."""
-        # written, as the optimizer would else move the anti-join below the aggregation, to all rows of a group
-        winners = written(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "winners")
-        fresh = winners.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+    def groups(self) -> DataFrame:
+        """digest, keep_id, group_size: one row per digest; the aggregation follows the buckets."""
+        return self.read().groupBy("digest").agg(F.max(F.when(F.col("first"), F.col("keep_id"))).alias("keep_id"), F.sum("n").alias("group_size"))
+
+    def admit(self, winners: DataFrame) -> None:
+        """Appends winners (digest, keep_id, n; one row per digest), those that the index has as counts."""
+        firsts = self.read().where("first").select("digest").hint("merge")
+        new = winners.join(firsts, "digest", "left_anti").select("digest", "keep_id", "n", F.lit(True).alias("first"))
+        again = winners.join(firsts, "digest", "left_semi").select("digest", F.lit(None).cast("long").alias("keep_id"), "n", F.lit(False).alias("first"))
+        # written first: a table can't be read and appended to by one statement
+        rows = written(new.unionByName(again), "admitted")
         (
-            fresh.repartition(self.buckets, "digest")
+            rows.repartition(self.buckets, "digest")
             .write.bucketBy(self.buckets, "digest").sortBy("digest")
-            .option("path", self.location).format("parquet").mode("append").saveAsTable(self.name)
+            .option("path", self.data).format("parquet").mode("append").saveAsTable(self.name)
         )
         self.spark.catalog.refreshTable(self.name)
+        remove(self.spark, rows)
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest doc_id stays; a text that an earlier batch brought into
-    the index stays there, and all its rows here go."""
+    the index stays there, and all its rows here go. group_size counts the rows of all batches up to
+    this one. Without an index, one for this call alone is made and removed."""
+    keys = verdicts(docs, index)
+    return keys.select(
+        "doc_id", "keep_id", "group_size", F.posexplode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i", "nth"), "digest", "stays"
+    ).select(
+        "doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("i") == 0)).alias("kept"), F.col("digest").alias("text_sha256")
+    )
+
+
+def verdicts(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """digest, doc_id, n (rows that have both), keep_id, group_size, stays: whether one of the n rows is kept."""
     spark = docs.sparkSession
-    index = index or DigestIndex(spark)
+    own = index or DigestIndex(spark)
     rows = written(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"))
         .groupBy("digest", "doc_id").agg(F.count("*").alias("n")),
         "digests",
     )
-    index.admit(rows)
-    held = index.read()
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("group_size") >= max(HOT_LEAST, -(-total // HOT_SHARE))
+    # written, as the optimizer would else move the anti-join below the aggregation, to all rows of a group
+    winners = written(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("n")), "winners")
+    # what the index had before this batch: those digests stay there
+    before = own.read().where("first").select("digest", F.lit(True).alias("old")).hint("merge")
+    status = written(winners.select("digest", F.col("n").alias("batch_size")).join(before, "digest", "left"), "status")
+    own.admit(winners)
+    held = status.join(own.groups().hint("merge"), "digest")
+    total = winners.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("batch_size") >= max(HOT_LEAST, -(-total // HOT_SHARE))
     few, rest = F.broadcast(held.where(hot)), held.where(~hot).hint("merge")
-    joined = rows.join(few, "digest").unionByName(rows.join(F.broadcast(held.where(hot).select("digest")), "digest", "left_anti").join(rest, "digest"))
-    return joined.select(
-        "doc_id", "keep_id", "group_size", F.posexplode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i", "nth"), "digest"
-    ).select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 0)).alias("kept"),
-        F.col("digest").alias("text_sha256"),
-    )
+    joined = rows.join(few, "digest").unionByName(rows.join(F.broadcast(status.where(hot).select("digest")), "digest", "left_anti").join(rest, "digest"))
+    stays = F.col("old").isNull() & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    out = written(joined.select("digest", "doc_id", "n", "keep_id", "group_size", stays.alias("stays")), "verdicts")
+    remove(spark, rows, winners, status)
+    if index is None:
+        own.close()
+        remove_path(spark, own.location)
+    return out
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """docs without rows whose normalised text another row with a larger doc_id has."""
-    verdicts = exact_dedup(docs.select("doc_id", "text")).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")
-    )
-    own = docs.withColumn("__digest", digest(F.col("text")))
-    return (
-        own.join(verdicts, (own["__digest"] == verdicts["__digest"]) & own["doc_id"].eqNullSafe(verdicts["__id"]), "left_semi")
-        .dropDuplicates(["__digest", "doc_id"]).drop("__digest")
-    )
+    """docs without rows whose normalised text another row with a larger doc_id has; of rows that
+    repeat text and doc_id one stays. Texts are moved by one shuffle, on a hash of text and id, which
+    spreads groups of copies; the semi-join and the removal of repeated rows share it."""
+    key = free_name(docs, "__key")
+    of = lambda h, i: F.sha2(F.concat_ws(":", h, F.coalesce(i.cast("long").cast("string"), F.lit(""))).cast("binary"), 256)
+    kept = verdicts(docs.select("doc_id", "text")).where("stays").select(of(F.col("digest"), F.col("doc_id")).alias(key))
+    own = docs.withColumn(key, of(digest(F.col("text")), F.col("doc_id")))
+    return own.join(kept.hint("merge"), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

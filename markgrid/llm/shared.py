@@ -10,22 +10,31 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; a folder of our own only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of this session: spark.checkpoint.dir, else the checkpoint folder that was set
+    otherwise. A folder of our own only in a local session without either, as in tests."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        spark.sparkContext.setCheckpointDir(base)
-        _OWN[spark.sparkContext.applicationId] = base
+        context.setCheckpointDir(base)
     return base
 
 
-_OWN: dict[str, str] = {}
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    base = _OWN.get(spark.sparkContext.applicationId) or shared_dir(spark)
-    return f"{base.rstrip('/')}/markgrid/{name}-{uuid.uuid4().hex}"
+    """A new path below this application's own folder, which goes when the application ends."""
+    own = f"{shared_dir(spark).rstrip('/')}/markgrid/{spark.sparkContext.applicationId}"
+    p, system = _file_system(spark, own)
+    if not system.exists(p):
+        system.mkdirs(p)
+        system.deleteOnExit(p)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,8 +48,20 @@ def remove(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables of written() that nothing reads any more."""
     for t in tables:
         for f in {x.rsplit("/", 1)[0] for x in t.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove_path(spark, f)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    p, system = _file_system(spark, path)
+    system.delete(p, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores where df has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

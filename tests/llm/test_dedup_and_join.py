@@ -45,9 +45,53 @@ def test_hot_group_and_persistent_index(spark):
     index = exact_dedup.DigestIndex(spark)
     out = exact_dedup.exact_dedup(rows, index).toPandas()
     assert len(out) == 600 and out.kept.sum() == rows.select("text").distinct().count()
-    again = exact_dedup.exact_dedup(spark.createDataFrame([(1000, "SAME"), (1001, "new")], "doc_id long, text string"), exact_dedup.DigestIndex(spark, index.location, index.buckets))
-    got = {r.doc_id: (r.kept, r.keep_id) for r in again.collect()}
-    assert got == {1000: (False, 597), 1001: (True, 1001)}
+    index.close()
+    batch = [(1000, "SAME"), (1001, "new"), (1002, "Same"), (1003, "same")]
+    again = exact_dedup.exact_dedup(spark.createDataFrame(batch, "doc_id long, text string"), exact_dedup.DigestIndex(spark, index.location))
+    got = {r.doc_id: (r.kept, r.keep_id, r.group_size) for r in again.collect()}
+    assert got == {1000: (False, 597, 203), 1001: (True, 1001, 1), 1002: (False, 597, 203), 1003: (False, 597, 203)}
+
+
+def test_index_reopened_by_another_session(spark):
+    """Four buckets, reopened where sixteen are the rule; a digest that is cold in the index is hot in the batch."""
+    rows = spark.range(400).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    assert exact_dedup.exact_dedup(rows, index).where("kept").count() == 400
+    index.close()
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        reopened = exact_dedup.DigestIndex(spark, index.location)
+        assert reopened.buckets == 4
+        hot = spark.range(1000).selectExpr("id + 1000 AS doc_id", "CASE WHEN id < 600 THEN 'T7' ELSE concat('t', id - 600) END AS text")
+        out = exact_dedup.exact_dedup(hot, reopened).toPandas()
+        assert len(out) == 1000 and not out.kept.any()
+        assert (out.group_size[out.doc_id < 1600] == 602).all() and (out.keep_id[out.doc_id < 1600] == 7).all()
+        assert exact_dedup.exact_dedup(rows, reopened).where("kept").count() == 0
+        with pytest.raises(ValueError):
+            exact_dedup.DigestIndex(spark, index.location, buckets=8)
+        reopened.close()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+    assert not [t.name for t in spark.catalog.listTables() if t.name == reopened.name]
+
+
+def test_first_copies_move_texts_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("__key", docs_key())
+    out = exact_dedup.keep_first_copies(docs)
+    assert out.columns == docs.columns
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = exact_dedup.keep_first_copies(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange") == 2  # texts and verdicts
+
+
+def docs_key():
+    from pyspark.sql import functions as F
+
+    return F.lit("own column")
 
 
 def test_empty_table(spark):
