@@ -9,7 +9,11 @@ good, and their mean weighted by line length, on a logistic scale fitted to the
 documents, is the document's score.
 
 Features, forward and backward steps are NumPy over all lines of a chunk of documents; a step is
-taken for all documents at once. Memory is bounded by the chunk, or a single long text.
+taken for all documents at once. Bytes are read in slices; lines, and word and line repeats, are
+those of the whole text, however long: what is held of a text is eight bytes a word and its lines.
+
+The driver gets at most LINES lines of the sample: its documents in the order of the hashes of
+their ids, each taken if its lines still fit.
 
 Defined cases: null and empty texts and texts without a word score 0; without labels of both kinds
 every other text scores 0.5; repeated rows are scored each; labels that are null, or of a
@@ -24,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import crc_mod, table
-from .text import SLICE, SPACE, chunks, hash_spans, mix, slices, spans
+from .shared import crc_mod, remove, table, written
+from .text import SLICE, chunks, hash_spans, mix, slices, spans
 
-SAMPLE, SEGMENT, STEPS, RATE, DECAY, THRESHOLD = 8_000, 64, 150, 0.1, 1e-3, 0.3
+SAMPLE, LINES, SEGMENT, STEPS, RATE, DECAY, THRESHOLD = 8_000, 400_000, 64, 150, 0.1, 1e-3, 0.3
 #: Upper edges of the bins of each statistic; all but the first and the third from last are shares.
 EDGES = {
     "words": [1, 2, 4, 8, 16, 32, 64, 128],
@@ -43,7 +47,7 @@ EDGES = {
 }
 WIDTH = 10
 SIZE = len(EDGES) * WIDTH
-_kinds = np.zeros((5, 256), np.int32)
+_kinds = np.zeros((5, 256), np.uint8)
 _kinds[0, list(b"#*$%&|<>!")] = 1
 _kinds[1, 65:91] = 1
 _kinds[2, 48:58] = 1
@@ -60,27 +64,47 @@ def again(keys: np.ndarray, groups: np.ndarray) -> np.ndarray:
     return earlier, times[which] > 1
 
 
-def line_features(buf: np.ndarray, ends_of_docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bins (lines x features), byte lengths, and documents of all lines with a word; the buffer
-    holds documents that each end with a newline at ends_of_docs."""
-    starts, ends = spans(buf)
-    if not len(starts):
+def pieces(texts: list[bytes]):
+    """Byte arrays of the texts one after another, each ended by a newline, cut at white space."""
+    held, size = [], 0
+    for t in texts:
+        if size and size + len(t) > SLICE:
+            yield np.frombuffer(b"\n".join(held) + b"\n", np.uint8)
+            held, size = [], 0
+        if len(t) > SLICE:
+            for piece in slices(t):
+                yield np.frombuffer(piece, np.uint8)
+            t = b""  # its newline
+        held.append(t)
+        size += len(t) + 1
+    if held:
+        yield np.frombuffer(b"\n".join(held) + b"\n", np.uint8)
+
+
+def chunk_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins (lines x features), byte lengths, and documents of all lines with a word."""
+    hashes, lines, parts, at = [], [], [], 0
+    for buf in pieces(texts):
+        starts, ends = spans(buf)
+        breaks = np.flatnonzero(buf == 10)
+        if len(starts):
+            line = np.searchsorted(breaks, starts) + at
+            first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+            sums = [np.add.reduceat(ends - starts, first), *(np.add.reduceat(kind[buf], starts[first], dtype=np.int64) for kind in _kinds)]  # white space is of no kind
+            hashes.append(hash_spans(buf, starts, ends))
+            lines.append(line)
+            parts.append(np.stack([line[first], *sums]))
+        at += len(breaks)
+    if not hashes:
         return np.zeros((0, len(EDGES)), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hashes = hash_spans(buf, starts, ends)
-    breaks = np.flatnonzero(buf == 10)
-    line_of = np.searchsorted(breaks, starts)
-    fresh = np.concatenate([[True], line_of[1:] != line_of[:-1]])
+    hashes, line, parts = np.concatenate(hashes), np.concatenate(lines), np.concatenate(parts, axis=1)
+    fresh = np.concatenate([[True], line[1:] != line[:-1]])
     first = np.flatnonzero(fresh)  # first word of each line
+    n = np.diff(np.concatenate([first, [len(line)]]))
+    joined = np.flatnonzero(np.concatenate([[True], parts[0, 1:] != parts[0, :-1]]))  # a line may lie in several pieces
+    sums, marks, upper, digits, stops, letters = np.add.reduceat(parts[1:], joined, axis=1)
+    doc = np.searchsorted(np.cumsum([t.count(b"\n") + 1 for t in texts]), line[first], "right")
     line = np.cumsum(fresh) - 1
-    n = np.diff(np.concatenate([first, [len(starts)]]))
-    doc = np.searchsorted(ends_of_docs, starts[first])
-    sums = np.add.reduceat((ends - starts), first)
-    counts = []
-    for kind in _kinds:
-        total = np.concatenate([[0], np.cumsum(kind[buf])])
-        last = first + n - 1
-        counts.append(total[ends[last]] - total[starts[first]])
-    marks, upper, digits, stops, letters = counts
     same = np.concatenate([[False], hashes[1:] == hashes[:-1]]) & ~fresh
     repeated, _ = again(hashes, line)
     triples = np.zeros(len(hashes), bool)
@@ -96,18 +120,6 @@ def line_features(buf: np.ndarray, ends_of_docs: np.ndarray) -> tuple[np.ndarray
     return bins + np.arange(len(EDGES)) * WIDTH, sums, doc
 
 
-def chunk_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if sum(map(len, texts)) <= 4 * SLICE:
-        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        return line_features(np.frombuffer(b"\n".join(texts) + b"\n", np.uint8), ends)
-    found = []
-    for i, t in enumerate(texts):
-        for piece in slices(t, 2 * SLICE):
-            f, size, _ = line_features(np.frombuffer(piece + b"\n", np.uint8), np.array([len(piece)]))
-            found.append((f, size, np.full(len(size), i)))
-    return tuple(np.concatenate(x) for x in zip(*found))
-
-
 def evidence(bins: np.ndarray, doc: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Log-odds of good for each line. w: 3 x (SIZE + 1): own, line before, line after; the last
     number of a row is for a missing neighbour (own: the constant)."""
@@ -198,33 +210,50 @@ def scale(x: np.ndarray, good: np.ndarray) -> np.ndarray:
     return np.array([b[0], max(b[1], 0.01)])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Weights, transitions and scale from docs (doc_id, text) and labels (doc_id, quality); None without both kinds."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int, most: int) -> list[dict]:
+    """quality, bins and sizes of the lines of about sample labelled documents, of most lines together."""
     marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("quality"))
     share = min(1.0, sample / max(1, marked.count()))
     place = F.pmod(F.xxhash64("__id", F.lit("crf")), F.lit(1 << 30))
-    few = F.broadcast(marked.where(place < int(share * (1 << 30))).limit(2 * sample))  # about sample rows
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(few, F.col("doc_id") == F.col("__id"))
+    few = marked.where(place < int(share * (1 << 30))).withColumn("place", place).limit(2 * sample)  # about sample rows
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("__id"))
 
     def run(batches):
         for b, texts in chunks(batches, "text"):
             bins, size, doc = chunk_features(texts)
-            parts = list(zip(*(np.searchsorted(doc, np.arange(len(texts)), side) for side in ("left", "right"))))
-            rows, sizes = [bins[i:j].astype(np.int16).ravel() for i, j in parts], [size[i:j] for i, j in parts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(rows, pa.list_(pa.int16())), pa.array(sizes, pa.list_(pa.int64()))], ["doc_id", "quality", "bins", "sizes"])
-
-    got = chosen.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, bins array<smallint>, sizes array<long>").toArrow()
-    rows = sorted((r for r in got.to_pylist() if r["bins"]), key=lambda r: (r["doc_id"], r["quality"], r["bins"]))
+            cut = [(i, j) for i, j in zip(*(np.searchsorted(doc, np.arange(len(texts)), side) for side in ("left", "right")))]
+            cols = [[j - i for i, j in cut], [bins[i:j].astype(np.uint8).tobytes() for i, j in cut], [size[i:j].tobytes() for i, j in cut]]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("place", "doc_id", "quality")), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["place", "doc_id", "quality", "n", "bins", "sizes"])
+
+    kept = chosen.select("place", "doc_id", "quality", "text").mapInArrow(run, "place long, doc_id long, quality int, n long, bins binary, sizes binary")
+    kept = written(kept.where("n > 0").withColumn("mark", F.xxhash64("bins", "sizes")), "labelled-lines")
+    keys = ["place", "doc_id", "quality", "mark"]
+    left, fits = most, []
+    for r in kept.select(*keys, "n").orderBy(*keys).limit(2 * sample).collect():  # a few numbers each
+        if r["n"] <= left:
+            left -= r["n"]
+            fits.append(tuple(r[k] for k in keys))
+    if not fits:
+        return []
+    ids = docs.sparkSession.createDataFrame(sorted(set(fits)), "place long, doc_id long, quality int, mark long")
+    got = kept.join(F.broadcast(ids), keys).orderBy(*keys).limit(len(fits)).select("quality", "bins", "sizes").toArrow().to_pylist()
+    remove(docs.sparkSession, kept)
+    return got
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = LINES) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Weights, transitions and scale from docs (doc_id, text) and labels (doc_id, quality); None without both kinds."""
+    rows = training_rows(docs, labels, sample, most)
     if len({r["quality"] for r in rows}) < 2:
         return None
-    lines = [np.array(r["bins"], np.int64).reshape(-1, len(EDGES)) for r in rows]
+    lines = [np.frombuffer(r["bins"], np.uint8).astype(np.int64).reshape(-1, len(EDGES)) for r in rows]
     n = np.array([len(x) for x in lines])
     bins, doc = np.concatenate(lines), np.repeat(np.arange(len(n)), n)
     place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
     chain = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (place[1:] % SEGMENT == 0)]))
     good = np.array([r["quality"] == 1 for r in rows])
     w, t = train(bins, chain, good[doc])
-    x = weighted(bins, np.concatenate([r["sizes"] for r in rows]), doc, w, t)[1]
+    x = weighted(bins, np.concatenate([np.frombuffer(r["sizes"], np.int64) for r in rows]), doc, w, t)[1]
     return w, t, scale(x, good.astype(float))
 
 

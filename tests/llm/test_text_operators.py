@@ -167,6 +167,30 @@ def test_forward_backward_is_exact():
         at += m
 
 
+def test_quality_of_a_long_text_is_the_same_in_any_slices(monkeypatch):
+    r = np.random.default_rng(3)
+    words = [b"word%d" % i for i in range(3000)]
+    lines = [b" ".join(words[i] for i in r.integers(0, 3000, 12)) for _ in range(55_000)]
+    long = b"\n".join(lines + lines[:20_000] + [b"ONE " * 300_000])  # over 4 MiB, with a line of 1.2 MB
+    texts_ = [b"short text\nshort text", long, b"", b"last\n\nline"]
+    assert len(long) > 5 << 20
+    want = quality_crf.chunk_features(texts_)
+    assert (want[0][want[2] == 1][:, -1] % quality_crf.WIDTH).sum() >= 20_000  # repeats are seen across slices
+    assert len(want[1]) == 2 + 75_001 + 2 and int(want[1].sum()) == sum(len(w) for t in texts_ for w in t.split())
+    monkeypatch.setattr(quality_crf, "SLICE", 1 << 30)
+    for got, own in zip(quality_crf.chunk_features(texts_), want):
+        assert (got == own).all()
+
+
+def test_lines_at_the_driver_are_bounded(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "labels"))
+    rows = quality_crf.training_rows(docs, labels, 100, 300)
+    sizes = [len(r["sizes"]) // 8 for r in rows]
+    assert 0 < sum(sizes) <= 300
+    every = quality_crf.training_rows(docs, labels, 100, 10**9)
+    assert len(every) > len(rows) and all(r in every for r in rows)
+
+
 def test_quality_classifier_on_held_out(spark):
     d = "/root/testdata/sf0.01"
     out = quality_crf.op9(spark, d).toPandas().merge(spark.read.parquet(f"{d}/labels.parquet").toPandas(), on="doc_id")
