@@ -1,18 +1,30 @@
 """Operator 10: language-model scores by Brown class-based bigrams.
 
-Counting (all training documents, by Spark): tokens are the words and one end per document.
-Every word has a unit: itself, if it is among the WORD_UNITS most frequent, else the cell of its
-last three bytes. Units, not words, are clustered, so a word that was never seen has a class too.
-Exchange clustering moves one unit at a time to the class that gains most bigram likelihood
-between classes, until few move; it works on the unit bigram counts, whose size is fixed
-(UNITS^2 at most) however much text was counted.
+Tokens are the words and one end per document; a word is known by its 64-bit hash, of which the last eight bits are its cell. Counts, contexts
+and classes of words are tables that grow with the corpus.
+
+1. Counts: each word's training count and total, by Spark.
+2. Seed classes: exchange clustering over units - the end token, the SEEDS most frequent words,
+   and CELLS cells of words by a hash of their last three bytes - moves one unit at a time to the
+   class that gains most bigram likelihood between classes, until few move. Its input, unit
+   bigrams, is counted over all training tokens and has a fixed size.
+3. Every other word with a training count of FLOOR or more gets a class from all its own contexts:
+   the classes of the tokens before and after each of its occurrences are gathered per word by one
+   shuffle, and the word moves to the class that gives most likelihood (the exchange step to first
+   order; all words move at once, in parallel). Words of fewer training occurrences, and words
+   never seen, take the class of their cell, whose contexts are those of all words of that ending
+   outside the seeds.
+4. Every text becomes a sequence of classes, a byte a token. Words outside the FREQUENT most frequent
+   (those are broadcast, with their counts and classes) are looked up by a join with the table of
+   words. Class bigrams are counted over the training sequences.
 
 Model: P(text) = product of P(class | class before) * P(word | class), the end token included.
 Transitions are interpolated with class frequencies (Witten-Bell); a word with count c in class k
-has (c + 0.5) / (N_k + 0.5 * (V_k + 1)), one share being left for words not seen there.
+has (c + 0.5) / (N_k + 0.5 * (V_k + 1)), one share being left for words not seen there; the end token is
+alone in class 0.
 
-Word counts are a table and never leave the cluster: the FREQUENT most frequent words (bounded)
-are broadcast, and only the other words of each document are joined with the table.
+Hot keys: a word outside the seeds is less than 1 / SEEDS of all tokens, and its contexts are packed
+into a row per task and flush before they are shuffled; words outside the broadcast are rarer still.
 
 Defined cases: null and empty texts are the end token alone; repeated rows are counted and scored
 each; a null doc_id counts as empty text for the split; without training documents every base
@@ -21,101 +33,151 @@ probability is 1 and classes are uniform; further columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import crc_mod, table, written
-from .text import slices
+from .shared import crc_mod, remove, table, written
+from .text import LOWER, chunks, hash_spans, signed, slices, spans
+
+SEEDS, CELLS, CLASSES, FLOOR, FREQUENT, SWEEPS = 1023, 256, 48, 3, 1_000_000, 6
+#: Words and tokens that a task holds before it passes them on.
+FLUSH, HELD = 1_000_000, 2_000_000
+END, SEEN_LATER = 0, 255
+
+
+def endings(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The cell of each word, by its last three bytes."""
+    x = np.zeros(len(starts), np.uint64)
+    for i in range(1, 4):
+        x = x * np.uint64(256) + np.where(ends - i >= starts, LOWER[buf[np.maximum(ends - i, 0)]], 0).astype(np.uint64)
+    return ((x * np.uint64(2654435761) >> np.uint64(16)) % np.uint64(CELLS)).astype(np.uint8)
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and cells of the words of all texts one after another, and the number of words of each text.
+    The last bits of a hash are the cell."""
+    hashes, cells, n = [], [], np.zeros(len(texts), np.int64)
+
+    def take(raw: bytes, ends_of_texts: np.ndarray, first: int) -> None:
+        buf = np.frombuffer(raw, np.uint8)
+        starts, ends = spans(buf)
+        cell = endings(buf, starts, ends)
+        hashes.append(hash_spans(buf, starts, ends) & ~np.uint64(CELLS - 1) | cell)
+        cells.append(cell)
+        n[first : first + len(ends_of_texts)] += np.diff(np.searchsorted(starts, ends_of_texts), prepend=0)
+
+    whole = len(texts) > 1
+    if whole:
+        take(b"\n".join(texts), np.cumsum([len(t) + 1 for t in texts]), 0)
+    for t in () if whole else texts:
+        for piece in slices(t):
+            take(piece, np.array([len(piece)]), 0)
+    none = np.zeros(0, np.uint64)
+    return np.concatenate(hashes or [none]), np.concatenate(cells or [none.astype(np.uint8)]), n
+
+
+class Lookup:
+    """Places of hashes in a sorted array, -1 where there is none."""
+
+    def __init__(self, known: np.ndarray):
+        bits = max(1, int(2 * len(known)).bit_length())
+        self.known, self.shift = np.append(known, np.uint64(0)), np.uint64(64 - bits)
+        self.bound = np.searchsorted(known >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        bucket = (h >> self.shift).astype(np.int64)
+        at, stop = self.bound[bucket], self.bound[bucket + 1]
+        out = np.where((at < stop) & (self.known[at] == h), at, -1)
+        left = np.flatnonzero((out < 0) & (at + 1 < stop))
+        while len(left):
+            at[left] += 1
+            here = at[left]
+            hit = self.known[here] == h[left]
+            out[left[hit]] = here[hit]
+            left = left[~hit & (here + 1 < stop[left])]
+        return out
+
+
+def summed(h: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Distinct hashes and the sums of values for each."""
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return [h[first], *(np.add.reduceat(v[order], first) if len(h) else v for v in values)]
 
-WORD_UNITS, CELLS, CLASSES, FREQUENT, SWEEPS, FLUSH = 1023, 256, 48, 200_000, 6, 300_000
-UNITS = 1 + WORD_UNITS + CELLS  # the end token, frequent words, cells of endings
-END = 0
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """h, c (count in training documents), total over docs (text binary, training boolean)."""
 
-def cell(word: bytes) -> int:
-    return (int.from_bytes(word[-3:], "little") * 2654435761 >> 16) % CELLS
+    def run(batches):
+        held: list[list[np.ndarray]] = []
 
+        def joined():
+            return summed(*(np.concatenate(x) for x in zip(*held)))
 
-def words_of(raw: bytes):
-    """Lists of words, slice by slice."""
-    for piece in slices(raw):
-        yield piece.lower().split()
+        def out(h, c, total):
+            return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(c), pa.array(total)], ["h", "c", "total"])
 
+        for b, texts in ((p, t) for b in batches for p, t in chunks([b], "text")):
+            h, _, n = tokens(texts)
+            training = np.repeat(np.array(b.column("training").to_pylist(), bool), n)
+            held.append(summed(h, training.astype(np.int64), np.ones(len(h), np.int64)))
+            if sum(len(x[0]) for x in held) > FLUSH:
+                held = [joined()]
+                if len(held[0][0]) > FLUSH // 2:
+                    yield out(*held[0])
+                    held = []
+        if held:
+            yield out(*joined())
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, cell, c (count in training documents), total over docs (text binary, training boolean)."""
-    names = ["word", "cell", "c", "total"]
+    some = docs.select("text", "training").mapInArrow(run, "h long, c long, total long")
+    return some.groupBy("h").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
 
-    def run(batches):
-        seen, other = Counter(), Counter()
 
-        def out():
-            words = list(seen.keys() | other.keys())
-            c = [seen[w] for w in words]
-            rows = [pa.array(words, pa.binary()), pa.array(map(cell, words), pa.int32()), pa.array(c, pa.int64()), pa.array([x + other[w] for x, w in zip(c, words)], pa.int64())]
-            seen.clear()
-            other.clear()
-            return pa.RecordBatch.from_arrays(rows, names)
+def least_of(words: DataFrame, column: str, most: int) -> int:
+    """A power of two such that at most that many words have so much or more."""
+    sizes = words.agg(*[F.count(F.when(F.col(column) >= 1 << i, 1)).alias(f"p{i}") for i in range(60)]).first()
+    return 1 << next(i for i in range(60) if sizes[i] <= most)
 
-        for b in batches:
-            for text, training in zip(b.column("text"), b.column("training").to_pylist()):
-                for words in words_of(text.as_py() or b""):
-                    (seen if training else other).update(words)
-                    if len(seen) + len(other) > FLUSH:
-                        yield out()
-        yield out()
 
-    return docs.select("text", "training").mapInArrow(run, "word binary, cell int, c long, total long").groupBy("word", "cell").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
+def seeds_of(words: DataFrame) -> np.ndarray:
+    """The hashes of the SEEDS words of most training occurrences, sorted."""
+    top = words.where("c > 0").orderBy(F.desc("c"), "h").limit(SEEDS).select("h").toArrow()
+    return np.sort(top.column("h").to_numpy().view(np.uint64))
 
 
-def frequent_words(words: DataFrame) -> tuple[int, list[bytes], np.ndarray]:
-    """The least total of a frequent word; FREQUENT words at most, most frequent first; their training counts."""
-    sizes = words.agg(*[F.count(F.when(F.col("total") >= 1 << i, 1)).alias(f"p{i}") for i in range(60)]).first()
-    least = 1 << next(i for i in range(60) if sizes[i] <= FREQUENT)
-    got = words.where(F.col("total") >= least).select("word", "c", "total").toArrow()
-    rows = sorted(zip(got.column("word").to_pylist(), got.column("c").to_pylist(), got.column("total").to_pylist()), key=lambda r: (-r[2], r[0]))
-    return least, [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)
+def units_of(at: np.ndarray, cell: np.ndarray, seeds: int) -> np.ndarray:
+    """Units of words by their places among so many seeds (-1: none): the end token, seeds, cells."""
+    return np.where(at >= 0, at + 1, 1 + seeds + cell.astype(np.int64))
 
 
-def looked_up(words: list[bytes], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's number among the frequent words (-1: none) and unit."""
-    get = ids.get
-    at = np.array([get(w, -1) for w in words], np.int64)
-    unit = np.where((at >= 0) & (at < WORD_UNITS), at + 1, 0)
-    for i in np.flatnonzero((at < 0) | (at >= WORD_UNITS)):
-        unit[i] = 1 + WORD_UNITS + cell(words[i])
-    return at, unit
+def framed(x: np.ndarray, n: np.ndarray, fill: int) -> np.ndarray:
+    """x with fill before each text and after the last."""
+    return np.insert(x, np.concatenate([[0], np.cumsum(n)]), fill)
 
 
-def unit_bigrams(docs: DataFrame, frequent: list[bytes]) -> np.ndarray:
+def unit_bigrams(docs: DataFrame, seeds: np.ndarray) -> np.ndarray:
     """Counts of unit pairs over docs (text binary); the end token also stands before a text."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent[:WORD_UNITS])
+    shared = docs.sparkSession.sparkContext.broadcast(seeds)
+    units = 1 + len(seeds) + CELLS
 
     def run(batches):
-        ids = {w: i for i, w in enumerate(shared.value)}
-        n = np.zeros(UNITS * UNITS, np.int32)
-        for b in batches:
-            for text in b.column("text"):
-                last = END
-                for words in words_of(text.as_py() or b""):
-                    if words:
-                        unit = looked_up(words, ids)[1]
-                        pairs, times = np.unique(np.concatenate([[last], unit[:-1]]) * UNITS + unit, return_counts=True)
-                        n[pairs] += times.astype(np.int32)
-                        last = int(unit[-1])
-                n[last * UNITS + END] += 1
+        find, n = Lookup(shared.value), np.zeros(units * units, np.int32)
+        for _, texts in chunks(batches, "text"):
+            h, cell, sizes = tokens(texts)
+            unit = framed(units_of(find(h), cell, len(shared.value)), sizes, END)
+            pairs, times = np.unique(unit[:-1] * units + unit[1:], return_counts=True)
+            n[pairs] += times.astype(np.int32)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some].astype(np.int64))], ["pair", "n"])
 
     got = docs.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    m = np.zeros(UNITS * UNITS)
+    m = np.zeros(units * units)
     m[got.column("pair").to_numpy()] = got.column("n").to_numpy()
-    return m.reshape(UNITS, UNITS)
+    return m.reshape(units, units)
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -165,106 +227,232 @@ def exchange(m: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.
     return of
 
 
-def transitions(m: np.ndarray, of: np.ndarray, classes: int = CLASSES) -> np.ndarray:
-    """log10 P(class | class before)."""
+def class_pairs(m: np.ndarray, of: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """Counts of class pairs from counts of unit pairs."""
     sums = np.zeros((classes, len(m)))
     np.add.at(sums, of, m)
     g = np.zeros((classes, classes))
     np.add.at(g.T, of, sums.T)
-    alone = (g.sum(0) + 0.5) / (g.sum() + 0.5 * classes)
+    return g
+
+
+def transitions(g: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before)."""
+    alone = (g.sum(0) + 0.5) / (g.sum() + 0.5 * len(g))
     kinds = np.maximum((g > 0).sum(1, keepdims=True), 1)
     return np.log10((g + kinds * alone) / (g.sum(1, keepdims=True) + kinds))
 
 
+def best_classes(contexts: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """For each word the class of most likelihood. contexts: words x 2 classes: how often each class stands
+    before and after the word; g: class pairs. Class 0 is the end token's own."""
+    classes = len(g)
+    p = np.log((g + 0.5) / (g.sum(1, keepdims=True) + 0.5 * classes))  # class | class before
+    share = np.log((g.sum(0) + 0.5) / (g.sum() + 0.5 * classes))
+    gain = contexts[:, :classes] @ (p - share) + contexts[:, classes:] @ p.T
+    gain[:, 0] = -np.inf
+    return gain.argmax(1)
+
+
+def word_classes(docs: DataFrame, seeds: np.ndarray, of: np.ndarray, g: np.ndarray) -> DataFrame:
+    """h, k: the class of each word but the seeds that docs (text binary) have FLOOR times or more."""
+    shared = docs.sparkSession.sparkContext.broadcast((seeds, of, g))
+    classes = len(g)
+
+    def gather(batches):
+        seeds_, of_, _ = shared.value
+        find, held = Lookup(seeds_), []
+
+        def out():
+            h, near = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            ends = pa.py_buffer(np.append(2 * first, 2 * len(h)).astype(np.int32))
+            packed = pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(np.ascontiguousarray(near[order]))])
+            return pa.RecordBatch.from_arrays([pa.array(signed(h[first])), packed], ["h", "near"])
+
+        for _, texts in chunks(batches, "text"):
+            h, cell, sizes = tokens(texts)
+            at = find(h)
+            k = framed(of_[units_of(at, cell, len(seeds_))].astype(np.uint8), sizes, END)
+            place = np.arange(len(h)) + np.repeat(np.arange(len(sizes)), sizes) + 1
+            rare = np.flatnonzero(at < 0)
+            held.append((h[rare], np.stack([k[place[rare] - 1], k[place[rare] + 1] + classes], 1).astype(np.uint8)))
+            if sum(len(x[0]) for x in held) > HELD:
+                yield out()
+                held = []
+        if sum(len(x[0]) for x in held):
+            yield out()
+
+    def choose(batches):
+        pairs = shared.value[2]
+        last, over = np.zeros(0, np.uint64), np.zeros((0, 2 * classes))
+
+        def out(h, contexts):
+            enough = contexts.sum(1) >= 2 * FLOOR
+            return pa.RecordBatch.from_arrays([pa.array(signed(h[enough])), pa.array(best_classes(contexts[enough], pairs).astype(np.int16))], ["h", "k"])
+
+        for b in batches:
+            if b.num_rows:
+                h = b.column("h").to_numpy().view(np.uint64)
+                ends = np.frombuffer(b.column("near").buffers()[1], np.int32)[b.column("near").offset :][: len(h) + 1]
+                near = np.frombuffer(b.column("near").buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+                fresh = np.concatenate([[True], h[1:] != h[:-1]])
+                word = np.repeat(np.cumsum(fresh) - 1, np.diff(ends))
+                own = h[fresh]
+                contexts = np.bincount(word * 2 * classes + near, minlength=len(own) * 2 * classes).reshape(len(own), -1).astype(float)
+                if len(last) and own[0] == last[0]:
+                    contexts[0] += over[0]
+                elif len(last):
+                    yield out(last, over)
+                last, over = own[-1:], contexts[-1:]
+                yield out(own[:-1], contexts[:-1])
+        if len(last):
+            yield out(last, over)
+
+    near = docs.select("text").mapInArrow(gather, "h long, near binary")
+    return near.repartition("h").sortWithinPartitions("h").mapInArrow(choose, "h long, k smallint")
+
+
 class Model:
     """What tasks need: all of bounded size."""
 
-    def __init__(self, frequent, counts, of, step, n_class, v_class, n, v, ends):
-        self.frequent, self.of, self.step, self.n, self.v, self.ends = frequent, of, step, n, v, ends
-        self.base_total = n + 0.5 * (v + 1)
+    def __init__(self, least, frequent, counts, of, n_class, v_class, ends):
+        self.least, self.frequent, self.counts, self.of = least, frequent, counts, of
+        self.n, self.v, self.ends = int(n_class.sum()) + ends, int(v_class.sum()) + (ends > 0), ends
+        self.base_total = self.n + 0.5 * (self.v + 1)
         self.class_total = n_class + 0.5 * (v_class + 1)
-        self.known = counts > 0
-        self.base = np.log10((counts + 0.5) / self.base_total)
-        units = np.array([i + 1 if i < WORD_UNITS else 1 + WORD_UNITS + cell(w) for i, w in enumerate(frequent)], np.int64)
-        self.emit = np.log10((counts + 0.5) / self.class_total[of[units]]) if len(frequent) else np.zeros(0)
         self.end_base = float(np.log10((ends + 0.5) / self.base_total))
 
 
-def learn(docs: DataFrame) -> tuple[Model, DataFrame, int]:
-    """The model, the table of word counts, and the least total of a frequent word, from docs (text binary, training boolean)."""
-    words = written(word_counts(docs), "word-counts")
-    least, frequent, counts = frequent_words(words)
-    ends = docs.where("training").count()
-    m = unit_bigrams(docs.where("training"), frequent)
+def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model but for its transitions, and the table of words (h, c, total, k: class), from docs (text binary, training boolean)."""
+    counts = written(word_counts(docs), "word-counts")
+    training = docs.where("training")
+    ends = training.count()
+    seeds = seeds_of(counts)
+    m = unit_bigrams(training, seeds)
     of = exchange(m)
+    rest = word_classes(training, seeds, of, class_pairs(m, of))
+    named = docs.sparkSession.createDataFrame([(int(h), int(of[i + 1])) for i, h in enumerate(signed(seeds))], "h long, k smallint")
+    cell_class = of[1 + len(seeds) :]
+    by_cell = F.element_at(F.lit([int(k) for k in cell_class]), (F.col("h").bitwiseAND(CELLS - 1) + 1).cast("int")).cast("smallint")
+    words = written(counts.join(rest.unionByName(named), "h", "left").select("h", "c", "total", F.coalesce("k", by_cell).alias("k")), "words")
+    remove(docs.sparkSession, counts)
     n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    top = min(len(frequent), WORD_UNITS)
-    np.add.at(n_class, of[1 : top + 1], counts[:top])
-    np.add.at(v_class, of[1 : top + 1], counts[:top] > 0)
-    by_cell = words.where("c > 0").groupBy("cell").agg(F.sum("c"), F.count("*")).collect()  # CELLS rows
-    n_cell, v_cell = np.zeros(CELLS), np.zeros(CELLS)
-    for c, n, v in by_cell:
-        n_cell[c], v_cell[c] = n, v
-    for w, c in zip(frequent[:top], counts[:top]):
-        n_cell[cell(w)] -= c
-        v_cell[cell(w)] -= c > 0
-    np.add.at(n_class, of[1 + WORD_UNITS :], n_cell)
-    np.add.at(v_class, of[1 + WORD_UNITS :], v_cell)
-    n, v = int(n_class.sum()) + ends, int(v_class.sum()) + (ends > 0)
-    return Model(frequent, counts, of, transitions(m, of), n_class, v_class, n, v, ends), words, least
-
-
-def score(docs: DataFrame, model: Model, words: DataFrame, least: int) -> DataFrame:
-    """doc_id, training, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row
-    of docs (doc_id, text binary, training)."""
+    for k, n, v in words.where("c > 0").groupBy("k").agg(F.sum("c"), F.count("*")).collect():  # CLASSES rows
+        n_class[k], v_class[k] = n, v
+    least = least_of(words, "total", FREQUENT)
+    got = words.where(F.col("total") >= least).select("h", "c", "k").toArrow()  # FREQUENT rows at most
+    h = got.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    c, k = (got.column(x).to_numpy()[order] for x in ("c", "k"))
+    return Model(least, h[order], c, k.astype(np.uint8), n_class, v_class, ends), words
+
+
+def sequences(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+    """doc_id, training, n_tokens, n_known, base, emit and classes (a byte a token, the end last) for each
+    row of docs (doc_id, text binary, training)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "row long, doc_id long, training boolean, n_tokens long, n_known long, base double, model double, rare array<struct<word:binary,cell:int,n:long>>"
-    kind = pa.list_(pa.struct([("word", pa.binary()), ("cell", pa.int32()), ("n", pa.int64())]))
+    names = ["row", "doc_id", "training", "n_tokens", "n_known", "base", "emit", "classes", "rare"]
 
     def run(batches):
         own = shared.value
-        ids = {w: i for i, w in enumerate(own.frequent)}
+        find = Lookup(own.frequent)
+        known = np.append(own.counts > 0, False).astype(np.int64)
+        base = np.append(np.log10((own.counts + 0.5) / own.base_total), 0.0)
+        emit = np.append(np.log10((own.counts + 0.5) / own.class_total[own.of]), 0.0)
+        of = np.append(own.of, np.uint8(SEEN_LATER))
         row = TaskContext.get().partitionId() << 40
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part, out = b.slice(at, 500), []
-                for text in part.column("text"):
-                    n, known, base, total, last, rare = 1, int(own.ends > 0), own.end_base, 0.0, 0, Counter()
-                    for some in words_of(text.as_py() or b""):
-                        if some:
-                            at_, unit = looked_up(some, ids)
-                            k = own.of[unit]
-                            total += float(own.step[np.concatenate([[last], k[:-1]]), k].sum())
-                            last = int(k[-1])
-                            here = at_[at_ >= 0]
-                            n, known = n + len(some), known + int(own.known[here].sum())
-                            base, total = base + float(own.base[here].sum()), total + float(own.emit[here].sum())
-                            rare.update([some[i] for i in np.flatnonzero(at_ < 0)])
-                    total += float(own.step[last, 0])
-                    out.append((n, known, base, total, [{"word": w, "cell": cell(w), "n": c} for w, c in rare.items()]))
-                n, known, base, total, rare = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(row, row + len(out)), pa.int64()), part.column("doc_id"), part.column("training"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(total), pa.array(rare, kind)],
-                    ["row", "doc_id", "training", "n_tokens", "n_known", "base", "model", "rare"],
-                )
-                row += len(out)
-
-    parts = written(docs.select("doc_id", "text", "training").mapInArrow(run, schema), "scores")
-    rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.*")
-    class_total = F.element_at(F.lit([float(model.class_total[k]) for k in model.of[1 + WORD_UNITS :]]), F.col("cell") + 1)
-    counts = words.where(F.col("total") < least).select("word", "c")
+        for b, texts in ((p, t) for b in batches for p, t in chunks([b], "text")):
+            h, _, n = tokens(texts)
+            at = find(h)  # -1: the last of each array
+            ends = np.cumsum(n)
+            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[ends], prepend=0)
+            rare = np.flatnonzero(at < 0)
+            k = np.insert(of[at], ends, END)
+            cut = ends + np.arange(1, len(n) + 1)
+            classes = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, cut).astype(np.int32)), pa.py_buffer(k)])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, np.append(0, ends)).astype(np.int32)), pa.array(signed(h[rare])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(row, row + len(n))), b.column("doc_id"), b.column("training"), pa.array(n + 1), pa.array(total(known[at]) + int(own.ends > 0)),
+                 pa.array(sums(base[at], n) + own.end_base), pa.array(sums(emit[at], n)), classes, lists], names,
+            )
+            row += len(n)
+
+    schema = "row long, doc_id long, training boolean, n_tokens long, n_known long, base double, emit double, classes binary, rare array<long>"
+    parts = written(docs.select("doc_id", "text", "training").mapInArrow(run, schema), "sequences")
+    rare = parts.select("row", F.posexplode("rare").alias("i", "h"))
+    class_total = F.element_at(F.lit([float(x) for x in model.class_total]), F.col("k") + 1)
     added = (
-        rare.join(counts, "word")
+        rare.join(words.where(F.col("total") < model.least).select("h", "c", "k"), "h")
         .groupBy("row").agg(
-            F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known2"),
-            F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / F.lit(float(model.base_total)))).alias("base2"),
-            F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / class_total)).alias("model2"),
+            F.sum((F.col("c") > 0).cast("long")).alias("known2"),
+            F.sum(F.log10((F.col("c") + 0.5) / F.lit(float(model.base_total)))).alias("base2"),
+            F.sum(F.log10((F.col("c") + 0.5) / class_total)).alias("emit2"),
+            F.transform(F.array_sort(F.collect_list(F.col("i").cast("long") * 256 + F.col("k"))), lambda x: (x % 256).cast("smallint")).alias("later"),
         )
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
     return parts.drop("rare").join(added, "row", "left").select(
-        "doc_id", "training", "n_tokens", (F.col("n_known") + zero("known2")).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("base2")).alias("base_score"), (F.col("model") + zero("model2")).alias("score"),
+        "doc_id", "training", "n_tokens", (F.col("n_known") + zero("known2")).alias("n_known"),
+        (F.col("base") + zero("base2")).alias("base"), (F.col("emit") + zero("emit2")).alias("emit"), "classes", "later",
+    )
+
+
+def sums(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of n numbers."""
+    out, some = np.zeros(len(n)), n > 0
+    if len(x):
+        out[some] = np.add.reduceat(x, (np.cumsum(n) - n)[some])
+    return out
+
+
+def filled(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of a batch's texts one after another, and their numbers."""
+    classes = b.column("classes").to_pylist()
+    k = np.frombuffer(b"".join(classes), np.uint8).copy()
+    later = b.column("later").flatten()
+    k[k == SEEN_LATER] = later.to_numpy().astype(np.uint8)
+    return k, np.array([len(x) for x in classes])
+
+
+def sequence_pairs(found: DataFrame, classes: int = CLASSES) -> np.ndarray:
+    """Counts of class pairs over sequences; the end token also stands before a text."""
+
+    def run(batches):
+        g = np.zeros(classes * classes, np.int64)
+        for b in batches:
+            if b.num_rows:
+                k = np.append(np.uint8(END), filled(b)[0]).astype(np.int64)  # a text's end stands before the next one
+                g += np.bincount(k[:-1] * classes + k[1:], minlength=classes * classes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes * classes, dtype=np.int32)), pa.array(g)], ["pair", "n"])
+
+    g = np.zeros(classes * classes)
+    for pair, n in found.select("classes", "later").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n")).collect():  # classes^2 rows
+        g[pair] = n
+    return g.reshape(classes, classes)
+
+
+def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+    """doc_id, training, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row
+    of docs (doc_id, text binary, training)."""
+    found = written(sequences(docs, model, words), "class-sequences")
+    shared = docs.sparkSession.sparkContext.broadcast(transitions(sequence_pairs(found.where("training"))))
+
+    def run(batches):
+        step = shared.value
+        for b in batches:
+            if b.num_rows:
+                k, n = filled(b)
+                moves = sums(step[np.append(np.uint8(END), k[:-1]), k], n)
+                total = pa.array(moves + b.column("emit").to_numpy())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "training", "n_tokens", "n_known", "base")), total], ["doc_id", "training", "n_tokens", "n_known", "base", "score"])
+
+    scored = found.mapInArrow(run, "doc_id long, training boolean, n_tokens long, n_known long, base double, score double")
+    return scored.select(
+        "doc_id", "training", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score"
     ).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 

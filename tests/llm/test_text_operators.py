@@ -216,7 +216,89 @@ def test_rare_words_beyond_the_broadcast_are_the_same(spark, odd, monkeypatch):
     want = lm_scoring.op10(spark, odd).toPandas().sort_values(["doc_id", "n_tokens"]).reset_index(drop=True)
     monkeypatch.setattr(lm_scoring, "FREQUENT", 30)
     got = lm_scoring.op10(spark, odd).toPandas().sort_values(["doc_id", "n_tokens"]).reset_index(drop=True)
-    assert np.allclose(want.base_score, got.base_score) and (want.n_known == got.n_known).all()
+    assert np.allclose(want.base_score, got.base_score) and np.allclose(want.score, got.score) and (want.n_known == got.n_known).all()
+
+
+def test_scores_equal_a_plain_class_bigram(spark, odd, monkeypatch):
+    """Classes of all words over the floor from their own contexts, and scores, by loops over words."""
+    monkeypatch.setattr(lm_scoring, "SEEDS", 12)
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 100)
+    split = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    docs = [(i, [*(t or "").encode().lower().split()]) for i, t in ((r.doc_id, r.text) for r in documents(spark).select("doc_id", "text").collect())]
+    code = {w: int(lm_scoring.signed(lm_scoring.tokens([w])[0])[0]) for w in {w for _, ws in docs for w in ws}}
+    assert len(set(code.values())) == len(code)
+    c = Counter(w for i, ws in docs if not split(i) for w in ws)
+    ends = sum(not split(i) for i, _ in docs)
+    seeds = sorted(sorted(c, key=lambda w: (-c[w], code[w]))[:12], key=lambda w: code[w] % 2**64)
+    unit = lambda w: seeds.index(w) + 1 if w in seeds else 13 + code[w] % lm_scoring.CELLS
+    m = np.zeros((13 + lm_scoring.CELLS, 13 + lm_scoring.CELLS))
+    for i, ws in docs:
+        if not split(i):
+            u = [0, *map(unit, ws), 0]
+            for a, b in zip(u, u[1:]):
+                m[a, b] += 1
+    of = lm_scoring.exchange(m)
+    k = lm_scoring.CLASSES
+    g = lm_scoring.class_pairs(m, of)
+    contexts = {w: np.zeros(2 * k) for w in c}
+    for i, ws in docs:
+        if not split(i):
+            own = [0, *(int(of[unit(w)]) for w in ws), 0]
+            for at, w in enumerate(ws):
+                contexts[w][own[at]] += 1
+                contexts[w][k + own[at + 2]] += 1
+    far = [w for w in c if c[w] >= lm_scoring.FLOOR and w not in seeds]
+    assert len(far) > 50
+    best = dict(zip(far, lm_scoring.best_classes(np.array([contexts[w] for w in far]), g)))
+    classes = {w: int(best.get(w, of[unit(w)])) for w in code}
+    n, v, pairs = Counter(), Counter(), np.zeros((k, k))
+    for w in c:
+        n[classes[w]] += c[w]
+        v[classes[w]] += 1
+    for i, ws in docs:
+        if not split(i):
+            own = [0, *(classes[w] for w in ws), 0]
+            for a, b in zip(own, own[1:]):
+                pairs[a, b] += 1
+    step, want = lm_scoring.transitions(pairs), []
+    for i, ws in docs:
+        own = [0, *(classes[w] for w in ws), 0]
+        want.append((len(ws) + 1, round(sum(step[a, b] for a, b in zip(own, own[1:])) + sum(math.log10((c[w] + 0.5) / (n[classes[w]] + 0.5 * (v[classes[w]] + 1))) for w in ws), 4)))
+    got = [(r.n_tokens, round(r.score, 4)) for r in lm_scoring.op10(spark, odd).collect()]
+    assert sum(c.values()) + ends == lm_scoring.op10(spark, odd).first().train_tokens
+    assert np.allclose(sorted(got), sorted(want), atol=2e-4)
+
+
+def test_best_class_is_of_most_likelihood():
+    r = np.random.default_rng(5)
+    g, contexts = r.integers(0, 40, (5, 5)), r.integers(0, 6, (20, 10))
+    p = (g + 0.5) / (g.sum(1, keepdims=True) + 2.5)
+    share = (g.sum(0) + 0.5) / (g.sum() + 2.5)
+    for row, k in zip(contexts, lm_scoring.best_classes(contexts.astype(float), g)):
+        value = [sum(n * math.log(p[a, j] / share[j]) for a, n in enumerate(row[:5])) + sum(n * math.log(p[j, b]) for b, n in enumerate(row[5:])) for j in range(1, 5)]
+        assert k == 1 + int(np.argmax(value))
+
+
+def test_lookup_finds_what_is_there():
+    r = np.random.default_rng(1)
+    for size in (0, 1, 2, 1000):
+        known = np.unique(np.concatenate([r.integers(0, 2**64, size, dtype=np.uint64), r.integers(0, 50, min(size, 20), dtype=np.uint64)]))
+        asked = np.concatenate([known, known + np.uint64(1), r.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        at = lm_scoring.Lookup(known)(asked)
+        where = {int(x): i for i, x in enumerate(known)}
+        assert at.tolist() == [where.get(int(x), -1) for x in asked]
+
+
+def test_model_terms_of_a_text_over_four_megabytes():
+    r = np.random.default_rng(2)
+    words = [b"w%d" % i for i in range(500)] + [b"Caf\xc3\xa9", b"A" * 300]
+    long = b" ".join(words[i] for i in r.integers(0, 502, 900_000)) + b"\n tail"
+    assert len(long) > 4 << 20
+    h, cell, n = lm_scoring.tokens([long])
+    two, _, sizes = lm_scoring.tokens([long, b"", b"one two"])
+    assert n[0] == len(h) == len(long.split()) and (two[: n[0]] == h).all() and sizes.tolist() == [n[0], 0, 2]
+    names = dict(zip(h.tolist(), long.lower().split()))
+    assert len(names) == len(set(long.lower().split()))
 
 
 def test_class_model_adds_up():
@@ -224,7 +306,7 @@ def test_class_model_adds_up():
     m = r.integers(0, 30, (40, 40)).astype(float)
     of = lm_scoring.exchange(m, classes=6)
     assert of[0] == 0 and (of[1:] > 0).all()
-    assert np.allclose((10 ** lm_scoring.transitions(m, of, 6)).sum(1), 1)
+    assert np.allclose((10 ** lm_scoring.transitions(lm_scoring.class_pairs(m, of, 6))).sum(1), 1)
 
     def value(of):
         g = np.zeros((6, 6))
