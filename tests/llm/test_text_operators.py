@@ -376,3 +376,96 @@ def test_article_of_each_page(spark):
     ]
     for one in (extracted(spark, pages), [extracted(spark, [p])[0] for p in pages]):
         assert one == ["In article", "Only main", "By mass, long enough", "Layout", "Around", "x after"]
+
+
+def test_class_names_and_captions_do_not_matter(spark):
+    for name in ("related", "post search-result", "legal-news", "story banner", "content comment-policy"):
+        pages = [f"<nav><a href=/>Home</a></nav><article class='{name}'><header><h1>Head {i}</h1></header><figure><figcaption>Caption {i}</figcaption></figure><p>Text of page {i}</p></article>" for i in range(6)]
+        assert extracted(spark, pages) == [f"Head {i} Caption {i} Text of page {i}" for i in range(6)]
+
+
+def unnamed(r, i):
+    """A page of divisions whose names tell nothing, and its article text: what varies and is long."""
+    blocks = [f"Sentence {k} of page {i} " + "goes on " * r.randint(5, 15) for k in range(r.randint(1, 6))]
+    terms = [(f"term {i} {k}", f"meaning {i} {k} that is told at length") for k in range(r.choice([0, 0, 3, 5]))]
+    menu = "".join(f"<div class=x1><a href=/{k}>Menu {k}</a></div>" for k in range(r.randint(3, 6)))
+    body = f"<h1>Title {i}</h1>" + "".join(f"<p>{b}</p>" for b in blocks) + ("<dl>" + "".join(f"<dt>{a}<dd>{b}" for a, b in terms) + "</dl>" if terms else "")
+    html = f"<html><body><div class=x0>{menu}</div><div class=x0><div class=z9>Subscribe to us today</div><div class=q7>{body}</div></div><div class=x0><div>About</div><div>Imprint {i}</div></div></body></html>"
+    return html, " ".join([f"Title {i}", *(b.strip() for b in blocks), *(x for t in terms for x in t)])
+
+
+def test_host_without_helpful_names(spark):
+    import random
+
+    r = random.Random(8)
+    pages, want = zip(*(unnamed(r, i) for i in range(40)))
+    assert extracted(spark, pages) == list(want)
+
+
+def test_any_order_and_partitioning_gives_the_same(spark, sf_dir):
+    import random
+
+    r = random.Random(9)
+    rows = [(f"p{k}", "https://one.example/", unnamed(r, k)[0]) for k in range(150)] + [(f"q{x.page_id}", "http://two.example", x.html) for x in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    seen = []
+    for parts, order in ((1, rows), (7, rows[::-1]), (4, r.sample(rows, len(rows)))):
+        df = spark.createDataFrame(order, "page_id string, url string, html string").repartition(parts)
+        seen.append((sorted(tuple(x) for x in html_extract.main_text(df).collect()), sorted((x.host, bytes(x.wrapper)) for x in html_extract.wrappers(df.withColumn("host", html_extract.host())).collect())))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0][0]) == len(rows)
+    assert spark.createDataFrame(rows, "page_id string, url string, html string").count() > html_extract.FAN_IN  # more than one round
+
+
+def test_repeats_of_several_elements_and_long_pages():
+    page = lambda n, i: "<article><dl>" + "".join(f"<dt>word {k} {i}</dt><dd>sense {k} {i}</dd>" for k in range(n)) + "</dl></article>"
+    import random
+    import time
+
+    r = random.Random(1)
+    kinds = ["h2", "p", "table", "ul", "pre", "blockquote"]
+    mixed = lambda n, i: "<article>" + "".join(f"<{k}>{j} {i}</{k}>" for j, k in enumerate(r.choice(kinds) for _ in range(n))) + "</article>"
+    began = time.monotonic()
+    for make, n in ((page, 20_000), (mixed, 20_000), (mixed, 350)):
+        pages = [html_extract.parse(make(n, i)) for i in range(3)]
+        wrapper = html_extract.skeleton(pages[0])
+        for p in pages[1:]:
+            wrapper = html_extract.merge(wrapper, html_extract.skeleton(p))
+        count = lambda g: 1 + sum(map(count, g[1])) if g[0] != "#" else 1
+        assert count(wrapper) < 2000
+        rule = html_extract.Rule(wrapper)
+        for p in pages:
+            flat = lambda g: [g[1]] if g[0] == "#" else [x for c in g[1] for x in flat(c)]
+            assert html_extract.extract(p, rule) == " ".join(flat(p))
+    assert time.monotonic() - began < 60
+    one = html_extract.skeleton(html_extract.parse(page(5, 1)))
+    (dl,) = one[1][0][1]
+    assert [c[0] for c in dl[1]] == ["*"] and [c[0] for c in dl[1][0][1]] == ["dt", "dd"]
+
+
+def test_alignment_is_of_largest_likeness():
+    import random
+
+    r = random.Random(2)
+    node = lambda: [r.choice("abc"), [[r.choice("xy"), [], 1, False]], 1, False]
+    for _ in range(200):
+        x, y = ([node() for _ in range(r.randint(0, 6))] for _ in range(2))
+
+        def best(i, j):
+            if i == len(x) or j == len(y):
+                return 0.0
+            own = html_extract.likeness(x[i], y[j])
+            return max(best(i + 1, j), best(i, j + 1), best(i + 1, j + 1) + own if own else 0.0)
+
+        found = html_extract.pairs_of(x, y)
+        if not (len(x) == len(y) and len(found) == len(x)):
+            assert abs(sum(html_extract.likeness(x[i], y[j]) for i, j in found) - best(0, 0)) < 1e-9
+        assert all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:]))
+
+
+def test_pages_of_odd_tables(spark):
+    schema = "page_id long, url string, html string, host string, wrapper string, place long, by long, n long, text string"
+    none = html_extract.main_text(spark.createDataFrame([], schema))
+    assert none.count() == 0
+    rows = [(1, None, None), (None, "http://h.example/", "<p>a</p>"), (2, "http://h.example/", "<p>a</p>"), (2, "http://h.example/", "<p>a</p>"), (3, "no url", "x" * 5_000_000), (4, "http://h.example/", "<article>" + "<p>word</p>" * 300_000)]
+    df = spark.createDataFrame([(*x, "h", "w", 1, 2, 3, "t") for x in rows], schema)
+    got = sorted(((r.page_id or 0), r.text) for r in html_extract.main_text(df).collect())
+    assert [(i, len(t)) for i, t in got] == [(0, 1), (1, 0), (2, 1), (2, 1), (3, 5_000_000), (4, 1_499_999)]
