@@ -10,9 +10,10 @@ Tests stop at the first that fails (fixed-sequence testing, no correction within
 strata the level is divided by their number (Bonferroni); with one score, ALPHA is not divided. With
 probability 1 - DELTA, all strata at once, at most ALPHA of the good documents are rejected by the
 rule. Of the certified cutoffs the loosest is taken that still rejects ENOUGH of the bad documents
-that the strictest would. With four strata 144 good labels that pass the base rule are enough; a
-stratum with fewer gets no cutoff, as no number of rejections could be certified, and its documents
-are kept.
+that the strictest would. With four strata 144 good labels that pass the base rule are enough. Strata
+with fewer, for which no cutoff could be certified, and languages without labels are one stratum
+together, whose rule is certified for their documents as a whole; if that is too small as well, it
+has no cutoff, and its documents are kept.
 
 What the labels give is counted by Spark on a fixed grid of cutoffs: strata x grid rows.
 
@@ -23,7 +24,7 @@ empty tables give no rows or no cutoffs; further columns are ignored.
 
 from __future__ import annotations
 
-from math import exp, lgamma, log, log1p
+from math import ceil, exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from .shared import table, written
 from .text import SPACE, chunk_words, chunks, shingles
 
 ALPHA, DELTA, GRID, ENOUGH = 0.03, 0.05, 100, 0.95
+#: The stratum of all languages without enough labels.
+OTHERS = "\x00others"
 #: Share of the text that each rule looks at, in 0..1; higher is worse.
 RULES = ("marks", "shouting", "duplicate_lines", "repeated_words")
 #: A share of so much counts as 1 in the score, of which STEPS grid cells make 1.
@@ -111,17 +114,20 @@ def certified(rejected: int, n: int, alpha: float, delta: float) -> bool:
     return n > 0 and rejected < alpha * n and binomial_cdf(rejected, n, alpha) <= delta
 
 
-def cutoffs(counts: dict[tuple[str, str], np.ndarray], alpha: float = ALPHA, delta: float = DELTA, rules: int = len(RULES)) -> dict[tuple[str, str], int]:
-    """counts: by (stratum, rule), bad (row 0) and good (row 1) documents by grid cell of their
-    statistic. The chosen cutoff cell c of each: reject a document whose cell is over c. rules: how
-    many rules of a stratum share alpha and delta."""
-    tests = max(1, len({s for s, _ in counts}) * rules)
+def labels_needed(tests: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """Good documents without which nothing can be certified in one of so many strata."""
+    return ceil(log(delta / max(1, tests)) / log1p(-alpha))
+
+
+def cutoffs(counts: dict[str, np.ndarray], alpha: float = ALPHA, delta: float = DELTA) -> dict[str, int]:
+    """counts: by stratum, bad (row 0) and good (row 1) documents by grid cell of their score. The
+    chosen cutoff cell c of each: reject a document whose cell is over c."""
     found = {}
     for key, (bad, good) in counts.items():
         n, rejected, passed = int(good.sum()), 0, []
         for c in range(GRID - 1, -1, -1):
             rejected += int(good[c + 1])
-            if not certified(rejected, n, alpha / rules, delta / tests):
+            if not certified(rejected, n, alpha, delta / len(counts)):
                 break
             passed.append((c, int(bad[c + 1 :].sum())))
         if passed and passed[-1][1]:
@@ -139,23 +145,28 @@ def cells() -> dict:
 
 
 def learn(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, int]:
-    """Each stratum's cutoff of the score, from the rows of stats (of measured()) that labels (doc_id, quality) covers."""
+    """Each stratum's cutoff of the score, from the rows of stats (of measured()) that labels (doc_id,
+    quality) covers; OTHERS stands for all strata without enough labels."""
     marked = labels.where("quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     grid = (
         stats.where(~base_failed()).join(marked, "doc_id")
         .groupBy(stratum().alias("stratum"), "quality", F.greatest(*cells().values()).alias("cell")).count()
     )
-    counts: dict[tuple[str, str], np.ndarray] = {}
-    for s, quality, c, n in grid.collect():  # strata x 2 x (GRID + 1) rows at most
-        counts.setdefault((s, "score"), np.zeros((2, GRID + 1), np.int64))[quality, c] += n
-    return {s: c for (s, _), c in cutoffs(counts, alpha, delta, 1).items()}
+    counts: dict[str, np.ndarray] = {}
+    for s, quality, c, n in grid.collect():  # languages x 2 x (GRID + 1) rows at most
+        counts.setdefault(s, np.zeros((2, GRID + 1), np.int64))[quality, c] += n
+    need = labels_needed(len(counts), alpha, delta)
+    few = [s for s, n in counts.items() if n[1].sum() < need]
+    if few:
+        counts[OTHERS] = sum(counts.pop(s) for s in few)
+    return cutoffs(counts, alpha, delta)
 
 
 def judged(stats: DataFrame, found: dict[str, int]) -> DataFrame:
     """stats with base_failed, kept and reasons."""
-    limit = F.lit(GRID)
-    for s, c in found.items():
-        limit = F.when(stratum() == s, F.lit(c)).otherwise(limit)
+    others = F.lit(found.get(OTHERS, GRID))
+    own = [F.lit(x) for s, c in found.items() if s != OTHERS for x in (s, c)]
+    limit = F.coalesce(F.element_at(F.create_map(*own), stratum()), others) if own else others
     reject = [F.when(c > limit, F.lit(rule)) for rule, c in cells().items()]
     return stats.withColumn("base_failed", base_failed()).withColumn("reasons", F.array_compact(F.array(*reject))).withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))
 

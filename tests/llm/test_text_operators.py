@@ -135,7 +135,7 @@ def test_exact_binomial_bound_and_error_control():
         good = r.beta(1, 8, 400)
         cells = np.bincount(np.ceil(good * quality_rules.GRID).astype(int), minlength=quality_rules.GRID + 1)
         bad = np.full(quality_rules.GRID + 1, 5)
-        found = quality_rules.cutoffs({("en", "marks"): np.stack([bad, cells])}, alpha * len(quality_rules.RULES), 0.1)
+        found = quality_rules.cutoffs({"en": np.stack([bad, cells])}, alpha, 0.1)
         for c in found.values():
             broken += (1 - c / quality_rules.GRID) ** 8 > alpha
     assert broken <= 20
@@ -151,6 +151,70 @@ def test_quality_rule_of_a_small_stratum(spark):
     assert quality_rules.learn(stats, few) == {}
 
 
+def test_small_strata_are_one(spark):
+    """Two languages of 90 good documents each are enough together; French has its own, milder rule."""
+    row = lambda i, lang, marks: (i, lang, 60, 300, marks, 0, 0, 5, 6, 300, marks)
+    rows = [row(i, "de" if i % 2 else "es", 0) for i in range(180)] + [row(i, "de", 15) for i in range(180, 200)]
+    rows += [row(i, "fr", 15) for i in range(200, 400)] + [row(i, "fr", 90) for i in range(400, 420)] + [row(420, "xx", 15), row(421, None, 0)]
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in quality_rules.COUNTS))
+    labels = spark.createDataFrame([(i, int(i < 180 or 200 <= i < 400)) for i in range(420)], "doc_id long, quality int")
+    found = quality_rules.learn(stats, labels)
+    assert set(found) == {"fr", quality_rules.OTHERS} and found["fr"] > found[quality_rules.OTHERS]
+    out = quality_rules.judged(stats, found).toPandas()
+    assert set(out.doc_id[~out.kept]) == {*range(180, 200), *range(400, 420), 420}
+    for tests in (1, 2, 4):
+        n = quality_rules.labels_needed(tests)
+        assert quality_rules.certified(0, n, quality_rules.ALPHA, quality_rules.DELTA / tests) and not quality_rules.certified(0, n - 1, quality_rules.ALPHA, quality_rules.DELTA / tests)
+
+
+def binomial_upper(k, n, level):
+    """The Clopper-Pearson upper bound, by bisection of the distribution summed term by term."""
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        p = (low + high) / 2
+        low, high = (p, high) if sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) > level else (low, p)
+    return high
+
+
+def test_cutoffs_equal_a_plain_search(spark):
+    """Verdicts of the query against the rule written out, on labels that certify something."""
+    d = "/root/testdata/sf0.01"
+    out = quality_rules.op8(spark, d).toPandas()
+    docs = spark.read.parquet(f"{d}/documents.parquet").toPandas().set_index("doc_id")
+    labels = spark.read.parquet(f"{d}/labels.parquet").toPandas()
+    score, base = {}, {}
+    for i, t, lang in zip(docs.index, docs.text, docs.lang):
+        t = t or ""
+        words, chars, _, dup, repeats = brute_statistics(t)
+        base[i] = words < 50 or 100 * repeats > 50 * words
+        lines = len([x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+        letters, upper, marks = len(re.findall("[A-Za-z]", t)), len(re.findall("[A-Z]", t)), len(re.findall(r"[#*$%&|<>!]", t))
+        shares = {"marks": (marks, chars), "shouting": (upper, letters), "duplicate_lines": (dup, lines), "repeated_words": (repeats, words)}
+        score[i] = max(min(100, math.ceil(min(1, a / b) / quality_rules.LIMITS[r] * 25)) if b else 0 for r, (a, b) in shares.items())
+    good, bad = Counter(), Counter()
+    for i, q in zip(labels.doc_id, labels.quality):
+        if i in base and not base[i] and q in (0, 1):
+            (good if q else bad)[docs.lang[i] or "", score[i]] += 1
+    names = {s for s, _ in [*good, *bad]}
+    total = lambda c, some, over=-1: sum(n for (s, x), n in c.items() if s in some and x > over)
+    own = [{s} for s in names if total(good, {s}) >= quality_rules.labels_needed(len(names))]
+    rest = names - set().union(*own) if own else names
+    groups = own + ([rest] if rest else [])
+    limit = {}
+    for some in groups:
+        n, certified = total(good, some), []
+        for c in range(99, -1, -1):
+            if not n or binomial_upper(total(good, some, c), n, quality_rules.DELTA / len(groups)) > quality_rules.ALPHA:
+                break
+            certified.append(c)
+        if certified and total(bad, some, certified[-1]):
+            c = next(c for c in certified if total(bad, some, c) >= 0.95 * total(bad, some, certified[-1]))
+            limit |= {s: c for s in some} | ({None: c} if some is rest else {})
+    want = {i: not base[i] and score[i] <= limit.get(lang or "", limit.get(None, 100) if (lang or "") not in names else 100) for i, lang in docs.lang.items()}
+    assert dict(zip(out.doc_id, out.kept)) == want
+    assert limit and (~out.kept & ~out.base_failed).sum() > 0  # a learnt cutoff acts
+
+
 def test_forward_backward_is_exact():
     r = np.random.default_rng(0)
     n = np.array([3, 1, 5, 2])
