@@ -5,26 +5,34 @@ Two documents link when 100 * |A n B| >= percent * |A u B| over their sets of wo
 1. Documents with equal sets form one class; its smallest doc_id stands for it from here on.
 2. Shingles get one global order: by hash, but shingles that turn up in HOT_LEAST prefixes or more
    come last, by that number. It is found by ROUNDS rounds: count all prefixes under the present
-   order, demote, repeat. (Any order is correct; this one makes prefixes rare. At most HOT_LIMIT
-   shingles are demoted, so what is broadcast is bounded.)
+   order, demote, repeat. (Any order is correct; this one makes prefixes rare. At most ROUNDS * HOT_LIMIT
+   shingles, a million, are demoted, so what is broadcast is bounded.)
 3. Linked documents share at least l of the first |A| - ceil(t |A|) + l shingles of that order
    (the l-prefix). Each document picks l in 1..L_MAX by the estimated cost of its candidates: the
    postings read, plus the verifications that so many postings can bring about when a candidate
    needs l of them. Two documents must share min(l, l') shingles before verification.
 4. Postings are joined in two steps. First every document meets one document of each of its prefix
    shingles only (the first of HEADS orders, by shingle), which is linear in the postings, and
-   components are formed. Then pairs from different components meet: copies of one another are
-   together by then, so a large group of near copies is not expanded into its pairs, and no link
-   between components is lost.
+   components are formed. Then pairs from different components meet, and must share the number of
+   shingles of 3: copies of one another are together by then, so a large group of near copies is not
+   expanded into its pairs, and no link between components is lost.
+   Step one can't count: a document's other shared shingles may have other heads, so the number of
+   shingles with one head is only a lower bound, and a demand on it would leave members of a large
+   group to step two. It needs no count either: it may find any links it likes, as each is verified,
+   and what it misses step two finds; 5. keeps its pairs few (check_s: 485,624 postings, 4,586 pairs
+   to verify, 3,022 of them links).
 5. A pair only leaves a join if its sketches allow a link: a sketch has the parity of the number of
    elements in each of SKETCH cells, and every element in one set only changes one parity, so sets
    that differ in more parities than linked sets may differ in elements cannot link. This is exact.
-6. Candidates are verified by the full sets of just those documents that have candidates.
+6. Candidates are verified by full sets, made anew of just the documents that have candidates. The
+   set of a is sent to each b, that of b is sent once to every PART pairs of b, so a document of very
+   many candidates is no hot key.
 
 Defined cases: null and empty texts have an empty set and link with nothing; texts of fewer words
-than a shingle are one shingle; rows of a repeated doc_id are one document; rows without doc_id
-get the component of the class they are in, if that has an id; empty tables give no rows; further
-columns are ignored.
+than a shingle are one shingle; rows of a repeated doc_id are one document: if its texts differ, it
+has the links of equal texts of each, and other links by the text of the smallest fingerprint; rows
+without doc_id get the component of the class they are in, if that has an id; empty tables give no
+rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,10 +43,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import remove, table, written
+from .shared import free_name, remove, table, written
 from .text import chunk_words, chunks, mix, shingles, signed
 
-HOT_LEAST, HOT_LIMIT, ROUNDS, L_MAX, HEADS, SKETCH, BROADCAST_IDS = 4, 500_000, 2, 8, 4, 512, 1_000_000
+HOT_LEAST, HOT_LIMIT, ROUNDS, L_MAX, HEADS, SKETCH, BROADCAST_IDS, PART, HOT_CLASSES = 4, 500_000, 2, 8, 4, 512, 1_000_000, 256, 10_000
 _other, _third = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -98,12 +106,23 @@ def prefixes(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.nd
     return texts(docs).mapInArrow(run, "doc_id long, n long, f long, g long, sketch array<long>, prefix array<long>")
 
 
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
+def full_sets(docs: DataFrame, few: DataFrame, k: int, small: bool, texts_of: DataFrame | None) -> DataFrame:
+    """The columns of few (id, carried) and the set of each document of an id. texts_of: id and
+    fingerprint of the text that counts, for ids of several."""
+    docs = texts(docs)
+    found = docs.join(F.broadcast(few) if small else few, docs["doc_id"] == few["id"]).select("id", "carried", "text")
+
     def run(batches):
         for b, some in chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists([shingle_set(w, k) for w in chunk_words(some)])], ["doc_id", "items"])
+            sets = [shingle_set(w, k) for w in chunk_words(some)]
+            f = signed(np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("carried"), pa.array(f), lists(sets)], ["id", "carried", "f", "items"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, items array<long>")
+    kind = few.schema["carried"].dataType.simpleString()
+    out = found.mapInArrow(run, f"id long, carried {kind}, f long, items array<long>")
+    if texts_of is not None:
+        out = out.join(texts_of, "id", "left").where("own_f IS NULL OR own_f = f")
+    return out
 
 
 def hot_shingles(heads: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -131,12 +150,18 @@ def similar_sizes(percent: int):
     return (100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, texts_of: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) that link. pairs: written; texts are shuffled only for very many pairs."""
+    small = pairs.count() <= BROADCAST_IDS
+    heads = pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    part = F.pmod(F.xxhash64("a"), F.col("parts"))
+    to = pairs.join(heads, "b").groupBy(F.col("a").alias("id")).agg(F.collect_list(F.struct("b", part.alias("part"))).alias("carried"))
+    left = full_sets(docs, to, k, small, texts_of).select(F.col("id").alias("a"), F.col("items").alias("x"), F.inline("carried"))
+    right = full_sets(docs, heads.select(F.col("b").alias("id"), F.col("parts").alias("carried")), k, small, texts_of).select(
+        F.col("id").alias("b"), F.col("items").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("carried") - 1)).alias("part")
+    )
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return left.join(right.hint("merge"), ["b", "part"]).where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def enough(met: DataFrame, percent: int) -> DataFrame:
@@ -147,21 +172,19 @@ def enough(met: DataFrame, percent: int) -> DataFrame:
     return pairs.where("shared >= need").select("a", "b")
 
 
-def candidates(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """doc_id and items for each document of pairs; texts are shuffled only for very many documents."""
-    ids = written(pairs.select(F.col("a").alias("__id")).unionByName(pairs.select(F.col("b").alias("__id"))).distinct(), "candidates")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return written(full_sets(docs.join(few, docs["doc_id"] == few["__id"], "left_semi"), k).dropDuplicates(["doc_id"]), "sets")
-
-
 def near_classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     spark, hot = docs.sparkSession, None
     for _ in range(ROUNDS):
         hot = merged(hot, hot_shingles(prefixes(docs, k, percent, hot, 0)))
     rows = written(prefixes(docs, k, percent, hot, L_MAX - 1), "prefixes")
-    classes = written(rows.where("n > 0").groupBy("f", "g", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = rows.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").where("n > 0")
+    classes = written(rows.where("n > 0").groupBy("f", "g", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
+    texts_of = written(rows.groupBy(F.col("doc_id").alias("id")).agg(F.min("f").alias("own_f"), F.max("f").alias("last")).where("own_f <> last").drop("last"), "repeated-ids")
+    if texts_of.isEmpty():
+        texts_of, single = None, rows
+    else:
+        single = rows.join(texts_of, rows["doc_id"] == texts_of["id"], "left").where("own_f IS NULL OR own_f = f").drop("id", "own_f")
+    reps = single.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").where("n > 0")
 
     # postings of shingles that two documents share, up to the L_MAX-prefix
     every = reps.select("doc_id", "n", F.posexplode("prefix").alias("rank", "token"))
@@ -175,19 +198,19 @@ def near_classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     best, least = F.lit(1), cost[0]
     for i, c in enumerate(cost[1:], 2):
         best, least = F.when(c <= least, F.lit(i)).otherwise(best), F.least(least, c)
-    lengths = written(postings.groupBy("doc_id").agg(best.alias("l")), "lengths")
-    own = written(postings.join(lengths, "doc_id").where("l_rank <= l").select("token", "doc_id", "n", "l"), "own-postings")
-    remove(spark, postings, lengths)
+    dealt = postings.repartition("doc_id")  # the sums and the join share this shuffle
+    own = written(dealt.join(dealt.groupBy("doc_id").agg(best.alias("l")).hint("merge"), "doc_id").where("l_rank <= l").select("token", "doc_id", "n", "l"), "own-postings")
+    remove(spark, postings)
 
     # step one: each document and the first document of each of its shingles
-    sketches = written(rows.join(own.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch2")), "sketches")
+    sketches = written(single.join(own.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch2")), "sketches")
     place = F.xxhash64("doc_id", F.pmod(F.col("token"), F.lit(HEADS)))
     first = written(own.groupBy("token").agg(F.min(F.struct(place.alias("place"), "doc_id", "n")).alias("head"), F.count("*").alias("df")).where("df > 1"), "heads")
     met = own.join(first.select("token", F.col("head.doc_id").alias("b"), F.col("head.n").alias("m")), "token").where("doc_id <> b").where(similar_sizes(percent))
     met = met.select("doc_id", "n", "b", "m").distinct().join(sketches, "b").join(sketches.select(F.col("b").alias("doc_id"), F.col("sketch2").alias("sketch")), "doc_id")
     star = written(met.where(may_link(percent)).select(F.col("doc_id").alias("a"), "b"), "star")
-    star_sets = candidates(docs, star, k)
-    links = written(verified(star, star_sets, percent), "links")
+    links = written(verified(docs, star, k, percent, texts_of), "links")
+    remove(spark, first)
     inside = written(components(links), "inside")
 
     # step two: pairs from different components that share enough
@@ -200,19 +223,25 @@ def near_classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     right = left.select(F.col("token").alias("token2"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("l").alias("l2"), F.col("c").alias("c2"), F.col("sketch").alias("sketch2"))
     cross = left.join(right, (F.col("token") == F.col("token2")) & (F.col("doc_id") > F.col("b")) & (F.col("c") != F.col("c2")) & similar_sizes(percent) & may_link(percent))
     cross = written(enough(cross, percent).join(star, ["a", "b"], "left_anti"), "cross")
-    more = written(verified(cross, candidates(docs, cross, k), percent), "more-links")
+    more = written(verified(docs, cross, k, percent, texts_of), "more-links")
     found = components(links.unionByName(more))
-    named = classes.join(found, classes["rep"] == found["id"], "left").select("f", "g", F.col("n").alias("n_"), F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(named, (rows["f"] == named["f"]) & (rows["g"] == named["g"]) & (rows["n"] == named["n_"]), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    named = written(classes.join(found, classes["rep"] == found["id"], "left").select("f", "g", "n", "size", F.coalesce("component", "rep").alias("component_id")), "named")
+    remove(spark, own, sketches, star, links, inside, placed, mixed, left, cross, more, classes, found)
+    # classes of over a ten-thousandth of all rows are broadcast, so no key of the other join has more
+    keys = ["f", "g", "n"]
+    hot = F.col("size") > max(1, (named.agg(F.sum("size")).first()[0] or 0) // HOT_CLASSES)
+    few, some = F.broadcast(named.where(hot).drop("size")), rows.where("n > 0").select("doc_id", *keys)
+    joined = some.join(few, keys).unionByName(some.join(F.broadcast(named.where(hot).select(*keys)), keys, "left_anti").join(named.where(~hot).drop("size").hint("merge"), keys))
+    empty = rows.where("n = 0").select("doc_id", *keys, F.col("doc_id").alias("component_id"))
+    return joined.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document, the smallest doc_id, of each group of near copies."""
     groups = near_classes(docs, k, percent)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("__id"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    key = free_name(docs, "__id")
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(kept, docs["doc_id"] == kept[key], "left_semi").unionByName(docs.where("doc_id IS NULL"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,6 +154,20 @@ def test_large_group_of_near_copies(spark):
     assert got == brute_components(docs, 3, 90)
 
 
+def test_hot_heads_and_classes_and_repeated_ids(spark, monkeypatch):
+    """Small bounds, so that heads are split, classes are broadcast, and sets are joined by a shuffle."""
+    docs = documents(spark)
+    want = sorted(tuple(x) for x in ngram_join.near_classes(docs, 3, 90).fillna(-1).collect())
+    for name, value in (("PART", 2), ("HOT_CLASSES", 3), ("BROADCAST_IDS", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert sorted(tuple(x) for x in ngram_join.near_classes(docs, 3, 90).fillna(-1).collect()) == want
+    a, b = "one two three four five six seven eight nine ten", "another text that has nothing to do with it at all"
+    rows = [(1, a), (2, a + " x"), (2, b), (3, b), (4, b.upper()), (2, b)]
+    got = sorted(tuple(x) for x in ngram_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect())
+    assert len(got) == 6 and {x[0]: x[2] for x in got if x[0] != 2} in ({1: 1, 3: 1, 4: 1}, {1: 1, 3: 2, 4: 2})
+    assert got == sorted(tuple(x) for x in ngram_join.near_classes(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3), 3, 80).collect())
+
+
 def test_prefix_and_sketch_bounds():
     r = np.random.default_rng(1)
     for _ in range(300):
