@@ -46,7 +46,7 @@ from .components import components
 from .shared import free_name, remove, table, written
 from .text import chunk_words, chunks, mix, shingles, signed
 
-HOT_LEAST, HOT_LIMIT, ROUNDS, L_MAX, HEADS, SKETCH, BROADCAST_IDS, PART, HOT_CLASSES = 4, 500_000, 2, 8, 4, 512, 1_000_000, 256, 10_000
+HOT_LEAST, HOT_LIMIT, ROUNDS, L_MAX, HEADS, SKETCH, BROADCAST_IDS, PART, HOT_CLASSES = 4, 500_000, 2, 8, 4, 512, 1_000_000, 32, 10_000
 _other, _third = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x8CB92BA72F3D8DD7)
 
 
