@@ -1,180 +1,156 @@
 """Order-dependent operators: greedy rules whose outcome for one item depends on earlier ones.
 
-Spark gathers each sheet's or row's detections, a bounded set, into sorted arrays, many sheets to a
-batch; the rule itself is a short loop over one sheet's arrays.
+Spark gathers each sheet's or row's detections, a bounded set, into one sorted array; the rule is a
+fold over that array inside the JVM. Only exact one-dimensional k-means is a dynamic program in
+NumPy, over many sheets at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def taken(column: str) -> Callable:
-    return lambda x: x[column].cast("double")
+def gathered(points: DataFrame, by: list[str], order: list[Column], name: str = "items", where: Column | None = None) -> DataFrame:
+    """by, and the distinct structs of order, sorted; with where, of those points only (the array may be empty)."""
+    item = F.struct(*order)
+    return points.groupBy(*by).agg(F.sort_array(F.collect_set(item if where is None else F.when(where, item))).alias(name))
 
 
-def per_group(points: DataFrame, by: list[str], columns: list[str], rule: Callable[..., list[tuple]], out: str) -> DataFrame:
-    """by..., out... for each row that rule returns for a group. rule gets a NumPy array for each of
-    columns: the group's distinct detections in the order of those columns. out: Spark DDL."""
-    items = F.sort_array(F.collect_set(F.struct(*columns)))
-    groups = points.groupBy(*by).agg(items.alias("items")).select(*by, *[F.transform("items", taken(c)).alias(c) for c in columns])
-    names = [x.split()[0] for x in out.split(", ")]
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in groups.select(*by).schema)
+def real(name: str) -> Column:
+    return F.col(name).cast("double").alias(name)
 
-    def run(batches):
-        for pdf in batches:
-            found = [rule(*arrays) for arrays in zip(*(pdf[c] for c in columns))]
-            sizes = [len(x) for x in found]
-            rows = pd.DataFrame([r for x in found for r in x], columns=names)
-            heads = {k: np.repeat(pdf[k].to_numpy(), sizes) for k in by}
-            yield pd.DataFrame(heads | {n: rows[n].to_numpy() for n in names})
 
-    return groups.mapInPandas(run, f"{keys}, {out}")
+def folded(items: Column, empty: Column, step) -> Column:
+    return F.aggregate(items, empty, step)
 
 
-def match_bars(top: np.ndarray, bottom: np.ndarray, reach: float) -> list[int]:
-    """For each top bar, the bottom bar with the nearest centre within reach, or -1; first come, first
-    served: a top bar whose nearest bottom bar is taken stays alone."""
-    taken, out = set(), []
-    for c in top:
-        near = int(np.abs(bottom - c).argmin()) if len(bottom) else -1
-        ok = near >= 0 and abs(bottom[near] - c) < reach and near not in taken
-        taken |= {near} if ok else set()
-        out.append(near if ok else -1)
-    return out
+def kept_in_turn(items: Column, held: Column, clash) -> Column:
+    """held, and each of items in turn that clashes with none held so far."""
+    add = lambda acc, x: F.when(F.exists(acc, lambda k: clash(k, x)), acc).otherwise(F.concat(acc, F.array(x)))
+    return folded(items, held, add)
 
 
 def bars_match(bars: DataFrame, by: str, reach: float) -> DataFrame:
-    """by, top, bottom (null if none) from bars (by, below 0 or 1, at)."""
-
-    def rule(below, at):
-        top, bottom = at[below == 0], at[below == 1]
-        return [(t, bottom[i] if i >= 0 else None) for t, i in zip(top, match_bars(top, bottom, reach))]
-
-    return per_group(bars, [by], ["below", "at"], rule, "top double, bottom double")
+    """by, top, bottom (null if none) from bars (by, below 0 or 1, at): each top bar has a nearest bottom
+    bar (the first of equals); if it is within reach, the first such top bar gets it."""
+    at = F.col("at").cast("double")
+    tops = F.sort_array(F.collect_set(F.when(F.col("below") == 0, at))).alias("tops")
+    bottoms = F.collect_set(F.when(F.col("below") == 1, at)).alias("bottoms")
+    near = lambda t: F.array_min(F.transform("bottoms", lambda b: F.struct(F.abs(b - t).alias("far"), b.alias("at"))))
 
+    def step(acc, t):
+        found = near(t)
+        free = (found["far"] < reach) & ~F.exists(acc, lambda m: m["bottom"].eqNullSafe(found["at"]))
+        return F.concat(acc, F.array(F.struct(t.alias("top"), F.when(free, found["at"]).alias("bottom"))))
 
-def monotone_rows(expected: np.ndarray, found: np.ndarray, reach: float) -> np.ndarray:
-    """Each expected row takes the first unused found row within reach after the last match; rows
-    without one are shifted by the median shift of the others."""
-    out, at = np.full(len(expected), np.nan), 0
-    for i, y in enumerate(expected):
-        j = next((k for k in range(at, len(found)) if abs(found[k] - y) <= reach), None)
-        if j is not None:
-            out[i], at = found[j], j + 1
-    hit = ~np.isnan(out)
-    shift = np.median(out[hit] - expected[hit]) if hit.any() else 0.0
-    return np.where(hit, out, expected + shift)
+    pairs = folded(F.col("tops"), F.array().cast("array<struct<top:double,bottom:double>>"), step)
+    return bars.groupBy(by).agg(tops, bottoms).select(by, F.inline(pairs))
 
 
 def match_rows(points: DataFrame, by: str, origin: float, step: float, rows: int, reach: float) -> DataFrame:
-    expected = origin + step * np.arange(rows)
-    return per_group(points, [by], ["cy"], lambda y: list(enumerate(monotone_rows(expected, y, reach))), "row_idx long, y double")
+    """row_idx, y: each expected row takes the first found row within reach after the last match; rows
+    without one are shifted by the median shift of the others."""
+    held = points.groupBy(by).agg(F.sort_array(F.collect_set(F.col("cy").cast("double"))).alias("found"))
+    expected = F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: F.lit(origin) + i * F.lit(step))
 
+    def take(acc, y):
+        hit = F.get(F.filter("found", lambda v: (v > acc["last"]) & (F.abs(v - y) <= reach)), F.lit(0))
+        return F.struct(F.coalesce(hit, acc["last"]).alias("last"), F.concat(acc["rows"], F.array(F.struct(y.alias("y"), hit.alias("hit")))).alias("rows"))
 
-def suppress(x: np.ndarray, y: np.ndarray, r: np.ndarray, apart: float) -> np.ndarray:
-    """Whether each circle stays: larger ones first, those nearer than `apart` to a kept one go."""
-    keep: list[int] = []
-    for i in np.lexsort((y, x, -r)):
-        if all((x[i] - x[k]) ** 2 + (y[i] - y[k]) ** 2 >= apart * apart for k in keep):
-            keep.append(int(i))
-    out = np.zeros(len(x), bool)
-    out[keep] = True
-    return out
+    start = F.struct(F.lit(-1e300).alias("last"), F.array().cast("array<struct<y:double,hit:double>>").alias("rows"))
+    matched = held.select(by, folded(expected, start, take)["rows"].alias("rows"))
+    shifts = F.array_sort(F.transform(F.filter("rows", lambda r: r["hit"].isNotNull()), lambda r: r["hit"] - r["y"]))
+    middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
+    shifted = matched.withColumn("shifts", shifts).withColumn("shift", F.coalesce(middle(F.col("shifts")), F.lit(0.0)))
+    return shifted.select(by, F.posexplode("rows").alias("row_idx", "r"), "shift").select(by, F.col("row_idx").cast("long").alias("row_idx"), F.coalesce(F.col("r.hit"), F.col("r.y") + F.col("shift")).alias("y"))
 
 
 def nms(circles: DataFrame, by: str, apart: float) -> DataFrame:
-    def rule(x, y, r):
-        ok = suppress(x, y, r, apart)
-        return list(zip(x[ok], y[ok], r[ok]))
-
-    return per_group(circles, [by], ["cx", "cy", "r"], rule, "cx double, cy double, r double")
-
-
-def fill_gaps(boxes: np.ndarray, circles: np.ndarray, reach: float) -> np.ndarray:
-    """Whether each circle is added: none of the boxes and of the circles added before lies within reach in x and y."""
-    held = list(boxes)
-    out = np.zeros(len(circles), bool)
-    for i, (x, y) in enumerate(circles):
-        if all(abs(x - a) > reach or abs(y - b) > reach for a, b in held):
-            out[i] = True
-            held.append((x, y))
-    return out
+    """Non-maximum suppression: larger circles first, those nearer than `apart` to a kept one go."""
+    held = gathered(circles, [by], [(-F.col("r").cast("double")).alias("size"), real("cx"), real("cy")])
+    close = lambda k, c: (k["cx"] - c["cx"]) * (k["cx"] - c["cx"]) + (k["cy"] - c["cy"]) * (k["cy"] - c["cy"]) < apart * apart
+    none = F.array().cast("array<struct<size:double,cx:double,cy:double>>")
+    return held.select(by, F.inline(kept_in_turn(F.col("items"), none, close))).select(by, "cx", "cy", (-F.col("size")).alias("r"))
 
 
 def gap_fill(detections: DataFrame, by: str, reach: float) -> DataFrame:
-    """The circles (box 0) that boxes (box 1) leave room for, in order of position."""
-
-    def rule(y, x, box):
-        at = np.stack([x, y], 1)
-        ok = fill_gaps(at[box == 1], at[box == 0], reach)
-        return [tuple(p) for p in at[box == 0][ok]]
-
-    return per_group(detections, [by], ["cy", "cx", "box"], rule, "cx double, cy double")
-
-
-def trim_row(x: np.ndarray, centres: np.ndarray) -> list[int]:
-    """The circle that each centre takes in turn: the nearest one left."""
-    left, out = list(range(len(x))), []
-    for c in centres:
-        if left:
-            best = min(left, key=lambda i: (abs(x[i] - c), x[i]))
-            left.remove(best)
-            out.append(best)
-    return out
+    """The circles (box 0) that boxes (box 1), and circles added before, leave room for within reach in
+    x and y, in order of y, then x."""
+    item = F.struct(real("cy"), real("cx"))
+    boxes, circles = (F.sort_array(F.collect_set(F.when(F.col("box") == b, item))).alias(n) for b, n in ((1, "boxes"), (0, "circles")))
+    close = lambda k, c: (F.abs(k["cx"] - c["cx"]) <= reach) & (F.abs(k["cy"] - c["cy"]) <= reach)
+    all_held = kept_in_turn(F.col("circles"), F.col("boxes"), close)
+    added = F.slice(all_held, F.size("boxes") + 1, F.size("circles"))
+    return detections.groupBy(by).agg(boxes, circles).where(F.size("circles") > 0).select(by, F.inline(added)).select(by, "cx", "cy")
 
 
 def trim_rows(circles: DataFrame, by: list[str], centres: list[float]) -> DataFrame:
-    def rule(x, y):
-        return [(x[i], y[i], rank) for rank, i in enumerate(trim_row(x, np.array(centres)))]
-
-    return per_group(circles, by, ["cx", "cy"], rule, "cx double, cy double, choice_rank long")
+    """cx, cy, choice_rank: each centre in turn takes the nearest circle left, of equals the leftmost."""
+    held = gathered(circles, by, [real("cx"), real("cy")])
 
+    def take(acc, c):
+        near = F.array_min(F.transform(acc["left"], lambda p: F.struct(F.abs(p["cx"] - c["at"]).alias("far"), p.alias("p"))))["p"]
+        taken = F.concat(acc["taken"], F.array(F.struct(near["cx"].alias("cx"), near["cy"].alias("cy"), c["rank"].alias("choice_rank"))))
+        return F.when(F.size(acc["left"]) == 0, acc).otherwise(F.struct(F.filter(acc["left"], lambda p: p != near).alias("left"), taken.alias("taken")))
 
-def proximity(at: np.ndarray, apart: float) -> np.ndarray:
-    """Positions that lie at least `apart` after the last one kept."""
-    out, last = np.zeros(len(at), bool), -np.inf
-    for i, v in enumerate(at):
-        if v - last >= apart:
-            out[i], last = True, v
-    return out
+    ranked = F.array(*[F.struct(F.lit(float(c)).alias("at"), F.lit(i).cast("long").alias("rank")) for i, c in enumerate(centres)])
+    start = F.struct(F.col("items").alias("left"), F.array().cast("array<struct<cx:double,cy:double,choice_rank:bigint>>").alias("taken"))
+    return held.select(*by, F.inline(folded(ranked, start, take)["taken"]))
 
 
 def proximity_filter(points: DataFrame, by: str, at: str, apart: float) -> DataFrame:
-    return per_group(points, [by], [at], lambda v: [(x,) for x in v[proximity(v, apart)]], f"{at} double")
+    """Positions that lie at least `apart` after the last one kept."""
+    held = points.groupBy(by).agg(F.sort_array(F.collect_set(F.col(at).cast("double"))).alias("items"))
+    keep = lambda acc, v: F.when((F.size(acc) == 0) | (v - F.get(acc, F.size(acc) - 1) >= apart), F.concat(acc, F.array(v))).otherwise(acc)
+    return held.select(by, F.explode(folded(F.col("items"), F.array().cast("array<double>"), keep)).alias(at))
 
 
 def kmeans_1d(values: np.ndarray, k: int) -> np.ndarray:
-    """Cluster numbers (in order of centre) of sorted values with the least sum of squares; exact."""
-    n = len(values)
+    """Cluster numbers (in order of centre) with the least sum of squares, exact, for each row of sorted
+    values (groups x n). Sums are taken in millionths; of equal splits the earliest last cut wins."""
+    groups, n = values.shape
     k = min(k, n)
-    s1, s2 = np.concatenate([[0], np.cumsum(values)]), np.concatenate([[0], np.cumsum(values * values)])
-    cost = np.full((k + 1, n + 1), np.inf)
-    cut = np.zeros((k + 1, n + 1), int)
-    cost[0, 0] = 0.0
+    zero = np.zeros((groups, 1))
+    s1, s2 = (np.concatenate([zero, np.cumsum(v, axis=1)], axis=1) for v in (values, values * values))
+    cost = np.full((k + 1, groups, n + 1), np.iinfo(np.int64).max // 4)
+    cut = np.zeros((k + 1, groups, n + 1), np.int64)
+    cost[0, :, 0] = 0
     for c in range(1, k + 1):
         for j in range(c, n + 1):
             i = np.arange(c - 1, j)
-            whole = cost[c - 1, i] + (s2[j] - s2[i]) - (s1[j] - s1[i]) ** 2 / (j - i)
-            cut[c, j] = i[whole.argmin()]
-            cost[c, j] = whole.min()
-    label, j = np.zeros(n, int), n
+            spread = s2[:, j : j + 1] - s2[:, i] - (s1[:, j : j + 1] - s1[:, i]) ** 2 / (j - i)
+            whole = cost[c - 1][:, i] + np.floor(spread * 1e6 + 0.5).astype(np.int64)
+            best = whole.argmin(axis=1)
+            cut[c, :, j], cost[c, :, j] = i[best], whole[np.arange(groups), best]
+    label, j, row = np.zeros((groups, n), np.int64), np.full(groups, n), np.arange(groups)
     for c in range(k, 0, -1):
-        label[cut[c, j] : j] = c - 1
-        j = cut[c, j]
+        first = cut[c, row, j]
+        place = np.arange(n)
+        label[(place >= first[:, None]) & (place < j[:, None])] = c - 1
+        j = first
     return label
 
 
 def cluster_1d(points: DataFrame, by: str, at: str, k: int) -> DataFrame:
-    """by, cluster, n, lo, hi from the distinct positions of each group."""
-
-    def rule(v):
-        label = kmeans_1d(v, k)
-        return [(c, int((label == c).sum()), v[label == c].min(), v[label == c].max()) for c in range(label.max() + 1)]
+    """by, cluster, n, lo, hi from the distinct positions of each group; groups of one size are solved together."""
+    held = points.groupBy(by).agg(F.sort_array(F.collect_set(F.col(at).cast("double"))).alias("items"))
+    kind = held.schema[by].dataType.simpleString()
 
-    return per_group(points, [by], [at], rule, "cluster long, n long, lo double, hi double")
+    def run(batches):
+        for pdf in batches:
+            sizes = pdf["items"].map(len).to_numpy()
+            for n in np.unique(sizes):
+                some = pdf[sizes == n]
+                values = np.stack(some["items"].to_numpy()) if n else np.zeros((len(some), 0))
+                label = kmeans_1d(values, k)
+                key = np.repeat(some[by].to_numpy(), n)
+                first = np.concatenate([np.ones((len(some), 1), bool), label[:, 1:] != label[:, :-1]], axis=1).ravel() if n else np.zeros(0, bool)
+                at_ = np.flatnonzero(first)
+                ends = np.append(at_[1:], len(first))
+                flat = values.ravel()
+                yield pd.DataFrame({by: key[at_], "cluster": label.ravel()[at_], "n": ends - at_, "lo": flat[at_], "hi": flat[ends - 1]})
+
+    return held.mapInPandas(run, f"{by} {kind}, cluster long, n long, lo double, hi double")

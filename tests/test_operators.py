@@ -3,12 +3,8 @@
 import itertools
 
 import numpy as np
-import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 from markgrid.operators import geometry, greedy
-from markgrid.plans import detections
 from markgrid.sources import templates as t
 
 # questions, columns, rows, headers, visual rows, column width, radius, x of ranks 0..4, first row's y, first question of column 0
@@ -38,45 +34,34 @@ def test_kmeans_is_exact():
     r = np.random.default_rng(0)
     for _ in range(30):
         v = np.sort(r.integers(0, 60, 8).astype(float))
-        label = greedy.kmeans_1d(v, 3)
+        label = greedy.kmeans_1d(np.stack([v, v + 7]), 3)
+        assert (label[0] == label[1]).all()
+        label = label[0]
         cost = lambda cuts: sum(((p - p.mean()) ** 2).sum() for p in np.split(v, cuts) if len(p))
         best = min(cost(list(c)) for c in itertools.combinations(range(1, 8), 2))
         assert abs(sum(((v[label == c] - v[label == c].mean()) ** 2).sum() for c in set(label)) - best) < 1e-9
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60), st.integers(1, 5)), min_size=1, max_size=12, unique=True))
-def test_suppression_keeps_a_maximal_set(points):
-    x, y, r = (np.array(c, float) for c in zip(*points))
-    ok = greedy.suppress(x, y, r, 14)
-    near = lambda i, j: (x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2 < 14 * 14
-    kept = np.flatnonzero(ok)
-    assert not any(near(i, j) for i, j in itertools.combinations(kept, 2))
-    assert all(any(near(i, k) and r[k] >= r[i] for k in kept) for i in np.flatnonzero(~ok))
-
-
-def test_matchers():
-    assert greedy.match_bars(np.array([10.0, 12.0, 90.0]), np.array([11.0, 60.0]), 20) == [0, -1, -1]
-    assert list(greedy.monotone_rows(np.array([10.0, 20.0, 30.0]), np.array([12.0, 33.0]), 4)) == [12.0, 22.5, 33.0]
-    assert list(greedy.proximity(np.array([0.0, 5.0, 11.0, 14.0, 22.0]), 10)) == [True, False, True, False, True]
-    assert greedy.trim_row(np.array([5.0, 8.0, 30.0]), np.array([6.0, 7.0])) == [0, 1]
-    assert list(greedy.fill_gaps(np.array([[0.0, 0.0]]), np.array([[10.0, 10.0], [30.0, 0.0], [40.0, 5.0]]), 14)) == [False, True, False]
-
-
-@pytest.mark.parametrize("name", sorted(detections.QUERIES))
-def test_detection_queries_follow_their_rule(spark, sf_dir, name):
-    out = detections.QUERIES[name](spark, sf_dir).toPandas()
-    points = detections.circles(spark, sf_dir).toPandas()
-    assert len(out) and set(out.sheet) <= set(points.sheet)
-    sheet = out.sheet.iloc[0]
-    own, got = points[points.sheet == sheet], out[out.sheet == sheet]
-    if name == "nms_circles":
-        p = own[["cx", "cy", "r"]].drop_duplicates().to_numpy(float)
-        ok = greedy.suppress(*p.T, 140.0)
-        assert sorted(map(tuple, p[ok])) == sorted(map(tuple, got[["cx", "cy", "r"]].to_numpy(float)))
-    if name == "proximity_filter":
-        v = np.unique(own.cy.to_numpy(float))
-        assert sorted(got.cy) == sorted(v[greedy.proximity(v, 100.0)])
+def test_suppression_keeps_a_maximal_set(spark):
+    r = np.random.default_rng(4)
+    rows = {(s, int(x), int(y), int(z)) for s in range(40) for x, y, z in zip(r.integers(0, 60, 12), r.integers(0, 60, 12), r.integers(1, 5, 12))}
+    kept = {tuple(map(int, x)) for x in greedy.nms(spark.createDataFrame(sorted(rows), "sheet long, cx long, cy long, r long"), "sheet", 14.0).select("sheet", "cx", "cy", "r").collect()}
+    near = lambda p, q: p[0] == q[0] and (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 < 14 * 14
+    assert kept <= rows and not any(near(p, q) for p, q in itertools.combinations(kept, 2))
+    assert all(any(near(p, k) and k[3] >= p[3] for k in kept) for p in rows - kept)
+
+
+def test_matchers(spark):
+    bars = spark.createDataFrame([(1, 0, 10), (1, 0, 12), (1, 0, 90), (1, 1, 11), (1, 1, 60), (2, 0, 5), (3, 1, 5)], "sheet int, below int, at int")
+    assert sorted(map(tuple, greedy.bars_match(bars, "sheet", 20.0).collect())) == [(1, 10.0, 11.0), (1, 12.0, None), (1, 90.0, None), (2, 5.0, None)]
+    rows = spark.createDataFrame([(1, 12), (1, 33), (2, 500)], "sheet int, cy int")
+    assert sorted(map(tuple, greedy.match_rows(rows, "sheet", 10.0, 10.0, 3, 4.0).collect())) == [(1, 0, 12.0), (1, 1, 22.5), (1, 2, 33.0), (2, 0, 10.0), (2, 1, 20.0), (2, 2, 30.0)]
+    at = spark.createDataFrame([(1, v) for v in (0, 5, 11, 14, 22)], "sheet int, cy int")
+    assert sorted(r.cy for r in greedy.proximity_filter(at, "sheet", "cy", 10.0).collect()) == [0.0, 11.0, 22.0]
+    circles = spark.createDataFrame([(1, 5, 0), (1, 8, 0), (1, 30, 0)], "sheet int, cx int, cy int")
+    assert sorted((r.choice_rank, r.cx) for r in greedy.trim_rows(circles, ["sheet"], [6.0, 7.0]).collect()) == [(0, 5.0), (1, 8.0)]
+    found = spark.createDataFrame([(1, 0, 0, 1), (1, 10, 10, 0), (1, 30, 0, 0), (1, 40, 5, 0)], "sheet int, cx int, cy int, box int")
+    assert [tuple(r) for r in greedy.gap_fill(found, "sheet", 14.0).collect()] == [(1, 30.0, 0.0)]
 
 
 def test_within_reach_finds_all_pairs(spark):
