@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import answers, codes, detections, geometry, results, sheets, streams
+from .plans import answers, codes, detections, geometry, layout, results, sheets, streams
 
-FAMILIES = (answers, geometry, codes, detections, results, streams, sheets)
+FAMILIES = (answers, geometry, layout, codes, detections, results, streams, sheets)
 
 
 def queries() -> dict:

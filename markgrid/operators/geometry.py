@@ -19,6 +19,13 @@ def rank_within(points: DataFrame, by: list[str], order: list[Column], name: str
     return points.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
 
 
+def top_within(points: DataFrame, by: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
+    """The first n of each group, numbered from 0. The filter is on the row number itself, so that Spark
+    keeps n rows a group while it sorts, before and after the shuffle."""
+    kept = points.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= n)
+    return kept.withColumn(name, F.col(name) - 1)
+
+
 def arg_max_cell(points: DataFrame, by: list[str], value: str, tie: list[str]) -> DataFrame:
     """One point a cell: the largest value, the smallest tie columns among equals."""
     best = F.max(F.struct(value, *[(-F.col(t)).alias(f"minus_{t}") for t in tie]))
@@ -42,7 +49,7 @@ def merge_bands(runs: DataFrame, by: list[str], gap: int) -> DataFrame:
 def tallest(runs: DataFrame, by: list[str], n: int) -> DataFrame:
     """The n tallest bands of each group (the earlier of equals), numbered by position."""
     height = (F.col("stop") - F.col("start")).desc()
-    kept = rank_within(runs, by, [height, F.col("start")], "k").where(F.col("k") < n).drop("k")
+    kept = top_within(runs, by, [height, F.col("start")], n, "k").drop("k")
     return rank_within(kept, by, [F.col("start")], "place")
 
 

@@ -83,15 +83,15 @@ def trim_tallest_bands(spark, d):
 
 
 def positions(spark, d):
-    return circles(spark, d).where("dark >= 45").select((F.col("sheet") % 200).alias("page"), "cx").distinct()
+    return circles(spark, d).select("sheet", "cx").distinct()
 
 
 def gap_cluster_1d(spark, d):
-    return geo.gap_clusters(positions(spark, d), ["page"], "cx", 12)
+    return geo.gap_clusters(positions(spark, d), ["sheet"], "cx", 12)
 
 
 def pitch_median(spark, d):
-    return geo.pitch(positions(spark, d), ["page"], "cx")
+    return geo.pitch(positions(spark, d), ["sheet"], "cx")
 
 
 def nearest_lattice(spark, d):
@@ -117,25 +117,32 @@ def anchor_fallback(spark, d):
     return every.select("sheet", F.inline(F.array(*items)))
 
 
+def boxes(spark, d):
+    """Boxes of a second detector (even lines) with confidence: bubbles of 0.25, layout parts (every fourth) of 0.30 or more."""
+    conf, part = F.col("fill") / 100.0, F.col("q") % 4 == 0
+    c = circles(spark, d).where("q % 2 = 0").select("sheet", "cx", "cy", conf.alias("conf"), F.when(part, "layout").otherwise("bubble").alias("kind"))
+    return c.where(F.col("conf") >= F.when(F.col("kind") == "layout", 0.30).otherwise(0.25))
+
+
 def yolo_overlay(spark, d):
-    """Circles joined with boxes of a second detector on their page within 20 pixels; the surest box counts."""
-    c = circles(spark, d).where("dark >= 48").select((F.col("sheet") % 500).alias("page"), "cx", "cy").distinct()
-    boxes = circles(spark, d).where("dark <= 3").select((F.col("sheet") % 500).alias("page"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), "fill").groupBy("page", "ox", "oy").agg(F.max("fill").alias("conf"))
-    return geo.within_reach(c, boxes, ["page"], 20).groupBy("page", "cx", "cy").agg(F.max("conf").alias("conf"), F.count("*").alias("boxes"))
+    """Circles joined with boxes of a second detector on their sheet within 140 pixels; the surest box counts."""
+    c = circles(spark, d).where("q % 2 = 1").select("sheet", "cx", "cy").distinct()
+    found = boxes(spark, d).select("sheet", F.col("cx").alias("ox"), F.col("cy").alias("oy"), "conf").groupBy("sheet", "ox", "oy").agg(F.max("conf").alias("conf"))
+    return geo.within_reach(c, found, ["sheet"], 140).groupBy("sheet", "cx", "cy").agg(F.max("conf").alias("conf"), F.count("*").alias("boxes"))
 
 
 def union_detections(spark, d):
-    """Detections of two sources in one table, with what only one of them has left null, counted by page."""
-    one = circles(spark, d).where("dark >= 48").select((F.col("sheet") % 500).alias("page"), "cx", "cy", F.lit("circle").alias("kind"), F.col("r"))
-    two = circles(spark, d).where("dark <= 3").select((F.col("sheet") % 500).alias("page"), "cx", "cy", F.lit("box").alias("kind"), F.col("fill").alias("conf"))
-    return one.unionByName(two, allowMissingColumns=True).groupBy("page", "kind").agg(F.count("*").alias("n"), F.count("r").alias("with_radius"), F.max("conf").alias("conf"))
+    """Detections of two sources in one table, with what only one of them has left null, counted by sheet."""
+    one = circles(spark, d).where("q % 2 = 1").select("sheet", "cx", "cy", F.lit("circle").alias("kind"), F.col("r"))
+    return one.unionByName(boxes(spark, d), allowMissingColumns=True).groupBy("sheet", "kind").agg(F.count("*").alias("n"), F.count("r").alias("with_radius"), F.max("conf").alias("conf"))
 
 
 def anchor_candidates_top12(spark, d):
-    """The 12 largest marks of each page that pass the anchor filter (size and squareness)."""
-    side = F.least(F.col("cx"), F.col("cy"))
-    c = circles(spark, d).select((F.col("sheet") % 100).alias("page"), "cx", "cy", (F.col("dark") * F.col("r")).alias("area")).where((F.col("area") > 81) & (F.col("area") < 12656)).where(side / F.nullif(F.greatest("cx", "cy"), F.lit(0)) >= 0.65).distinct()
-    return geo.rank_within(c, ["page"], [F.desc("area"), F.asc("cx"), F.asc("cy")], "place").where("place < 12")
+    """The 12 largest marks of each page (32 order numbers) that pass the anchor filter: size, squareness, and how much of the hull is dark."""
+    wide, high = F.col("r"), 10 + F.col("dark") % 10
+    c = circles(spark, d).select(F.floor(F.col("sheet") / 32).alias("page"), "cx", "cy", (F.col("dark") * F.col("r")).alias("area"), (F.least(wide, high) / F.greatest(wide, high)).alias("aspect"), ((100 - F.col("fill")) / 100.0).alias("solidity"))
+    c = c.where((F.col("area") > 81) & (F.col("area") < 12656) & (F.col("aspect") >= 0.65) & (F.col("solidity") >= 0.70)).groupBy("page", "cx", "cy").agg(F.max("area").alias("area"))
+    return geo.top_within(c, ["page"], [F.desc("area"), F.asc("cx"), F.asc("cy")], 12, "place")
 
 
 def corner_order(spark, d):
@@ -159,7 +166,7 @@ _ROWY = "round_even(239 + (row_idx + row_idx // 5 + 1.5::DOUBLE) * row_h, 0)::IN
 _C = f"c AS ({CIRCLES_SQL})"
 _BANDS = f"""{_C}, p AS (SELECT DISTINCT q, cy // 7 AS y FROM (SELECT q, cy, count(*) AS n FROM c WHERE dark > 30 GROUP BY q, cy) WHERE n > 1),
 bands AS (SELECT q, min(y) AS start, max(y) AS stop, count(*) AS size FROM (SELECT q, y, y - row_number() OVER (PARTITION BY q ORDER BY y) AS g FROM p) GROUP BY q, g)"""
-_POS = f"{_C}, pos AS (SELECT DISTINCT sheet % 200 AS page, cx FROM c WHERE dark >= 45)"
+_POS = f"{_C}, pos AS (SELECT DISTINCT sheet, cx FROM c)"
 
 ORACLES = {
     "template_registry": f"WITH {_T} SELECT template_id, n_questions, n_choices, n_cols, true AS rtl, rows_per_col, n_hdr_rows, visual_rows, col_w, row_h, bub_r, count(*) AS sheets, count(DISTINCT student) AS students FROM s GROUP BY ALL",
@@ -182,9 +189,9 @@ SELECT gx, gy, dark, cx, cy, n FROM r WHERE k = 1""",
 n AS (SELECT *, sum(new) OVER (PARTITION BY q ORDER BY start) AS g FROM m) SELECT q, min(start) AS start, max(stop) AS stop, count(*) AS parts FROM n GROUP BY q, g""",
     "trim_tallest_bands": f"""WITH {_BANDS}, k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY stop - start DESC, start) AS k FROM bands)
 SELECT q, start, stop, (row_number() OVER (PARTITION BY q ORDER BY start) - 1)::INT AS place FROM k WHERE k <= 5""",
-    "gap_cluster_1d": f"""WITH {_POS}, m AS (SELECT *, coalesce(cx - lag(cx) OVER (PARTITION BY page ORDER BY cx) >= 12, false)::INT AS new FROM pos), n AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY cx)::BIGINT AS cluster FROM m)
-SELECT page, cluster, count(*) AS n, sum(cx)::DOUBLE / count(*) AS centre, min(cx) AS lo, max(cx) AS hi FROM n GROUP BY page, cluster""",
-    "pitch_median": f"WITH {_POS}, m AS (SELECT page, lead(cx) OVER (PARTITION BY page ORDER BY cx) - cx AS step FROM pos) SELECT page, median(step)::DOUBLE AS pitch, count(*) AS steps FROM m WHERE step > 5 GROUP BY page",
+    "gap_cluster_1d": f"""WITH {_POS}, m AS (SELECT *, coalesce(cx - lag(cx) OVER (PARTITION BY sheet ORDER BY cx) >= 12, false)::INT AS new FROM pos), n AS (SELECT *, sum(new) OVER (PARTITION BY sheet ORDER BY cx)::BIGINT AS cluster FROM m)
+SELECT sheet, cluster, count(*) AS n, sum(cx)::DOUBLE / count(*) AS centre, min(cx) AS lo, max(cx) AS hi FROM n GROUP BY sheet, cluster""",
+    "pitch_median": f"WITH {_POS}, m AS (SELECT sheet, lead(cx) OVER (PARTITION BY sheet ORDER BY cx) - cx AS step FROM pos) SELECT sheet, median(step)::DOUBLE AS pitch, count(*) AS steps FROM m WHERE step > 5 GROUP BY sheet",
     "nearest_lattice": f"""WITH {_C}, l AS (SELECT DISTINCT sheet, q, cx, cy FROM c),
 n AS (SELECT *, round_even(239::DOUBLE + floor((cy - 239::DOUBLE) / (760::DOUBLE / 30) + 0.5::DOUBLE) * (760::DOUBLE / 30), 0)::INT AS v FROM l)
 SELECT sheet, q, cx, cy, CASE WHEN abs(v - cy) <= 12 THEN v ELSE cy END AS y FROM n""",
@@ -193,11 +200,11 @@ SELECT sheet, q, cx, cy, CASE WHEN abs(v - cy) <= 12 THEN v ELSE cy END AS y FRO
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sheet, corner ORDER BY dark DESC, cx, cy) AS k FROM f WHERE corner IS NOT NULL) WHERE k = 1),
 e AS (SELECT DISTINCT o_orderkey AS sheet, corner, px, py FROM orders, (VALUES ('TL', 36, 36), ('TR', 714, 36), ('BL', 36, 1024), ('BR', 714, 1024)) v(corner, px, py))
 SELECT e.sheet, e.corner, coalesce(cx, px) AS x, coalesce(cy, py) AS y, cx IS NOT NULL AS found FROM e LEFT JOIN b ON b.sheet = e.sheet AND b.corner = e.corner""",
-    "yolo_overlay": f"""WITH {_C}, a AS (SELECT DISTINCT sheet % 500 AS page, cx, cy FROM c WHERE dark >= 48), b AS (SELECT sheet % 500 AS page, cx AS ox, cy AS oy, max(fill) AS conf FROM c WHERE dark <= 3 GROUP BY ALL)
-SELECT a.page, cx, cy, max(conf) AS conf, count(*) AS boxes FROM a JOIN b ON a.page = b.page AND (cx - ox) * (cx - ox) + (cy - oy) * (cy - oy) <= 400 GROUP BY ALL""",
-    "union_detections": f"""WITH {_C}, u AS (SELECT sheet % 500 AS page, 'circle' AS kind, r, NULL::INT AS conf FROM c WHERE dark >= 48 UNION ALL SELECT sheet % 500, 'box', NULL, fill FROM c WHERE dark <= 3)
-SELECT page, kind, count(*) AS n, count(r) AS with_radius, max(conf) AS conf FROM u GROUP BY ALL""",
-    "anchor_candidates_top12": f"""WITH {_C}, a AS (SELECT DISTINCT sheet % 100 AS page, cx, cy, dark * r AS area FROM c WHERE dark * r > 81 AND dark * r < 12656 AND least(cx, cy)::DOUBLE / nullif(greatest(cx, cy), 0) >= 0.65::DOUBLE),
+    "yolo_overlay": f"""WITH {_C}, a AS (SELECT DISTINCT sheet, cx, cy FROM c WHERE q % 2 = 1), b AS (SELECT sheet, cx AS ox, cy AS oy, max(fill)::DOUBLE / 100 AS conf FROM c WHERE q % 2 = 0 AND fill >= CASE WHEN q % 4 = 0 THEN 30 ELSE 25 END GROUP BY ALL)
+SELECT a.sheet, cx, cy, max(conf) AS conf, count(*) AS boxes FROM a JOIN b ON a.sheet = b.sheet AND (cx - ox) * (cx - ox) + (cy - oy) * (cy - oy) <= 19600 GROUP BY ALL""",
+    "union_detections": f"""WITH {_C}, u AS (SELECT sheet, 'circle' AS kind, r, NULL::INT AS conf FROM c WHERE q % 2 = 1 UNION ALL SELECT sheet, CASE WHEN q % 4 = 0 THEN 'layout' ELSE 'bubble' END, NULL, fill FROM c WHERE q % 2 = 0 AND fill >= CASE WHEN q % 4 = 0 THEN 30 ELSE 25 END)
+SELECT sheet, kind, count(*) AS n, count(r) AS with_radius, max(conf)::DOUBLE / 100 AS conf FROM u GROUP BY ALL""",
+    "anchor_candidates_top12": f"""WITH {_C}, a AS (SELECT sheet // 32 AS page, cx, cy, max(dark * r) AS area FROM c WHERE dark * r > 81 AND dark * r < 12656 AND fill <= 30 AND least(r, 10 + dark % 10)::DOUBLE / greatest(r, 10 + dark % 10) >= 0.65::DOUBLE GROUP BY ALL),
 k AS (SELECT *, (row_number() OVER (PARTITION BY page ORDER BY area DESC, cx, cy) - 1)::INT AS place FROM a) SELECT * FROM k WHERE place < 12""",
     "corner_order": "WITH " + _C + ", " + ", ".join(f"{n} AS (SELECT sheet, cx AS {n}_x, cy AS {n}_y FROM (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY {k}, cx, cy) AS k FROM c) WHERE k = 1)" for n, k in (("tl", "cx + cy"), ("tr", "cy - cx"), ("br", "-(cx + cy)"), ("bl", "cx - cy"))) + " SELECT * FROM tl JOIN tr USING (sheet) JOIN br USING (sheet) JOIN bl USING (sheet)",
 }

@@ -8,8 +8,11 @@ from ..streaming import scans
 
 
 def shared(spark) -> str:
-    """The shared folder of this session; a local one only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-streams-")
+    """The shared folder of this session; a local one only in a local session without any, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return base or "file://" + tempfile.mkdtemp(prefix="spark-streams-")
 
 
 def streamed(transform, mode="complete"):

@@ -42,19 +42,20 @@ def decode_png(raw: bytes) -> np.ndarray:
             out[y + 1] = line
         elif how == 2:
             out[y + 1] = line + up
-        else:
-            row = out[y + 1]
-            for x in range(width * n):
-                a, c = (int(row[x - n]), int(up[x - n])) if x >= n else (0, 0)
-                b = int(up[x])
-                if how == 1:
-                    guess = a
-                elif how == 3:
+        elif how == 1:
+            out[y + 1] = np.cumsum(line.reshape(width, n), axis=0, dtype=np.uint8).ravel()
+        else:  # depends on the pixel before: all channels of a pixel at once
+            a = c = np.zeros(n, np.int32)
+            row = []
+            for bits, b in zip(line.reshape(width, n).astype(np.int32), up.reshape(width, n).astype(np.int32)):
+                if how == 3:
                     guess = (a + b) // 2
                 else:
-                    p = a + b - c
-                    guess = min((a, b, c), key=lambda v: abs(p - v))
-                row[x] = (int(line[x]) + guess) & 255
+                    to_a, to_b, to_c = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+                    guess = np.where((to_a <= to_b) & (to_a <= to_c), a, np.where(to_b <= to_c, b, c))
+                a, c = (bits + guess) & 255, b
+                row.append(a)
+            out[y + 1] = np.concatenate(row)
     pixels = out[1:].reshape(height, width, n)
     if n >= 3:
         return np.rint(pixels[..., :3] @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)

@@ -60,15 +60,20 @@ def run_available(spark: SparkSession, stream: DataFrame, base: str, mode: str =
     place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{place}/result")
+        batch_folder(batch, f"{place}/result", 0 if mode == "complete" else number)
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.parquet(f"{place}/result")
+    return spark.read.parquet(f"{place}/result").drop("batch")
 
 
-def split_rejects(batch: DataFrame, reason: Column, good: str, rejected: str) -> None:
+def batch_folder(rows: DataFrame, path: str, number: int) -> None:
+    """Writes a micro-batch to a folder of its own, so that a batch that is run again replaces its rows."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def split_rejects(batch: DataFrame, number: int, reason: Column, good: str, rejected: str) -> None:
     """For foreachBatch: rows without a reason go to one table, the others with it to the dead-letter table."""
     marked = batch.withColumn("error", reason).persist()
-    marked.where("error IS NULL").drop("error").write.mode("append").parquet(good)
-    marked.where("error IS NOT NULL").write.mode("append").parquet(rejected)
+    batch_folder(marked.where("error IS NULL").drop("error"), good, number)
+    batch_folder(marked.where("error IS NOT NULL"), rejected, number)
     marked.unpersist()

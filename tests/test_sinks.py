@@ -22,7 +22,7 @@ def test_retention_and_dead_letters(spark, tmp_path):
     from pyspark.sql import functions as F
 
     batch = spark.createDataFrame([(1, 5), (2, None)], "id int, size int")
-    scans.split_rejects(batch, F.when(F.col("size").isNull(), "no size"), str(tmp_path / "good"), str(tmp_path / "bad"))
+    scans.split_rejects(batch, 0, F.when(F.col("size").isNull(), "no size"), str(tmp_path / "good"), str(tmp_path / "bad"))
     assert spark.read.parquet(str(tmp_path / "good")).count() == 1
     assert spark.read.parquet(str(tmp_path / "bad")).first().error == "no size"
 
