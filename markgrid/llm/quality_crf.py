@@ -58,10 +58,14 @@ _kinds[4, 65:91] = _kinds[4, 97:123] = _kinds[4, 0xC0:] = 1
 def again(keys: np.ndarray, groups: np.ndarray) -> np.ndarray:
     """Whether each key stood earlier in its group, or stands later: (earlier, any other place)."""
     own = mix(keys ^ mix(groups.astype(np.uint64)))
-    _, first, which, times = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
-    earlier = np.ones(len(own), bool)
-    earlier[first] = False
-    return earlier, times[which] > 1
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    equal = own[1:] == own[:-1]
+    earlier = np.zeros(len(own), bool)
+    earlier[order[1:][equal]] = True
+    twice = earlier.copy()
+    twice[order[:-1][equal]] = True
+    return earlier, twice
 
 
 def pieces(texts: list[bytes]):

@@ -7,6 +7,7 @@ eight bytes a word, however long a text is.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 from collections.abc import Iterator
@@ -24,6 +25,11 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _POWER = np.cumprod(np.full(LONG_WORD, 0x9E3779B97F4A7C15, dtype=np.uint64))
 _gap = re.compile(rb"[ \t-\r]")
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,6 +129,14 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = 3 << 18)
         if at < len(texts):
             yield batch.slice(at), texts[at:]
         del texts
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, so that a worker that waits for its next task holds little of it."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def chunk_words(texts: list[bytes], fold: bool = True) -> list[np.ndarray]:
