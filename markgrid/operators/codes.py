@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import code_role
+from .geometry import nearest
 
 CODE_PATTERNS = {"code": r"(?i)[A-Z]?\d{4,6}(?:[-]\d+)?", "digits": r"\d{4,6}", "student": r"(?i)[A-Z]?\d{5,6}"}
 
@@ -52,6 +53,22 @@ def confusion(rows: DataFrame, truth: str, seen: str, classes: list[int]) -> Dat
     return rows.groupBy(truth).agg(*cells, F.count("*").alias("support"), (F.count_if(F.col(truth) == F.col(seen)) / F.count("*")).alias("recall"))
 
 
+def evaluation(rows: DataFrame, truth: str, seen: str, loss: str) -> DataFrame:
+    """One row: n, accuracy, and the mean loss with inverse-frequency class weights, which is the mean over
+    classes of each class's mean. loss: in whole millionths, so that the sums are exact."""
+    by = rows.groupBy(truth).agg(F.count("*").alias("n"), F.count_if(F.col(truth) == F.col(seen)).alias("right"), F.sum(loss).alias("loss"))
+    mean = F.floor(F.col("loss") * 1000 / F.col("n")).cast("long")
+    return by.agg(F.sum("n").alias("n"), (F.sum("right") / F.sum("n")).alias("accuracy"), (F.sum(mean) / F.count("*") / F.lit(1e9)).alias("weighted_loss"))
+
+
+def code_cells(circles: DataFrame, height: int, centres: list[float]) -> DataFrame:
+    """circles (cx, cy, fill) with the digit of the nearest of ten even rows of a grid of that height, and
+    the place of the nearest column centre; circles outside the grid go."""
+    rows = [(i + 0.5) * height / 10 for i in range(10)]
+    inside = circles.where((F.col("cy") >= 0) & (F.col("cy") < height))
+    return inside.withColumns({"digit": nearest(F.col("cy"), rows), "place": nearest(F.col("cx"), centres)})
+
+
 def every_nth_split(rows: DataFrame, by: list[str], order: list[str], n: int = 5, ranges: int = 1024) -> DataFrame:
     """Every nth row of each group goes to val. Few groups may hold all rows, so rows are numbered within
     ranges of the first of order (numeric), on top of the sizes of the ranges before: a window never

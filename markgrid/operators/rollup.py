@@ -26,9 +26,14 @@ def sheet_rollup(answers: DataFrame) -> DataFrame:
 
 def answer_map(answers: DataFrame) -> DataFrame:
     """sheet, answers: JSON object of question to choice, in question order (unanswered: null)."""
-    pairs = F.sort_array(F.collect_list(F.struct("q", "choice")))
-    text = F.transform(pairs, lambda p: F.concat(F.lit('"'), p["q"].cast("string"), F.lit('":'), F.coalesce(F.concat(F.lit('"'), p["choice"], F.lit('"')), F.lit("null"))))
-    return answers.groupBy("sheet").agg(F.concat(F.lit("{"), F.array_join(text, ","), F.lit("}")).alias("answers"))
+    pairs = F.transform(F.sort_array(F.collect_list(F.struct("q", "choice"))), lambda p: F.struct(p["q"].cast("string").alias("key"), p["choice"].alias("value")))
+    return answers.groupBy("sheet").agg(F.to_json(F.map_from_entries(pairs)).alias("answers"))
+
+
+def answers_of_map(maps: DataFrame) -> DataFrame:
+    """The way back from answer_map: sheet, q, choice; no rows from text that is no JSON object."""
+    read = F.from_json("answers", "map<string,string>")
+    return maps.select("sheet", F.explode(read).alias("q", "choice")).withColumn("q", F.col("q").cast("int"))
 
 
 def answer_pivot(answers: DataFrame, width: int = 10) -> DataFrame:
@@ -63,3 +68,21 @@ def issues(answers: DataFrame) -> DataFrame:
     named = lambda c, text: F.when(F.col(c) != "", F.concat(F.lit(text), F.col(c)))
     text = F.concat_ws("; ", named("unanswered", "unanswered questions: "), named("low", "low-confidence answers: "))
     return rolled.select("sheet", (text == "").alias("valid"), text.alias("issues"))
+
+
+def previews(items: DataFrame, most: int = 10) -> DataFrame:
+    """sheet, n, preview: the first items (q, rank, label) of each sheet in order of question and rank, then
+    '...' if there are more; a sheet has at most as many as its template has bubbles."""
+    rows = items.groupBy("sheet").agg(F.sort_array(F.collect_list(F.struct("q", "rank", "label"))).alias("a"))
+    shown = F.array_join(F.transform(F.slice("a", 1, most), lambda x: x["label"]), ",")
+    return rows.select("sheet", F.size("a").alias("n"), F.concat(shown, F.when(F.size("a") > most, ",...").otherwise("")).alias("preview"))
+
+
+def type_summary(overrides: DataFrame, questions: int, default: str, types: dict[str, str]) -> DataFrame:
+    """sheet, and how many of its questions are of each type, as '3xtwo | 7xfour' in the order of types.
+    overrides: sheet, q, type (one a question); the other questions are of the default type."""
+    inside = F.col("q").between(1, questions)
+    counts = overrides.groupBy("sheet").agg(*[F.count_if(inside & (F.col("type") == t)).alias(t) for t in types], F.count_if(inside).alias("given"))
+    n = {t: F.col(t) + (questions - F.col("given") if t == default else 0) for t in types}
+    parts = [F.when(n[t] > 0, F.concat(n[t].cast("string"), F.lit("x"), F.lit(name))) for t, name in types.items()]
+    return counts.select("sheet", F.concat_ws(" | ", *parts).alias("summary"))

@@ -150,12 +150,22 @@ answers AS (SELECT spine.sheet, spine.q, CASE WHEN nf > 0 THEN best WHEN na = 1
   FROM spine LEFT JOIN qs USING (sheet, q))"""
 
 
-def _tiered(p: g.Tiered) -> str:
+def _tiered(p: g.Tiered, source: str = DENSE_SQL, detected: bool = False) -> str:
+    """detected: source has conf and filled (a detector's verdict) as well."""
     adj = "f - min(f) OVER w" if p.background else "f"
     sure2 = f"a >= prim * {p.double}::DOUBLE" if p.background else "true"
     flat = " OR d2 < 1e-6::DOUBLE" if p.background else ""
     ok = f"pick AND f > {p.status}::DOUBLE" if p.status is not None else "false"
-    return f"""WITH {_bubbles(f"SELECT * FROM ({DENSE_SQL}) WHERE rank < {p.choices}")}, bb AS (SELECT DISTINCT sheet FROM ({DENSE_SQL}) WHERE q BETWEEN 1 AND {SPINE}),
+    bubbles, hits, only, conf = _bubbles(f"SELECT * FROM ({source}) WHERE rank < {p.choices}"), "", "false", "''"
+    if detected:
+        dark = f"CASE WHEN y >= {p.trusted}::DOUBLE THEN z ELSE f > {p.status}::DOUBLE END"
+        best = "ORDER BY conf DESC, filled DESC"
+        bubbles = f"b AS (SELECT sheet, q, rank, max(dark)::DOUBLE / {MASK}::DOUBLE AS f, first(conf {best}) AS y, first(filled {best}) AS z FROM ({source}) WHERE rank < {p.choices} GROUP BY sheet, q, rank)"
+        ok, hit = f"pick AND ({dark})", f"({dark}) AND y >= {p.last}::DOUBLE AND a = top AND a >= {p.signal}::DOUBLE"
+        hits = f", count(*) FILTER ({hit}) AS nh, string_agg({_LETTER}, '' ORDER BY rank) FILTER ({hit}) AS lh, max(y) FILTER ({hit}) AS yh"
+        only, conf = "n = 0 AND nh = 1", "printf('yolo_conf=%.2f', yh)"
+    first = f"CASE WHEN {only} THEN lh WHEN" if detected else "CASE WHEN"
+    return f"""WITH {bubbles}, bb AS (SELECT DISTINCT sheet FROM ({source}) WHERE q BETWEEN 1 AND {SPINE}),
 spine AS (SELECT sheet, q FROM bb, (SELECT unnest(range(1, {SPINE} + 1))::INT AS q)),
 a1 AS (SELECT *, {adj} AS a FROM b WINDOW w AS (PARTITION BY sheet, q)),
 a2 AS (SELECT sheet, q, list(a ORDER BY rank) AS l, list_sum(list(a ORDER BY rank)) / count(*) AS mean, max(a) AS top, list_sort(list(a), 'DESC')[2] AS d2 FROM a1 GROUP BY sheet, q),
@@ -168,11 +178,11 @@ a7 AS (SELECT *, max(CASE WHEN rel AND rr = 2 THEN a END) OVER w AS rsec FROM a6
 a8 AS (SELECT *, CASE WHEN nsure > 0 THEN sure OR extra WHEN nrel > 1 THEN CASE WHEN rsec >= rtop * {p.close}::DOUBLE THEN rel ELSE rel AND rr = 1 END WHEN nrel = 1 THEN rel
   ELSE top >= {p.signal}::DOUBLE AND (d2 IS NULL{flat} OR top >= d2 * {p.dominant}::DOUBLE) AND ar = 1 END AS pick FROM a7),
 qs AS (SELECT sheet, q, count(*) FILTER (pick) AS n, count(*) FILTER ({ok}) AS nok, any_value(nsure) AS nsure, any_value(nrel) AS nrel,
-  string_agg({_LETTER}, '' ORDER BY rank) FILTER (pick) AS lp, string_agg({_LETTER}, '' ORDER BY rank) FILTER ({ok}) AS lok, first({_LETTER} ORDER BY a DESC, rank) FILTER (pick) AS best FROM a8 GROUP BY sheet, q)
-SELECT spine.sheet, spine.q, CASE WHEN n > 1 AND nok = 1 THEN lok WHEN n > 0 THEN best END AS choice,
-  CASE WHEN n IS NULL THEN 'no_circles' WHEN n = 0 THEN 'unanswered' WHEN n = 1 THEN '' WHEN nok = 1 THEN 'yolo_resolved' ELSE 'double_mark' END AS note,
-  CASE WHEN n IS NULL OR n = 0 THEN 'none' WHEN nsure > 0 THEN 'absolute' WHEN nrel > 0 OR {str(not p.background).lower()} THEN 'relative' ELSE 'dominant' END AS tier,
-  CASE WHEN n > 1 AND nok = 1 THEN lok WHEN n > 0 THEN lp ELSE '' END AS all_filled FROM spine LEFT JOIN qs USING (sheet, q)"""
+  string_agg({_LETTER}, '' ORDER BY rank) FILTER (pick) AS lp, string_agg({_LETTER}, '' ORDER BY rank) FILTER ({ok}) AS lok, first({_LETTER} ORDER BY a DESC, rank) FILTER (pick) AS best{hits} FROM a8 GROUP BY sheet, q)
+SELECT spine.sheet, spine.q, {first} n > 1 AND nok = 1 THEN lok WHEN n > 0 THEN best END AS choice,
+  CASE WHEN n IS NULL THEN 'no_circles' WHEN {only} THEN {conf} WHEN n = 0 THEN 'unanswered' WHEN n = 1 THEN '' WHEN nok = 1 THEN 'yolo_resolved' ELSE 'double_mark' END AS note,
+  CASE WHEN {only} THEN 'yolo' WHEN n IS NULL OR n = 0 THEN 'none' WHEN nsure > 0 THEN 'absolute' WHEN nrel > 0 OR {str(not p.background).lower()} THEN 'relative' ELSE 'dominant' END AS tier,
+  {first} n > 1 AND nok = 1 THEN lok WHEN n > 0 THEN lp ELSE '' END AS all_filled FROM spine LEFT JOIN qs USING (sheet, q)"""
 
 
 _V0 = f"""{_bubbles()}, {_spine(SPINE)},

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import LETTERS, clip, nano, total
+from ..functions.columns import LETTERS, clip, nano, rounded, total
 from ..sources.marks import MASK
 
 RANKS = range(5)
@@ -24,6 +24,16 @@ def question_rows(marks: DataFrame, by: tuple[str, ...] = ("sheet", "q")) -> Dat
     return marks.groupBy(*by).agg(*[F.max(F.when(F.col("rank") == r, F.col("dark"))).alias(f"d{r}") for r in RANKS]).select(*by, *[(F.col(f"d{r}") / F.lit(float(MASK))).alias(f"f{r}") for r in RANKS])
 
 
+def detected_rows(marks: DataFrame, detections: DataFrame) -> DataFrame:
+    """question_rows with, per rank, the confidence y0..y4 and the verdict z0..z4 (filled or not) of the most
+    confident detection (sheet, q, rank, conf, filled); one aggregation over both tables, no join."""
+    both = marks.select("sheet", "q", "rank", "dark").unionByName(detections.select("sheet", "q", "rank", "conf", "filled"), allowMissingColumns=True)
+    at = [F.when(F.col("rank") == r, F.col("dark")) for r in RANKS]
+    seen = [F.when((F.col("rank") == r) & F.col("conf").isNotNull(), F.struct("conf", "filled")) for r in RANKS]
+    rows = both.groupBy("sheet", "q").agg(*[F.max(d).alias(f"d{r}") for r, d in enumerate(at)], *[F.max(x).alias(f"x{r}") for r, x in enumerate(seen)])
+    return rows.select("sheet", "q", *[(F.col(f"d{r}") / F.lit(float(MASK))).alias(f"f{r}") for r in RANKS], *[F.col(f"x{r}.conf").alias(f"y{r}") for r in RANKS], *[F.col(f"x{r}.filled").alias(f"z{r}") for r in RANKS])
+
+
 def with_spine(answers: DataFrame, questions: int, blank: dict) -> DataFrame:
     """A row for each question 1..questions of each sheet; blank has the values of questions that
     answers lacks. A sheet has at most `questions` rows, so its map is small; no join is needed."""
@@ -142,6 +152,25 @@ class BinaryFallback:
         return rows.select("sheet", "q", choice.alias("choice"), note.alias("note"), letters(hit).alias("all_filled"))
 
 
+@dataclass(frozen=True)
+class ModelStatus:
+    """v2 with a classifier: rows have, per rank, the probabilities p0.. of filled and u0.. of ambiguous. An
+    ambiguous bubble never answers, but asks for a review of a question that has no or one filled bubble."""
+
+    filled: float = 0.70
+    unsure: float = 0.50
+
+    blank = {"choice": None, "note": "no_circles", "all_filled": ""}
+
+    def grade(self, rows: DataFrame) -> DataFrame:
+        ps, us = named("p"), named("u")
+        hit = [F.coalesce(p >= self.filled, F.lit(False)) for p in ps]
+        n, m = count(hit), count([~h & (u >= self.unsure) for h, u in zip(hit, us)])
+        choice = F.when(n > 0, arg_max([rounded(p, 3) for p in ps], hit))
+        note = F.when(count([p.isNotNull() for p in ps]) == 0, "no_circles").when(n > 1, "double_mark").when(m > 0, "ambiguous_review").when(n == 0, "unanswered").otherwise("")
+        return rows.select("sheet", "q", choice.alias("choice"), note.alias("note"), letters(hit).alias("all_filled"))
+
+
 @dataclass(frozen=True)
 class Tiered:
     """s8 and v1: absolute, relative and dominant tiers, over fills less the row's minimum (s8) or as they are (v1)."""
@@ -155,10 +184,14 @@ class Tiered:
     status: float | None = None
     double: float = 0.70
     close: float = 0.85
+    trusted: float = 0.25
+    last: float = 0.30
 
     blank = {"choice": None, "note": "no_circles", "tier": "none", "all_filled": ""}
 
-    def grade(self, rows: DataFrame) -> DataFrame:
+    def grade(self, rows: DataFrame, detected: bool = False) -> DataFrame:
+        """detected: rows are detected_rows. A trusted detection then says whether a bubble is filled, not
+        its fill, and a question without candidates takes its darkest bubble if that alone is confirmed."""
         k, no = self.choices, F.lit(False)
         raw, adj, sure, rel, extra, pick, ok = (named(x, k) for x in "fasrepo")
         low = F.least(*raw)
@@ -176,7 +209,10 @@ class Tiered:
         rows = rows.withColumns(
             numbered("p", [F.when(n_sure > 0, s | e).when((n_rel > 1) & ~near, F.col("rel_first") == i).when(n_rel > 0, r).otherwise(clear & (F.col("top_first") == i)) for i, (s, e, r) in enumerate(zip(sure, extra, rel))])
         )
-        status = [p & (f > F.lit(self.status)) if self.status is not None else no for p, f in zip(pick, raw)]
+        dark = [f > F.lit(self.status) if self.status is not None else no for f in raw]
+        if detected:
+            dark = [F.when(y >= self.trusted, z).otherwise(d) for y, z, d in zip(named("y", k), named("z", k), dark)]
+        status = [p & d for p, d in zip(pick, dark)]
         rows = rows.withColumns({f"p{i}": F.coalesce(F.col(f"p{i}"), no) for i in range(k)}).withColumns(numbered("o", [F.coalesce(x, no) for x in status]) | {"n": count(pick)})
         rows = rows.withColumn("alone", (F.col("n") > 1) & (count(ok) == 1))
         rows = rows.withColumns(numbered("p", [F.when(F.col("alone"), o).otherwise(p) for p, o in zip(pick, ok)]))
@@ -184,7 +220,15 @@ class Tiered:
         seen = count([f.isNotNull() for f in raw])
         tier = F.when(n == 0, "none").when(n_sure > 0, "absolute").when((n_rel > 0) | F.lit(not self.background), "relative").otherwise("dominant")
         note = F.when(seen == 0, "no_circles").when(n == 0, "unanswered").when(n == 1, "").when(alone, "yolo_resolved").otherwise("double_mark")
-        return rows.select("sheet", "q", arg_max(adj, pick).alias("choice"), note.alias("note"), tier.alias("tier"), letters(pick).alias("all_filled"))
+        choice, marked = arg_max(adj, pick), letters(pick)
+        if detected:
+            hit = [F.coalesce(d & (y >= self.last) & (a == top) & (a >= self.signal), no) for d, y, a in zip(dark, named("y", k), adj)]
+            only = (n == 0) & (count(hit) == 1)
+            conf = F.greatest(*[F.when(h, y) for h, y in zip(hit, named("y", k))])
+            choice, marked = (F.when(only, letters(hit)).otherwise(x) for x in (choice, marked))
+            tier = F.when(only, "yolo").otherwise(tier)
+            note = F.when(only, F.format_string("yolo_conf=%.2f", rounded(conf, 2))).otherwise(note)
+        return rows.select("sheet", "q", choice.alias("choice"), note.alias("note"), tier.alias("tier"), marked.alias("all_filled"))
 
 
 @dataclass(frozen=True)
@@ -212,6 +256,7 @@ def graded(marks: DataFrame, policy, questions: int) -> DataFrame:
 
 V3O = TemplateDriven()
 V2 = BinaryFallback()
+V2_MODEL = ModelStatus()
 S8 = Tiered(background=True, filled=0.35, margin=0.12, signal=0.20, dominant=2.0, status=0.35)
 V1 = Tiered(background=False, filled=0.40, margin=0.06, signal=0.28, dominant=1.35, choices=4)
 V0 = Darkest()

@@ -15,6 +15,16 @@ def write_label_lines(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("append").text(path)
 
 
+def write_crops(crops: DataFrame, path: str) -> None:
+    """Bubble crops as Parquet, in a folder for each split."""
+    crops.write.mode("append").partitionBy("split").parquet(path)
+
+
+def read_crops(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """One split; only its folder is read."""
+    return spark.read.parquet(path).where(F.col("split") == split).drop("split")
+
+
 def read_back(results: DataFrame, errors: DataFrame, wanted: DataFrame) -> DataFrame:
     """run_id, status for wanted (run_id): 200 with a result, 422 with an error, else 404."""
     ok, bad = (df.select("run_id").distinct().withColumn(name, F.lit(True)) for df, name in ((results, "ok"), (errors, "bad")))

@@ -32,3 +32,9 @@ def test_geometry_files(spark, tmp_path):
     (tmp_path / "Q10_5ch_ar.json").write_text(json.dumps({"template": "Q10_5ch", "n_questions": 10, "n_choices": 5, "n_cols": 2, "rtl": True, "bubbles": bubbles}, indent=2))
     rows = templates.bubble_geometry(spark, str(tmp_path)).collect()
     assert len(rows) == 5 and {r.lang for r in rows} == {"ar"} and {r.choice for r in rows} == set(range(5))
+
+
+def test_crops_by_split(spark, tmp_path):
+    crops = spark.createDataFrame([("train", [0.5], 1), ("val", [0.25], 0)], "split string, image array<float>, label int")
+    sinks.write_crops(crops, str(tmp_path / "crops"))
+    assert [tuple(r) for r in sinks.read_crops(spark, str(tmp_path / "crops"), "val").collect()] == [([0.25], 0)]
