@@ -163,10 +163,11 @@ class ModelStatus:
     blank = {"choice": None, "note": "no_circles", "all_filled": ""}
 
     def grade(self, rows: DataFrame) -> DataFrame:
-        ps, us = named("p"), named("u")
-        hit = [F.coalesce(p >= self.filled, F.lit(False)) for p in ps]
-        n, m = count(hit), count([~h & (u >= self.unsure) for h, u in zip(hit, us)])
-        choice = F.when(n > 0, arg_max([rounded(p, 3) for p in ps], hit))
+        ps, us, hit = named("p"), named("u"), named("s")
+        rows = rows.withColumns(numbered("s", [F.coalesce(p >= self.filled, F.lit(False)) for p in ps]))
+        rows = rows.withColumns(numbered("v", [F.when(h, rounded(p, 3)) for h, p in zip(hit, ps)]) | {"n": count(hit), "m": count([~h & (u >= self.unsure) for h, u in zip(hit, us)])})
+        n, m = F.col("n"), F.col("m")
+        choice = arg_max(named("v"))
         note = F.when(count([p.isNotNull() for p in ps]) == 0, "no_circles").when(n > 1, "double_mark").when(m > 0, "ambiguous_review").when(n == 0, "unanswered").otherwise("")
         return rows.select("sheet", "q", choice.alias("choice"), note.alias("note"), letters(hit).alias("all_filled"))
 
@@ -222,12 +223,15 @@ class Tiered:
         note = F.when(seen == 0, "no_circles").when(n == 0, "unanswered").when(n == 1, "").when(alone, "yolo_resolved").otherwise("double_mark")
         choice, marked = arg_max(adj, pick), letters(pick)
         if detected:
-            hit = [F.coalesce(d & (y >= self.last) & (a == top) & (a >= self.signal), no) for d, y, a in zip(dark, named("y", k), adj)]
-            only = (n == 0) & (count(hit) == 1)
-            conf = F.greatest(*[F.when(h, y) for h, y in zip(hit, named("y", k))])
+            sure_of = [d & (y >= self.last) & (a == top) & (a >= self.signal) for d, y, a in zip(dark, named("y", k), adj)]
+            rows = rows.withColumns(numbered("h", [F.coalesce(h, no) for h in sure_of]))
+            hit = named("h", k)
+            rows = rows.withColumns({"only": (n == 0) & (count(hit) == 1), "conf": F.greatest(*[F.when(h, y) for h, y in zip(hit, named("y", k))])})
+            rows = rows.withColumn("conf", rounded(F.col("conf"), 2))
+            only = F.col("only")
             choice, marked = (F.when(only, letters(hit)).otherwise(x) for x in (choice, marked))
             tier = F.when(only, "yolo").otherwise(tier)
-            note = F.when(only, F.format_string("yolo_conf=%.2f", rounded(conf, 2))).otherwise(note)
+            note = F.when(only, F.format_string("yolo_conf=%.2f", "conf")).otherwise(note)
         return rows.select("sheet", "q", choice.alias("choice"), note.alias("note"), tier.alias("tier"), marked.alias("all_filled"))
 
 
