@@ -38,7 +38,7 @@ def test_token_counts_are_the_tokenizers(spark, odd):
     pieces = token_count.vocabulary(P.path("piece_bpe_32k.model"))
     own = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=True))
     own.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace(replacement=token_count.MARK, prepend_scheme="always", split=True)])
-    want = {i: len(own.encode(t or "", add_special_tokens=False).ids) for i, t in texts().items() if i != 14}
+    want = {i: len(own.encode(t or "", add_special_tokens=False).ids) for i, t in texts().items()}
     got = {r.doc_id: r.n_tokens for r in queries()["op5_token_counts"](spark, odd).collect()}
     assert {i: got[i] for i in want} == want
 
