@@ -6,9 +6,10 @@ open windows are filled to each level) becomes least: into an open window of lev
 count[h] and raises count[h + size], or into a new one. The level array has one entry a token of
 the window, so a step is one NumPy expression over it. Ties go to the fullest window.
 
-Open windows are held with their ids until full. When there are MAX_OPEN of them, and at the end
-of the partition, they are cut and joined into full windows; what is then left at the end is cut
-into windows whose lengths are powers of two, which need no padding.
+Open windows are held with their ids until full. When a new one makes them MAX_OPEN, the fullest is
+filled up from the emptiest, which bounds memory and leaves all other windows as they are. At the end
+of the partition they are cut and joined into full windows; what is then left is cut into windows
+whose lengths are powers of two, which need no padding.
 
 Ids come from the public tokenizer. It drops white space and never joins across it, so the ids of
 a text are those of its words; words are encoded once per worker into a table of bounded size.
@@ -168,14 +169,36 @@ class SumOfSquares:
         else:
             pieces = []
         pieces.append(piece)
-        if h + size == self.window:
-            self.close(pieces)
-            return
-        self.open[h + size].append(pieces)
-        self.count[h + size] += 1
-        self.n_open += 1
+        self.put(pieces, h + size)
         if self.n_open >= self.max_open:
-            self.rejoin()
+            self.top_up()
+
+    def put(self, pieces, level: int) -> None:
+        """Closes a full window, keeps another one open."""
+        if level == self.window:
+            self.close(pieces)
+        elif level:
+            self.open[level].append(pieces)
+            self.count[level] += 1
+            self.n_open += 1
+
+    def top_up(self) -> None:
+        """Fills the fullest open window from the front of the emptiest, cutting a document if need be."""
+        levels = np.flatnonzero(self.count)
+        high, low = int(levels[-1]), int(levels[0])
+        full, rest = self.open[high].pop(), self.open[low].popleft()
+        self.count[high] -= 1
+        self.count[low] -= 1
+        self.n_open -= 2
+        while rest and high < self.window:
+            doc, start, ids, total = rest.pop(0)
+            take = min(len(ids) // 4, self.window - high)
+            full.append((doc, start, ids[: 4 * take], total))
+            high, low = high + take, low - take
+            if 4 * take < len(ids):
+                rest.insert(0, (doc, start + take, ids[4 * take :], total))
+        self.put(full, high)
+        self.put(rest, low)
 
     def close(self, pieces) -> None:
         at = 0
