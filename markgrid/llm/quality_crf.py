@@ -114,8 +114,8 @@ def chunk_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     triples = np.zeros(len(hashes), bool)
     if len(hashes) > 2:
         key = mix(mix(hashes[:-2]) + hashes[1:-1] * np.uint64(3) + mix(hashes[2:] ^ np.uint64(77)))
-        _, twice = again(key, doc[line[:-2]])
-        triples[:-2] = twice & (doc[line[:-2]] == doc[line[2:]])
+        inside = np.flatnonzero(doc[line[:-2]] == doc[line[2:]])  # not the last words of one text and the first of the next
+        triples[inside] = again(key[inside], doc[line[inside]])[1]
     of_line = lambda x: np.add.reduceat(x.astype(np.int64), first)
     whole = np.add.reduceat(mix(hashes + (np.arange(len(hashes)) - first[line]).astype(np.uint64)), first)
     seen, _ = again(whole, doc)
