@@ -76,6 +76,24 @@ def test_packing_round_trip(spark, odd):
         assert g.length.sum() == packing.WINDOW or int(g.length.sum()).bit_count() == 1
 
 
+def test_store_of_open_windows_is_topped_up_when_full():
+    r = np.random.default_rng(6)
+    for most in (2, 3, 8):
+        p = packing.SumOfSquares(0, 16, most)
+        docs = [r.integers(0, 1000, int(r.integers(1, 40))).astype("<u4") for _ in range(400)]
+        for doc, ids in enumerate(docs):
+            before = p.count.copy()
+            p.add(doc, ids.tobytes())
+            assert p.n_open == p.count.sum() == sum(map(len, p.open)) < most
+            assert np.abs(p.count - before).sum() <= 6  # the window placed into and the two that were joined
+            assert all(sum(len(x[2]) for x in ps) == 4 * h for h, some in enumerate(p.open) for ps in some)
+        assert all(sum(len(x[2]) for x in p.out if x[4] == s) == 64 for s in range(p.sequence))
+        p.finish()
+        for doc, ids in enumerate(docs):
+            own = sorted((x[1], x[2]) for x in p.out if x[0] == doc)
+            assert b"".join(x for _, x in own) == ids.tobytes() and [a for a, _ in own] == [sum(len(x) // 4 for _, x in own[:i]) for i in range(len(own))]
+
+
 def test_sum_of_squares_choice():
     r = np.random.default_rng(2)
     for _ in range(200):
@@ -255,6 +273,96 @@ def test_lines_at_the_driver_are_bounded(spark, sf_dir):
     assert len(every) > len(rows) and all(r in every for r in rows)
 
 
+def plain_lines(text):
+    """Statistics and sizes of each line with a word, by loops over words."""
+    lines = [re.findall(rb"[^ \t-\r]+", x) for x in (text or "").encode().split(b"\n")]
+    lines = [ws for ws in lines if ws]
+    words = [w.lower() for ws in lines for w in ws]
+    triples = list(zip(words, words[1:], words[2:]))
+    times, out, at = Counter(triples), [], 0
+    for i, ws in enumerate(lines):
+        raw, low = b"".join(ws), [w.lower() for w in ws]
+        n, size = len(ws), len(raw)
+        count = lambda chars: sum(map(raw.count, [bytes([x]) for x in chars]))
+        letters = count(range(65, 91)) + count(range(97, 123)) + count(range(0xC0, 256))
+        earlier = any([w.lower() for w in x] == low for x in lines[:i])
+        stats = [n, count(b"#*$%&|<>!") / size, count(range(65, 91)) / max(letters, 1), count(range(48, 58)) / size, count(b".,;:?") / size]
+        stats += [sum(a == b for a, b in zip(low, low[1:])) / n, 1 - (n - len(set(low))) / n, size / n]
+        stats += [sum(times[t] > 1 for t in triples[at : at + n]) / n, earlier]
+        out.append(([sum(e < s for e in edges) for edges, s in zip(quality_crf.EDGES.values(), stats)], size))
+        at += n
+    return out
+
+
+def plain_score(text, model):
+    """The score by sums over the two states of each line."""
+    w, t, (at, slope) = model
+    lines = plain_lines(text)
+    if not lines:
+        return 0.0
+    value = [[sum(w[k][f * quality_crf.WIDTH + b] for f, b in enumerate(bins)) for bins, _ in lines] for k in range(3)]
+    e = [v + w[0][-1] + (value[1][i - 1] if i else w[1][-1]) + (value[2][i + 1] if i + 1 < len(lines) else w[2][-1]) for i, v in enumerate(value[0])]
+
+    def messages(order, link):
+        prior, out = [1.0, 1.0], {}
+        for i in order:
+            out[i] = list(prior)
+            own = [prior[0], prior[1] * math.exp(e[i])]
+            prior = [sum(own[s] * math.exp(link(s, to)) for s in (0, 1)) for to in (0, 1)]
+            prior = [x / sum(prior) for x in prior]
+        return out
+
+    before = messages(range(len(e)), lambda s, to: t[s][to])
+    after = messages(reversed(range(len(e))), lambda s, to: t[to][s])
+    good = [before[i][1] * after[i][1] * math.exp(e[i]) for i in range(len(e))]
+    p = [g / (g + before[i][0] * after[i][0]) for i, g in enumerate(good)]
+    q = min(max(sum(x * size for x, (_, size) in zip(p, lines)) / sum(size for _, size in lines), 1e-4), 1 - 1e-4)
+    return 1 / (1 + math.exp(-(at + slope * math.log(q / (1 - q)))))
+
+
+def test_quality_scores_equal_a_plain_restatement(spark, odd, sf_dir):
+    for d in (odd, sf_dir):
+        docs, labels = (spark.read.parquet(f"{d}/{x}.parquet") for x in ("documents", "labels"))
+        model = quality_crf.learn(quality_crf.training_part(docs), quality_crf.training_part(labels))
+        plain = sorted((-1 if r.doc_id is None else r.doc_id, plain_score(r.text, model)) for r in docs.collect())
+        out = sorted((-1 if r.doc_id is None else r.doc_id, r.score, r.held_out, r.predicted) for r in quality_crf.op9(spark, d).collect())
+        assert [i for i, _ in plain] == [r[0] for r in out]
+        for (i, want), (_, got, held_out, predicted) in zip(plain, out):
+            assert abs(got - want) < 1e-6 and predicted == (got >= 0.3)
+            assert held_out == (zlib.crc32(("" if i < 0 else str(i)).encode()) % 5 == 0)
+
+
+def test_quality_of_a_text_does_not_depend_on_the_next():
+    first, second = b"north wind north", b"wind north\nlate"
+    alone = quality_crf.chunk_features([first])[0]
+    assert (quality_crf.chunk_features([first, second])[0][:1] == alone).all()
+    first, second = b"wind north south east wind", b"north south"
+    assert (quality_crf.chunk_features([first, second])[0][:1] == quality_crf.chunk_features([first])[0]).all()
+
+
+def test_training_climbs_the_penalised_likelihood():
+    """After training, the brute-force penalised likelihood of small chains is as good as at any small step away."""
+    r = np.random.default_rng(8)
+    n = np.array([3, 2, 4, 1, 3, 2] * 6)
+    chain = np.repeat(np.arange(len(n)), n)
+    good = np.repeat(r.integers(0, 2, len(n)), n).astype(bool)
+    bins = np.stack([np.minimum(r.integers(0, 3, len(chain)) + good, 2) + f * quality_crf.WIDTH for f in range(len(quality_crf.EDGES))], axis=1)
+
+    def likelihood(w, t):
+        e, total = quality_crf.evidence(bins, chain, w), 0.0
+        for c in range(len(n)):
+            own, y = e[chain == c], good[chain == c].astype(int)
+            score = lambda path: sum(own[i] for i in range(len(own)) if path[i]) + sum(t[a, b] for a, b in zip(path, path[1:]))
+            total += score(y) - math.log(sum(math.exp(score(p)) for p in np.ndindex(*[2] * len(own))))
+        return total / len(chain) - quality_crf.DECAY / 2 * ((w**2).sum() + (t**2).sum())
+
+    w, t = quality_crf.train(bins, chain, good)
+    best = likelihood(w, t)
+    assert best > likelihood(0 * w, 0 * t) + 0.1
+    for _ in range(20):
+        assert likelihood(w + r.normal(0, 0.3, w.shape), t + r.normal(0, 0.3, t.shape)) < best
+
+
 def test_quality_classifier_on_held_out(spark):
     d = "/root/testdata/sf0.01"
     out = quality_crf.op9(spark, d).toPandas().merge(spark.read.parquet(f"{d}/labels.parquet").toPandas(), on="doc_id")
