@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
+from .text import give_back
 
-WINDOW, END_ID, MAX_OPEN, KEPT_WORDS = 4096, 2, 512, 700_000
+WINDOW, END_ID, MAX_OPEN, KEPT_WORDS = 4096, 2, 512, 250_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -267,6 +268,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
         packer.finish()
         if packer.out:
             yield batch()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
