@@ -1,5 +1,7 @@
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -282,6 +284,45 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, path).count() == seen["packing"]
 
 
+def plain_shares(nodes, total):
+    """Budgets of siblings, {name: (capacity, weight)}: full ones first, the rest by weight."""
+    left, weights, out = total, sum(w for _, w in nodes.values()), {}
+    for name in sorted(nodes, key=lambda x: (nodes[x][0] / nodes[x][1], x)):
+        cap, w = nodes[name]
+        if cap * weights > w * left:
+            break
+        out[name] = cap
+        left, weights = left - cap, weights - w
+    return out | {name: left * w // weights for name, (_, w) in nodes.items() if name not in out}
+
+
+def plain_mix(rows, share):
+    """Ids that one epoch at most of each leaf yields, from rows (doc_id, lang, source, text)."""
+    leaf, size = {}, {}
+    for i, lang, source, text in rows:
+        number = re.search(r"[0-9]{1,9}$", source or "")
+        leaf[i] = (f"domain{int(number.group()) % mixing.DOMAINS if number else 0}", lang or "", source or "")
+        size[i] = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    budget = {(): math.floor(sum(size.values()) * share)}
+    for level, named in enumerate(mixing.DEFAULT_WEIGHTS, 1):
+        caps = Counter()
+        for i, path in leaf.items():
+            caps[path[:level]] += size[i]
+        for parent in {path[:-1] for path in caps}:
+            budget |= plain_shares({path: (c, named.get(path[-1], 1)) for path, c in caps.items() if path[:-1] == parent}, budget[parent])
+    taken = set()
+    for path in set(leaf.values()):
+        own = [i for i in leaf if leaf[i] == path]
+        tokens = sum(size[i] for i in own)
+        epochs, rest = divmod(budget[path], tokens) if tokens else (0, 0)
+        through = 0
+        for i in sorted(own, key=lambda x: (hashlib.md5(f"{mixing.SEED}:{epochs}:{x}".encode()).hexdigest()[:8], x)):
+            through += size[i]
+            if epochs or through <= rest:
+                taken.add(i)
+    return taken
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     """Each stage's documents, against the plain form of its rule over what the stage before kept."""
     import corpus_pipeline
@@ -308,11 +349,18 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         if name in want:
             assert sorted(ids) == sorted(want[name]), name
         if name == "mixing":
-            words = lambda some: sum(len(re.findall(r"[^\x20\x09-\x0D]+", own[i] or "")) for i in some)
-            assert set(ids) <= left and len(ids) == len(set(ids)) and words(ids) <= 0.9 * words(left)
-            left = set(ids)
+            place = {r.doc_id: (r.lang, r.source) for r in documents(spark, repeat=False).collect()}
+            left = plain_mix([(i, *place[i], own[i]) for i in left], corpus_pipeline.MIX_SHARE)
+            assert sorted(ids) == sorted(left)
         if name == "packing":
             encoder = packing.encoder(packing.default_tokenizer())
-            sizes = {i: len(x) // 4 + 1 for i, x in zip(sorted(left), encoder.ids([own[i] for i in sorted(left)]))}
-            got = {r.doc_id: r.n for r in docs.groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
-            assert got == sizes
+            end = packing.END_ID.to_bytes(4, "little")
+            ids_of = {i: x + end for i, x in zip(sorted(left), encoder.ids([own[i] for i in sorted(left)]))}
+            out = docs.toPandas().sort_values(["doc_id", "start"])
+            assert set(out.doc_id) == left
+            for i, g in out.groupby("doc_id"):
+                assert (g.start == g.length.cumsum() - g.length).all() and (g.doc_tokens == g.length.sum()).all() and 4 * g.length.sum() == len(ids_of[i])
+                assert all(r.ids_crc32 == zlib.crc32(ids_of[i][4 * r.start : 4 * (r.start + r.length)]) for r in g.itertuples())
+            for _, g in out.sort_values("offset").groupby("sequence_id"):
+                assert (g.offset == g.length.cumsum() - g.length).all()
+                assert g.length.sum() == packing.WINDOW or (g.length.sum() < packing.WINDOW and int(g.length.sum()).bit_count() == 1)
