@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import answers, codes, detections, geometry, layout, reports, results, sheets, streams
+from .plans import answers, codes, detections, geometry, layout, reports, results, streams
 
-FAMILIES = (answers, geometry, layout, codes, detections, results, reports, streams, sheets)
+FAMILIES = (answers, geometry, layout, codes, detections, results, reports, streams)
 
 
 def queries() -> dict:

@@ -87,12 +87,3 @@ def box_line(cls: Column, x0: Column, y0: Column, x1: Column, y1: Column, width:
     x0, x1, y0, y1 = clamp(x0, width), clamp(x1, width), clamp(y0, height), clamp(y1, height)
     million = lambda v, size: F.floor(v * 1_000_000 / (2 * size)).cast("long").cast("string")
     return F.concat_ws(" ", cls.cast("string"), million(x0 + x1, width), million(y0 + y1, height), million(2 * (x1 - x0), width), million(2 * (y1 - y0), height))
-
-
-MAGIC = {"jpeg": bytes.fromhex("FFD8FF"), "png": bytes.fromhex("89504E470D0A1A0A")}
-
-
-def image_kind(content: Column) -> Column:
-    """jpeg, png, or null, by the first bytes."""
-    starts = lambda raw: F.substring(content, 1, len(raw)) == F.lit(raw)
-    return F.when(starts(MAGIC["jpeg"]), "jpeg").when(starts(MAGIC["png"]), "png")

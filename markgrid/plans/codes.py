@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import template_numbers
 from ..operators import codes as ops
+from ..operators import requests
 from ..sources import templates as t
 from ..sources.marks import CIRCLES_SQL, DENSE_SQL, circles, dense_marks, read
 
@@ -84,7 +85,7 @@ def whitelist_semi(spark, d):
 def upload_validation(spark, d):
     """Uploads of the event stream: first bytes, size limit, and the status a service gives."""
     e = read(spark, d, "events").select("event_id", "user_id", F.floor(F.col("value") * 100000).cast("long").alias("size"), F.when(F.col("event_id") % 3 == 0, F.lit("ffd8ffe0")).when(F.col("event_id") % 3 == 1, F.lit("89504e470d0a1a0a")).otherwise(F.lit("47494638")).alias("head"))
-    kind = ops.image_kind(F.unhex("head"))
+    kind = requests.kind_of(F.unhex("head"))
     status = F.when(F.col("size") == 0, 400).when(F.col("size") > 25 * 1024 * 1024, 413).when(kind.isNull(), 415).otherwise(200)
     return e.select("event_id", "user_id", "size", kind.alias("kind"), status.alias("status"))
 

@@ -49,16 +49,16 @@ def decoded_union(spark, d):
 
 def column_union(spark, d):
     """Column edges from bars and from a static layout: the mean where both have a column, else the one there is."""
-    c = circles(spark, d).withColumns({"page": F.col("sheet") % 300, "col_idx": F.floor(F.col("cx") / 188).cast("int")})
+    c = circles(spark, d).withColumns({"page": F.col("sheet"), "col_idx": F.floor(F.col("cx") / 188).cast("int")})
     edge = lambda flag, name: c.where(flag).groupBy("page", "col_idx").agg(F.min("cx").alias(name))
-    both = edge("dark >= 40", "bar").join(edge("dark <= 4", "static"), ["page", "col_idx"], "full")
+    both = edge("dark >= 25", "bar").join(edge("dark < 25", "static"), ["page", "col_idx"], "full")
     middle = F.when(F.col("bar").isNotNull() & F.col("static").isNotNull(), (F.col("bar") + F.col("static")) / 2).otherwise(F.coalesce("bar", "static").cast("double"))
     return both.select("page", "col_idx", middle.alias("x0"), F.col("bar").isNotNull().alias("from_bar"))
 
 
 def replaced_regions(spark, d):
     """Detections of a page with those of one kind replaced by another source's, counted by kind and source."""
-    c = circles(spark, d).withColumns({"page": F.col("sheet") % 300, "kind": F.when(F.col("dark") % 3 == 0, "answers").otherwise("codes")})
+    c = circles(spark, d).withColumns({"page": F.col("sheet"), "kind": F.when(F.col("dark") % 3 == 0, "answers").otherwise("codes")})
     model = c.where("dark > 20").select("page", "kind", F.lit("model").alias("source"))
     static = c.where("dark <= 20 AND kind = 'answers'").select("page", "kind", F.lit("static").alias("source"))
     return model.where("kind <> 'answers'").unionByName(static).groupBy("page", "kind", "source").agg(F.count("*").alias("n"))
@@ -100,9 +100,9 @@ SELECT sheet, q, substr('{"".join(LETTERS)}', rank + 1, 1) AS option, dark, mark
     "enriched_circles": f"WITH {_C} SELECT cx, cy, count(*) AS n, coalesce(max(fill) FILTER (dark > 25), 0) AS fill FROM c GROUP BY cx, cy",
     "decoded_union": """WITH l AS (SELECT l_orderkey AS sheet, l_suppkey % 20 AS c, l_linenumber, l_partkey, l_suppkey FROM lineitem), u AS (SELECT *, 0 AS d FROM l WHERE l_linenumber <= 3 UNION ALL SELECT *, 1 FROM l WHERE l_linenumber >= 3),
 o AS (SELECT sheet, c, row_number() OVER (PARTITION BY sheet ORDER BY d, l_linenumber, l_partkey, l_suppkey) AS i FROM u), f AS (SELECT sheet, c, min(i) AS i FROM o GROUP BY sheet, c) SELECT sheet, string_agg(c, ',' ORDER BY i) AS codes FROM f GROUP BY sheet""",
-    "column_union": f"""WITH {_C}, g AS (SELECT sheet % 300 AS page, cx // 188 AS col_idx, min(cx) FILTER (dark >= 40) AS bar, min(cx) FILTER (dark <= 4) AS static FROM c GROUP BY 1, 2)
+    "column_union": f"""WITH {_C}, g AS (SELECT sheet AS page, cx // 188 AS col_idx, min(cx) FILTER (dark >= 25) AS bar, min(cx) FILTER (dark < 25) AS static FROM c GROUP BY 1, 2)
 SELECT page, col_idx, CASE WHEN bar IS NOT NULL AND static IS NOT NULL THEN (bar + static) / 2::DOUBLE ELSE coalesce(bar, static)::DOUBLE END AS x0, bar IS NOT NULL AS from_bar FROM g WHERE bar IS NOT NULL OR static IS NOT NULL""",
-    "replaced_regions": f"""WITH {_C}, k AS (SELECT sheet % 300 AS page, CASE WHEN dark % 3 = 0 THEN 'answers' ELSE 'codes' END AS kind, CASE WHEN dark > 20 THEN 'model' ELSE 'static' END AS source FROM c)
+    "replaced_regions": f"""WITH {_C}, k AS (SELECT sheet AS page, CASE WHEN dark % 3 = 0 THEN 'answers' ELSE 'codes' END AS kind, CASE WHEN dark > 20 THEN 'model' ELSE 'static' END AS source FROM c)
 SELECT page, kind, source, count(*) AS n FROM k WHERE (kind = 'answers') = (source = 'static') GROUP BY ALL""",
     "projection_profile": f"WITH {_C}, g AS (SELECT cy, cx // 188 AS k, count(*) AS n FROM c WHERE dark > 30 GROUP BY 1, 2) SELECT cy, max(n) AS largest, sum(n)::BIGINT AS total, count(*) AS columns FROM g GROUP BY cy",
     "run_ids": "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') || '_' || substr(md5(event_id::VARCHAR), 1, 8) AS run_id FROM events",

@@ -1,7 +1,7 @@
 """Mark tables: one row per bubble, read from the star-schema tables.
 
 dense: sheet = order, question = line number, rank = supplier mod 5, dark pixels = quantity of 50.
-sparse: 500 sheets of 100 questions, of which only strongly marked bubbles are present.
+sparse: sheets of 100 questions of which about a third have marks, eight orders a sheet.
 circles: detected circles with positions, radii and fills, one per order line.
 """
 
@@ -25,8 +25,8 @@ def dense_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").where("l_quantity > 40").select(
-        (F.col("l_orderkey") % 500).alias("sheet"), (F.col("l_partkey") % 100 + 1).cast("int").alias("q"), (F.col("l_suppkey") % 5).cast("int").alias("rank"), F.col("l_quantity").cast("int").alias("dark")
+    return read(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 8).alias("sheet"), (F.col("l_partkey") % 100 + 1).cast("int").alias("q"), (F.col("l_suppkey") % 5).cast("int").alias("rank"), F.col("l_quantity").cast("int").alias("dark")
     )
 
 
@@ -39,7 +39,7 @@ def circles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DENSE_SQL = "SELECT l_orderkey AS sheet, l_linenumber AS q, (l_suppkey % 5)::INT AS rank, l_quantity::INT AS dark FROM lineitem"
-SPARSE_SQL = "SELECT l_orderkey % 500 AS sheet, (l_partkey % 100 + 1)::INT AS q, (l_suppkey % 5)::INT AS rank, l_quantity::INT AS dark FROM lineitem WHERE l_quantity > 40"
+SPARSE_SQL = "SELECT l_orderkey // 8 AS sheet, (l_partkey % 100 + 1)::INT AS q, (l_suppkey % 5)::INT AS rank, l_quantity::INT AS dark FROM lineitem"
 CIRCLES_SQL = (
     "SELECT l_orderkey AS sheet, l_linenumber AS q, (l_partkey % 750)::INT AS cx, (l_suppkey * 7 % 1060)::INT AS cy, (l_linenumber + 7)::INT AS r, "
     "round(l_discount * 1000)::INT AS fill, l_quantity::INT AS dark FROM lineitem"

@@ -1,25 +1,22 @@
-"""Round trip over pixels: sheets drawn from the mark table, measured by the kernels, graded, and
-compared with the answers of the marks themselves."""
-
-from __future__ import annotations
+"""A few drawn pages for tests of the pixel kernels: marks of some sheets in the bubbles of a template."""
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import kernels
-from ..sources import templates as t
-from ..sources.marks import MASK, dense_marks
-from . import grading as g
+from markgrid.operators import kernels
+from markgrid.plans import grading as g
+from markgrid.sources import templates as t
+from markgrid.sources.marks import MASK
 
 TEMPLATE = "Q10_5ch"
 
 
-def drawn(spark, d):
-    """sheet, template_id, gray: each order with marks in the template as a drawn page, with its marks in its bubbles."""
-    marks = dense_marks(spark, d).where("q <= 10").groupBy("sheet", "q", "rank").agg(F.max("dark").alias("dark"))
+def drawn(spark, marks):
+    """sheet, template_id, gray: each sheet of marks as a drawn page."""
+    darkest = marks.where("q <= 10").groupBy("sheet", "q", "rank").agg(F.max("dark").alias("dark"))
     cells = F.broadcast(t.grid(t.templates(spark).where(F.col("template_id") == TEMPLATE)).select("q", F.col("choice_rank").alias("rank"), "cx", "cy", "r"))
-    places = marks.join(cells, ["q", "rank"]).groupBy("sheet").agg(*[F.collect_list(c).alias(c) for c in ("cx", "cy", "dark")], F.first("r").alias("r"))
+    places = darkest.join(cells, ["q", "rank"]).groupBy("sheet").agg(*[F.collect_list(c).alias(c) for c in ("cx", "cy", "dark")], F.first("r").alias("r"))
 
     def run(batches):
         for pdf in batches:
@@ -30,12 +27,8 @@ def drawn(spark, d):
     return places.mapInPandas(run, "sheet long, template_id string, gray binary")
 
 
-def render_roundtrip(spark, d):
+def read_again(spark, marks):
     """sheet, q, choice and note as read from the drawn pages."""
-    bubbles = kernels.measured(drawn(spark, d), t.grid(t.templates(spark)))
+    bubbles = kernels.measured(drawn(spark, marks), t.grid(t.templates(spark)))
     share = bubbles.select("sheet", "q", "rank", F.round(F.col("dark") * MASK / F.col("mask")).cast("int").alias("dark"))
     return g.graded(share, g.V3O, 10).select("sheet", "q", "choice", "note")
-
-
-QUERIES = {"render_roundtrip": render_roundtrip}
-ORACLES: dict[str, str] = {}

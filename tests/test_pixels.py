@@ -2,28 +2,23 @@ import numpy as np
 
 from markgrid.operators import kernels
 from markgrid.plans import grading as g
-from markgrid.plans import sheets
 from markgrid.sources import images
 from markgrid.sources.marks import dense_marks
 
+from . import sheets
 
-def test_round_trip_recovers_clear_marks(spark, sf_dir):
-    got = {(r.sheet, r.q): r for r in sheets.render_roundtrip(spark, sf_dir).collect()}
-    want = g.graded(dense_marks(spark, sf_dir).where("sheet % 100 = 0"), g.V3O, 10).collect()
+
+def test_round_trip_of_a_few_sheets(spark, sf_dir):
+    marks = dense_marks(spark, sf_dir).where("sheet % 100 = 0")
+    got = {(r.sheet, r.q): r for r in sheets.read_again(spark, marks).collect()}
+    want = g.graded(marks, g.V3O, 10).collect()
+    assert {(r.sheet, r.q) for r in want} == set(got)
     clear = [r for r in want if r.note == "ok" and r.fill > 0.4]
     assert clear and all(got[r.sheet, r.q].choice == r.choice for r in clear)
     blank = [r for r in want if r.fill == 0]
     assert blank and all(got[r.sheet, r.q].choice is None for r in blank)
 
 
-def test_round_trip_reads_every_sheet(spark, sf_dir):
-    got = {(r.sheet, r.q): r for r in sheets.render_roundtrip(spark, sf_dir).collect()}
-    want = g.graded(dense_marks(spark, sf_dir), g.V3O, 10).collect()
-    assert {(r.sheet, r.q) for r in want} == set(got)
-    clear = [r for r in want if r.note == "ok" and r.fill > 0.4]
-    assert len({r.sheet for r in clear}) > 1000 and all(got[r.sheet, r.q].choice == r.choice for r in clear)
-
-
 def test_png_scan_with_dead_letters(spark, tmp_path):
     gray = np.random.default_rng(0).integers(0, 256, (20, 30)).astype(np.uint8)
     (tmp_path / "a.png").write_bytes(images.encode_png(gray))
@@ -60,7 +55,7 @@ def test_model_path(spark, sf_dir):
     from markgrid.operators import classify
     from markgrid.sources import templates as t
 
-    pages = sheets.drawn(spark, sf_dir).limit(3).persist()
+    pages = sheets.drawn(spark, dense_marks(spark, sf_dir).where("sheet < 3")).persist()
     cells = t.grid(t.templates(spark))
     scored = classify.with_scores(classify.crops(pages, cells), darkness_model)
     fills = kernels.measured(pages, cells).selectExpr("sheet", "q", "rank", "dark / mask AS fill")
