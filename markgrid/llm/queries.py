@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_crf, quality_rules, token_count
+from . import conversations, exact_dedup, html_extract, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_crf, quality_rules, token_count
 
 
 def queries() -> dict:
@@ -17,9 +17,16 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8,
         "op9_quality_classifier": quality_crf.op9,
         "op10_lm_scoring": lm_scoring.op10,
+        "op11_conversation_repair": conversations.op11,
         "op13_line_dedup": line_dedup.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op3_mixing": mixing.SQL, "op4_ngram_jaccard_join": ngram_join.SQL, "op13_line_dedup": line_dedup.SQL}
+    return {
+        "op1_exact_dedup": exact_dedup.SQL,
+        "op3_mixing": mixing.SQL,
+        "op4_ngram_jaccard_join": ngram_join.SQL,
+        "op11_conversation_repair": conversations.SQL,
+        "op13_line_dedup": line_dedup.SQL,
+    }
