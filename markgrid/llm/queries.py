@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, exact_dedup, html_extract, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_crf, quality_rules, token_count
+from . import conversations, exact_dedup, html_extract, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_crf, quality_rules, ranked_search, token_count
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_quality_classifier": quality_crf.op9,
         "op10_lm_scoring": lm_scoring.op10,
         "op11_conversation_repair": conversations.op11,
+        "op12_ranked_search": ranked_search.op12,
         "op13_line_dedup": line_dedup.op13,
     }
 
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": mixing.SQL,
         "op4_ngram_jaccard_join": ngram_join.SQL,
         "op11_conversation_repair": conversations.SQL,
+        "op12_ranked_search": ranked_search.SQL,
         "op13_line_dedup": line_dedup.SQL,
     }
