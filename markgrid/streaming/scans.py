@@ -7,12 +7,14 @@ has, to the end, and gives what it wrote.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DELAY = "10 minutes"
+DELAY_S = 600
+DELAY = f"{DELAY_S} seconds"
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -54,18 +56,38 @@ def over_limit(events: DataFrame, window: str = "1 day", limit: int = 3) -> Data
     return events.withWatermark("ts", DELAY).groupBy(w.alias("w"), "user_id").agg(F.count("*").alias("requests")).where(F.col("requests") > limit).select("user_id", plain("w.start").alias("start"), "requests")
 
 
-def run_available(spark: SparkSession, stream: DataFrame, base: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that its source has and returns the result. Checkpoint and result lie
-    below base, a folder that all executors share."""
-    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def first_within(events: DataFrame, delay: str = DELAY) -> DataFrame:
+    """The first delivery of each user's type and second, as the stream has it; a delivery that comes more than
+    the delay after it, in event time, counts as new, so state is kept no longer than that."""
+    second = events.withColumn("second", F.date_trunc("second", "ts")).withWatermark("ts", delay)
+    return second.dropDuplicatesWithinWatermark(["user_id", "event_type", "second"])
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch_folder(batch, f"{place}/result", 0 if mode == "complete" else number)
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+def new_place(base: str) -> str:
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def run_at(stream: DataFrame, place: str, write=None) -> list[dict]:
+    """Runs a stream in append mode over all that its source has, from where an earlier run at the same place ended,
+    and gives the progress of its micro-batches. write(batch, number): by default a folder a batch below place/result."""
+    write = write or (lambda batch, number: batch_folder(batch, f"{place}/result", number))
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    return [json.loads(p.json) for p in query.recentProgress]
+
+
+def result_at(spark: SparkSession, place: str) -> DataFrame:
     return spark.read.parquet(f"{place}/result").drop("batch")
 
 
+def run_available(spark: SparkSession, stream: DataFrame, base: str) -> DataFrame:
+    """Runs a stream over all that its source has and returns the result: what the watermark has made final.
+    Checkpoint and result lie below base, a folder that all executors share."""
+    place = new_place(base)
+    run_at(stream, place)
+    return result_at(spark, place)
+
+
 def batch_folder(rows: DataFrame, path: str, number: int) -> None:
     """Writes a micro-batch to a folder of its own, so that a batch that is run again replaces its rows."""
     rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -77,3 +99,22 @@ def split_rejects(batch: DataFrame, number: int, reason: Column, good: str, reje
     batch_folder(marked.where("error IS NULL").drop("error"), good, number)
     batch_folder(marked.where("error IS NOT NULL"), rejected, number)
     marked.unpersist()
+
+
+def split_late(batch: DataFrame, number: int, place: str, delay_s: int) -> None:
+    """For foreachBatch: rows that come after the watermark of the batches before (their latest ts less the
+    delay) go to place/late, the others to place/on_time. The latest ts of each batch is kept beside them, so a
+    batch that is run again is split the same way."""
+    spark = batch.sparkSession
+    batch = batch.persist()
+    seen = batch.select(F.max("ts").alias("latest"))
+    if number:
+        before = spark.read.schema("latest timestamp, batch long").parquet(f"{place}/latest").where(F.col("batch") < number)
+        passed = before.agg(F.max("latest")).first()[0]
+    else:
+        passed = None
+    late = F.coalesce(F.col("ts") <= F.lit(passed) - F.make_dt_interval(secs=F.lit(delay_s)), F.lit(False)) if passed is not None else F.lit(False)
+    batch_folder(batch.where(late), f"{place}/late", number)
+    batch_folder(batch.where(~late), f"{place}/on_time", number)
+    batch_folder(seen, f"{place}/latest", number)
+    batch.unpersist()

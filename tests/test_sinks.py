@@ -7,7 +7,8 @@ from markgrid.streaming import scans
 
 def test_results_and_read_back(spark, tmp_path):
     results = spark.createDataFrame([("r1", "E1", "أ"), ("r2", "E2", "B")], "run_id string, exam_code string, choice string")
-    sinks.write_results(results, str(tmp_path / "results"))
+    sinks.write_results(results, str(tmp_path / "results"), "job1")
+    sinks.write_results(results.where("run_id = 'r1'"), str(tmp_path / "results"), "job1")  # run again: replaced
     back = spark.read.json(str(tmp_path / "results"))
     assert {(r.run_id, r.exam_code, r.choice) for r in back.collect()} == {("r1", "E1", "أ"), ("r2", "E2", "B")}
     errors = spark.createDataFrame([("r3", "x")], "run_id string, error string")
@@ -36,5 +37,6 @@ def test_geometry_files(spark, tmp_path):
 
 def test_crops_by_split(spark, tmp_path):
     crops = spark.createDataFrame([("train", [0.5], 1), ("val", [0.25], 0)], "split string, image array<float>, label int")
-    sinks.write_crops(crops, str(tmp_path / "crops"))
+    sinks.write_crops(crops, str(tmp_path / "crops"), "job1")
+    sinks.write_crops(crops, str(tmp_path / "crops"), "job1")
     assert [tuple(r) for r in sinks.read_crops(spark, str(tmp_path / "crops"), "val").collect()] == [([0.25], 0)]
