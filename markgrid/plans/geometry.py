@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import geometry as geo
 from ..sources import templates as t
 from ..sources.marks import CIRCLES_SQL, circles, read
+from . import shapes
 
 
 def sheets(spark, d):
@@ -138,11 +139,9 @@ def union_detections(spark, d):
 
 
 def anchor_candidates_top12(spark, d):
-    """The 12 largest marks of each page (32 order numbers) that pass the anchor filter: size, squareness, and how much of the hull is dark."""
-    wide, high = F.col("r"), 10 + F.col("dark") % 10
-    c = circles(spark, d).select(F.floor(F.col("sheet") / 32).alias("page"), "cx", "cy", (F.col("dark") * F.col("r")).alias("area"), (F.least(wide, high) / F.greatest(wide, high)).alias("aspect"), ((100 - F.col("fill")) / 100.0).alias("solidity"))
-    c = c.where((F.col("area") > 81) & (F.col("area") < 12656) & (F.col("aspect") >= 0.65) & (F.col("solidity") >= 0.70)).groupBy("page", "cx", "cy").agg(F.max("area").alias("area"))
-    return geo.top_within(c, ["page"], [F.desc("area"), F.asc("cx"), F.asc("cy")], 12, "place")
+    """The 12 largest blobs of each page (32 order numbers) that pass the anchor filter: size, squareness, and how much of the hull is dark."""
+    found = shapes.anchor_marks(spark, d).select("page", "cx", "cy", "area")
+    return geo.top_within(found, ["page"], [F.desc("area"), F.asc("cx"), F.asc("cy")], 12, "place")
 
 
 def corner_order(spark, d):
@@ -204,7 +203,7 @@ SELECT e.sheet, e.corner, coalesce(cx, px) AS x, coalesce(cy, py) AS y, cx IS NO
 SELECT a.sheet, cx, cy, max(conf) AS conf, count(*) AS boxes FROM a JOIN b ON a.sheet = b.sheet AND (cx - ox) * (cx - ox) + (cy - oy) * (cy - oy) <= 19600 GROUP BY ALL""",
     "union_detections": f"""WITH {_C}, u AS (SELECT sheet, 'circle' AS kind, r, NULL::INT AS conf FROM c WHERE q % 2 = 1 UNION ALL SELECT sheet, CASE WHEN q % 4 = 0 THEN 'layout' ELSE 'bubble' END, NULL, fill FROM c WHERE q % 2 = 0 AND fill >= CASE WHEN q % 4 = 0 THEN 30 ELSE 25 END)
 SELECT sheet, kind, count(*) AS n, count(r) AS with_radius, max(conf)::DOUBLE / 100 AS conf FROM u GROUP BY ALL""",
-    "anchor_candidates_top12": f"""WITH {_C}, a AS (SELECT sheet // 32 AS page, cx, cy, max(dark * r) AS area FROM c WHERE dark * r > 81 AND dark * r < 12656 AND fill <= 30 AND least(r, 10 + dark % 10)::DOUBLE / greatest(r, 10 + dark % 10) >= 0.65::DOUBLE GROUP BY ALL),
-k AS (SELECT *, (row_number() OVER (PARTITION BY page ORDER BY area DESC, cx, cy) - 1)::INT AS place FROM a) SELECT * FROM k WHERE place < 12""",
+    "anchor_candidates_top12": f"""WITH {shapes.SOLIDITY_SQL}, k AS (SELECT page, cx, cy, area, (row_number() OVER (PARTITION BY page ORDER BY area DESC, cx, cy) - 1)::INT AS place FROM solid WHERE solidity >= {shapes.LEAST_SOLIDITY}::DOUBLE)
+SELECT * FROM k WHERE place < 12""",
     "corner_order": "WITH " + _C + ", " + ", ".join(f"{n} AS (SELECT sheet, cx AS {n}_x, cy AS {n}_y FROM (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY {k}, cx, cy) AS k FROM c) WHERE k = 1)" for n, k in (("tl", "cx + cy"), ("tr", "cy - cx"), ("br", "-(cx + cy)"), ("bl", "cx - cy"))) + " SELECT * FROM tl JOIN tr USING (sheet) JOIN br USING (sheet) JOIN bl USING (sheet)",
 }
