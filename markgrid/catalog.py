@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import alignment, answers, codes, detections, geometry, layout, reports, results, shapes, streams
+from .plans import alignment, answers, bands, codes, detections, geometry, layout, reports, results, shapes, streams
 
-FAMILIES = (answers, geometry, layout, codes, detections, results, reports, streams, shapes, alignment)
+FAMILIES = (answers, geometry, layout, codes, detections, results, reports, streams, shapes, alignment, bands)
 
 
 def queries() -> dict:
