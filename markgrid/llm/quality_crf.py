@@ -2,7 +2,7 @@
 
 Every line with a word gets FEATURES statistics, cut into bins; the field's states are bad and
 good, its evidence is the bins of the line and of its two neighbours, its transitions link lines.
-Training: lines carry their document's label; gradient ascent on the penalised log-likelihood over
+Training: a document is one chain, however long, and its lines carry its label; gradient ascent on the penalised log-likelihood over
 at most about SAMPLE labelled documents (the smallest hashes of their ids, a documented bound: the
 model has a few hundred numbers). Scoring: forward-backward gives each line's probability of being
 good, and their mean weighted by line length, on a logistic scale fitted to the training
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .shared import crc_mod, remove, table, written
 from .text import SLICE, chunks, hash_spans, mix, slices, spans
 
-SAMPLE, LINES, SEGMENT, STEPS, RATE, DECAY, THRESHOLD = 8_000, 400_000, 64, 150, 0.1, 1e-3, 0.3
+SAMPLE, LINES, CUT, STEPS, RATE, DECAY, THRESHOLD = 8_000, 400_000, 64, 150, 0.1, 1e-3, 0.3
 #: Upper edges of the bins of each statistic; all but the first and the third from last are shares.
 EDGES = {
     "words": [1, 2, 4, 8, 16, 32, 64, 128],
@@ -141,53 +141,101 @@ def _through(x: np.ndarray, to0: tuple[float, float], to1: tuple[float, float])
     return np.logaddexp(to1[0], to1[1] + x) - np.logaddexp(to0[0], to0[1] + x)
 
 
+def forward(e: np.ndarray, n: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Log-odds of good for each line from its own evidence and the lines before it, for chains that lie one after
+    another in e, n lines each. t: 2 x 2 transitions (before, after).
+
+    A step is taken for all chains at once. Chains of over CUT lines are taken in runs of CUT: what a run
+    makes of either state before it is found for all runs at once, then the runs of a chain are linked in turn, which
+    gives the same numbers in CUT + n / CUT steps."""
+    into_bad, into_good = (t[0, 0], t[1, 0]), (t[0, 1], t[1, 1])
+    runs = -(-n // CUT)
+    chain = np.repeat(np.arange(len(n)), runs)
+    place = np.arange(len(chain)) - np.repeat(np.cumsum(runs) - runs, runs)
+    first = (np.cumsum(n) - n)[chain] + place * CUT
+    size = np.minimum(CUT, n[chain] - place * CUT)
+    a = e.copy()
+
+    def along(which: np.ndarray, step) -> None:
+        order = which[np.argsort(-size[which], kind="stable")]
+        longest = int(size[order[0]]) if len(order) else 0
+        live = np.searchsorted(-size[order], -np.arange(longest), "left")  # runs of more than i lines
+        for i in range(1, longest):
+            step(order[: live[i]], first[order[: live[i]]] + i)
+
+    def value(_, here):
+        a[here] = e[here] + _through(a[here - 1], into_bad, into_good)
+
+    along(np.flatnonzero(place == 0), value)
+    later = np.flatnonzero(place > 0)
+    if not len(later):
+        return a
+    # weight of bad and log-odds behind each run, after a bad and after a good line
+    bad, odd = np.zeros((2, len(chain))), np.zeros((2, len(chain)))
+    for k in (0, 1):
+        bad[k, later], odd[k, later] = t[k, 0], e[first[later]] + t[k, 1] - t[k, 0]
+
+    def both(run, here):
+        for k in (0, 1):
+            bad[k, run] += np.logaddexp(into_bad[0], into_bad[1] + odd[k, run])
+            odd[k, run] = e[here] + _through(odd[k, run], into_bad, into_good)
+
+    along(later, both)
+    out, before = np.zeros(len(chain)), np.zeros(len(chain))
+    out[place == 0] = a[(first + size - 1)[place == 0]]
+    turn = later[np.argsort(place[later], kind="stable")]
+    for own in np.split(turn, np.flatnonzero(np.diff(place[turn])) + 1):
+        x = before[own] = out[own - 1]
+        out[own] = np.logaddexp(bad[0, own] + odd[0, own], x + bad[1, own] + odd[1, own]) - np.logaddexp(bad[0, own], x + bad[1, own])
+    a[first[later]] = e[first[later]] + _through(before[later], into_bad, into_good)
+    along(later, value)
+    return a
+
+
 def messages(e: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward log-odds of chains that lie one after another in e, n lines each. t:
-    2 x 2 transitions (before, after). Forward includes a line's own evidence, backward doesn't."""
-    first = np.concatenate([[0], np.cumsum(n)[:-1]])
-    order = np.argsort(-n, kind="stable")
-    at, size = first[order], n[order]
-    a, b = e.copy(), np.zeros(len(e))
-    longest = int(size[0]) if len(size) else 0
-    live = np.searchsorted(-size, -np.arange(longest), "left")  # chains of more than i lines
-    for i in range(1, longest):
-        here = at[: live[i]] + i
-        a[here] += _through(a[here - 1], (t[0, 0], t[1, 0]), (t[0, 1], t[1, 1]))
-    for i in range(longest - 2, -1, -1):
-        here = at[: live[i + 1]] + i
-        b[here] = _through(e[here + 1] + b[here + 1], (t[0, 0], t[0, 1]), (t[1, 0], t[1, 1]))
-    return a, b
+    """Forward and backward log-odds of chains. Forward includes a line's own evidence, backward doesn't."""
+    c = forward(e[::-1], n[::-1], t.T)[::-1]
+    b = np.zeros(len(e))
+    if len(e):
+        b[:-1] = _through(c[1:], (t[0, 0], t[0, 1]), (t[1, 0], t[1, 1]))
+        b[np.cumsum(n) - 1] = 0
+    return forward(e, n, t), b
 
 
 def odds(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
+def gradient(bins: np.ndarray, chain: np.ndarray, n: np.ndarray, y: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the log-likelihood of labels y (1: good) with respect to weights and transitions."""
+    joined = chain[1:] == chain[:-1]
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[:-1][joined].astype(int), y[1:][joined].astype(int)), 1)
+    e = evidence(bins, chain, w)
+    a, b = messages(e, n, t)
+    d = y - odds(a + b)
+    gw = np.zeros_like(w)
+    gw[0, :-1] = np.bincount(bins.ravel(), np.repeat(d, bins.shape[1]), SIZE)
+    gw[0, -1] = d.sum()
+    for row, (own, other) in ((1, (slice(1, None), slice(None, -1))), (2, (slice(None, -1), slice(1, None)))):
+        gw[row, :-1] = np.bincount(bins[other][joined].ravel(), np.repeat(d[own][joined], bins.shape[1]), SIZE)
+        gw[row, -1] = d.sum() - d[own][joined].sum()
+    x, z = a[:-1][joined], (e + b)[1:][joined]
+    pair = np.stack([t[0, 0] + 0 * x, t[0, 1] + z, t[1, 0] + x, t[1, 1] + x + z])
+    pair = np.exp(pair - pair.max(0))
+    return gw, seen - (pair / pair.sum(0)).sum(1).reshape(2, 2)
+
+
 def train(bins: np.ndarray, chain: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transitions from lines in chains (consecutive numbers), each labelled good or not."""
     w, t = np.zeros((3, SIZE + 1)), np.zeros((2, 2))
     n = np.bincount(chain)
     y = good.astype(float)
-    joined = chain[1:] == chain[:-1]
     lines = len(y)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (good[:-1][joined].astype(int), good[1:][joined].astype(int)), 1)
     m1 = [np.zeros_like(w), np.zeros_like(t)]
     m2 = [np.zeros_like(w), np.zeros_like(t)]
     for step in range(1, STEPS + 1):
-        e = evidence(bins, chain, w)
-        a, b = messages(e, n, t)
-        d = y - odds(a + b)
-        gw = np.zeros_like(w)
-        gw[0, :-1] = np.bincount(bins.ravel(), np.repeat(d, bins.shape[1]), SIZE)
-        gw[0, -1] = d.sum()
-        for row, (own, other) in ((1, (slice(1, None), slice(None, -1))), (2, (slice(None, -1), slice(1, None)))):
-            gw[row, :-1] = np.bincount(bins[other][joined].ravel(), np.repeat(d[own][joined], bins.shape[1]), SIZE)
-            gw[row, -1] = d.sum() - d[own][joined].sum()
-        x, z = a[:-1][joined], (e + b)[1:][joined]
-        pair = np.stack([t[0, 0] + 0 * x, t[0, 1] + z, t[1, 0] + x, t[1, 1] + x + z])
-        pair = np.exp(pair - pair.max(0))
-        gt = seen - (pair / pair.sum(0)).sum(1).reshape(2, 2)
+        gw, gt = gradient(bins, chain, n, y, w, t)
         for v, g, p, q in ((w, gw, m1[0], m2[0]), (t, gt, m1[1], m2[1])):
             g = g / lines - DECAY * v
             p += 0.1 * (g - p)
@@ -219,7 +267,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, most: int) ->
     marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("quality"))
     share = min(1.0, sample / max(1, marked.count()))
     place = F.pmod(F.xxhash64("__id", F.lit("crf")), F.lit(1 << 30))
-    few = marked.where(place < int(share * (1 << 30))).withColumn("place", place).limit(2 * sample)  # about sample rows
+    # the smallest hashes: about sample rows, and never more than twice as many
+    few = marked.where(place < int(share * (1 << 30))).withColumn("place", place).orderBy("place", "__id", "quality").limit(2 * sample)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("__id"))
 
     def run(batches):
@@ -253,10 +302,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     lines = [np.frombuffer(r["bins"], np.uint8).astype(np.int64).reshape(-1, len(EDGES)) for r in rows]
     n = np.array([len(x) for x in lines])
     bins, doc = np.concatenate(lines), np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    chain = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (place[1:] % SEGMENT == 0)]))
     good = np.array([r["quality"] == 1 for r in rows])
-    w, t = train(bins, chain, good[doc])
+    w, t = train(bins, doc, good[doc])
     x = weighted(bins, np.concatenate([np.frombuffer(r["sizes"], np.int64) for r in rows]), doc, w, t)[1]
     return w, t, scale(x, good.astype(float))
 

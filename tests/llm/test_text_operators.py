@@ -363,6 +363,50 @@ def test_training_climbs_the_penalised_likelihood():
         assert likelihood(w + r.normal(0, 0.3, w.shape), t + r.normal(0, 0.3, t.shape)) < best
 
 
+def test_long_chains_are_one_chain():
+    """Messages and gradient of chains of over CUT lines against plain loops over each whole chain."""
+    r = np.random.default_rng(3)
+    n = np.array([200, 1, 64, 65, 129, 7, 500])
+    assert quality_crf.CUT == 64
+    chain = np.repeat(np.arange(len(n)), n)
+    bins = np.stack([r.integers(0, quality_crf.WIDTH, len(chain)) + f * quality_crf.WIDTH for f in range(len(quality_crf.EDGES))], axis=1)
+    y = r.integers(0, 2, len(chain)).astype(float)
+    w, t = r.normal(0, 0.4, (3, quality_crf.SIZE + 1)), r.normal(0, 1, (2, 2))
+
+    def plain(e, t, total=False):
+        """log-odds forward and backward, and the log-normaliser, of one chain."""
+        f = [np.array([0.0, e[0]])]
+        for x in e[1:]:
+            f.append(np.array([np.logaddexp(f[-1][0] + t[0, k], f[-1][1] + t[1, k]) + k * x for k in (0, 1)]))
+        b = [np.zeros(2)]
+        for x in e[:0:-1]:
+            b.append(np.array([np.logaddexp(t[k, 0] + b[-1][0], t[k, 1] + x + b[-1][1]) for k in (0, 1)]))
+        return np.logaddexp(*f[-1]) if total else (np.array([v[1] - v[0] for v in f]), np.array([v[1] - v[0] for v in b[::-1]]))
+
+    e = quality_crf.evidence(bins, chain, w)
+    a, b = quality_crf.messages(e, n, t)
+    for c in range(len(n)):
+        want = plain(e[chain == c], t)
+        assert np.allclose(a[chain == c], want[0]) and np.allclose(b[chain == c], want[1])
+
+    def likelihood(w, t):
+        e, total = quality_crf.evidence(bins, chain, w), 0.0
+        for c in range(len(n)):
+            own, z = e[chain == c], y[chain == c].astype(int)
+            total += (own * z).sum() + t[z[:-1], z[1:]].sum() - plain(own, t, True)
+        return total
+
+    gw, gt = quality_crf.gradient(bins, chain, n, y, w, t)
+    for v, g, at in [(w, gw, tuple(r.integers(0, s) for s in w.shape)) for _ in range(12)] + [(w, gw, (k, quality_crf.SIZE)) for k in range(3)] + [(t, gt, (i, j)) for i in (0, 1) for j in (0, 1)]:
+        held = v[at]
+        v[at] = held + 1e-5
+        up = likelihood(w, t)
+        v[at] = held - 1e-5
+        down = likelihood(w, t)
+        v[at] = held
+        assert abs((up - down) / 2e-5 - g[at]) < 1e-4 * max(1, abs(g[at]))
+
+
 def test_quality_classifier_on_held_out(spark):
     d = "/root/testdata/sf0.01"
     out = quality_crf.op9(spark, d).toPandas().merge(spark.read.parquet(f"{d}/labels.parquet").toPandas(), on="doc_id")
