@@ -78,6 +78,56 @@ def test_index_reopened_by_another_session(spark):
     assert not [t.name for t in spark.catalog.listTables() if t.name == reopened.name]
 
 
+def test_batches_run_again_get_their_first_verdicts(spark, monkeypatch):
+    rows = spark.range(150).selectExpr("id AS doc_id", "concat('t', id % 120) AS text")
+    more = spark.range(60).selectExpr("id + 500 AS doc_id", "concat('T', id + 100) AS text")
+    answer = lambda df, name: rows_of(exact_dedup.exact_dedup(df, index, name))
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    # the append fails half way: rows are there, the end of the batch is not noted
+    whole = exact_dedup.DigestIndex._note
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_note", lambda self, name: (_ for _ in ()).throw(OSError("lost")) if name.startswith("done-") else whole(self, name))
+    with pytest.raises(OSError):
+        answer(rows, "monday")
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_note", whole)
+    first = answer(rows, "monday")
+    assert sum(v == "True" for r in first[1] for v in r) == 120 and index.read().count() == 120
+    second = answer(more, "tuesday")
+    assert answer(rows, "monday") == first and answer(more, "tuesday") == second
+    assert index.groups().agg({"group_size": "sum"}).first()[0] == 210
+    third = answer(rows, "wednesday")
+    assert not any(v == "True" for r in third[1] for v in r)
+    before = rows_of(index.groups())
+    index.compact()
+    assert rows_of(index.groups()) == before and index.read().where("batch < 4").count() == index.read().where("batch < 4").select("digest").distinct().count()
+    reopened = exact_dedup.DigestIndex(spark, index.location)
+    assert reopened.data == index.data and rows_of(reopened.groups()) == before
+    assert answer(rows, "wednesday") == third
+    with pytest.raises(ValueError):
+        answer(rows, "monday")
+    files = {f.rsplit("/", 1)[1] for f in index.read().where("batch < 4").inputFiles()}
+    assert len(files) <= index.buckets
+    index.close()
+    reopened.close()
+
+
+def test_the_index_is_read_once_and_not_shuffled(spark, monkeypatch):
+    rows = spark.range(100).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    exact_dedup.exact_dedup(rows, index)
+    plans = []
+    keep = exact_dedup.written
+    monkeypatch.setattr(exact_dedup, "written", lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), keep(df, name))[1])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        exact_dedup.exact_dedup(rows, index)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    using = [(name, plan) for name, plan in plans if index.name in plan]
+    assert [name for name, _ in using] == ["merged"] and using[0][1].count("SelectedBucketsCount") == 1
+    assert using[0][1].count("Exchange") == 1  # of the batch; the index keeps its buckets
+    index.close()
+
+
 def test_first_copies_move_texts_once(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("__key", docs_key())
     out = exact_dedup.keep_first_copies(docs)
