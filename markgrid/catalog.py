@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import alignment, answers, bands, codes, detections, extensions, geometry, layout, reports, results, shapes, streams
+from .plans import alignment, answers, bands, codes, detections, extensions, geometry, grid, layout, reports, results, shapes, streams
 
-FAMILIES = (answers, geometry, layout, codes, detections, results, reports, streams, shapes, alignment, bands, extensions)
+FAMILIES = (answers, geometry, layout, codes, detections, results, reports, streams, shapes, alignment, bands, extensions, grid)
 
 
 def queries() -> dict:
