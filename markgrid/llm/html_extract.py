@@ -19,9 +19,12 @@ What the article is follows from the wrapper: each group has the characters outs
 holds per page in texts that are not the same on all of at least FIXED_PAGES pages. From the page's
 root, the reading descends into the part of the page that holds nearly all of this, until the parts
 are text blocks or the element is an article. Element names only weigh: what article and main hold
-counts more, what nav, aside, footer and the like hold counts less; class names are not looked at.
+counts more, what nav, aside, footer and the like hold counts less; class names are not looked at for that.
 Within the article, fixed text goes, and so do the elements that HTML has for menus, sidebars, forms
-and footers, and articles within an article (reader comments). If nothing varies on any page of the
+and footers, articles within an article (reader comments), groups of two texts or more that are all but
+links and less than half of it, and groups whose class, id or role is a usual name for adverts, menus or
+comments, unless they are nearly all of it. Of equally heavy parts the first in page order is the article; in hosts of fewer
+than FIXED_PAGES pages no text is fixed. If nothing varies on any page of the
 host, or nothing is left, the page is read by its own lengths.
 
 Defined cases: null html gives empty text, a null url is the host ''; pages without article text
@@ -63,6 +66,11 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset figure foot
 WEIGHT = {"article": 8, "main": 4} | dict.fromkeys("head nav header footer aside form menu dialog button select option label fieldset".split(), 1 / 8)
 #: Elements that are no part of an article that they stand in.
 APART = frozenset("head nav footer aside form menu dialog button select option label fieldset audio video canvas map".split())
+#: Names (class, id or role) by which pages mark parts that are no article; they count only for parts within the
+#: article that don't hold nearly all of it. A name of two words counts if the second is one of PARTS.
+MARKED = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary consent cookie cookies disqus menu nav navigation newsletter pager pagination promo related replies reply respond search share sharing sidebar social sponsor sponsored subscribe teaser teasers toolbar".split())
+PARTS = frozenset("area bar body box block container content entry form item items links list menu notice panel section slot thread unit widget wrapper".split())
+LINKED = 0.9
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption summary address".split())
 
 # A text is ["#", hash of the text or None (slot), characters outside links, pages]; in a page, the text
@@ -163,6 +171,23 @@ def name_of(signature: str) -> str:
     return signature.partition(".")[0]
 
 
+def marked(signature: str) -> bool:
+    """Whether a class, id or role says that a group is no article."""
+    for word in signature.split(".")[1:]:
+        first, _, last = word.replace("_", "-").strip("-#").partition("-")
+        if first in MARKED and (not last or last.rpartition("-")[2].strip("#") in PARTS):
+            return True
+    return False
+
+
+def amounts(node: list) -> tuple[int, int, int]:
+    """Texts of a page's group, their characters, and those outside links."""
+    if node[0] == "#":
+        return 1, len(node[1]), node[2]
+    found = [amounts(c) for c in node[1]]
+    return sum(f[0] for f in found), sum(f[1] for f in found), sum(f[2] for f in found)
+
+
 def kinds(node: list) -> frozenset[str]:
     """Signatures of what a group holds, but for texts."""
     if node[0] == "#":
@@ -183,7 +208,7 @@ def likeness(a: list, b: list) -> float:
         x, y = ({c[0] for c in n[1]} for n in (a, b))
         return len(x & y) / len(x | y)
     x, y = kinds(a), kinds(b)
-    return 1.0 if not x or not y else 0.3 + 0.7 * len(x & y) / len(x | y)
+    return 1.0 if not x and not y else 0.3 + 0.7 * len(x & y) / len(x | y)
 
 
 def merge(a: list, b: list) -> list:
@@ -421,6 +446,13 @@ def read(page: list, rule: Rule, drop_fixed: bool) -> str:
     out: list[str] = []
     whole = name_of(chosen[0][0][0]) in ("", "html", "body")
     within = name_of(chosen[0][0][0]) == "article"
+    all_chars = sum(amounts(c)[1] for c, _ in chosen)
+
+    def beside(c: list) -> bool:
+        """Whether a group is a menu - two texts or more, all but links, less than half of what was chosen - or is
+        marked as no article, and isn't nearly all of it."""
+        texts, chars, free = amounts(c)
+        return (2 * chars < all_chars and texts > 1 and free < (1 - LINKED) * chars) or (chars < NEARLY * all_chars and marked(c[0]))
 
     def walk(nodes: list[tuple[list, Rule | None]], inside: bool) -> None:
         for c, own in nodes:
@@ -429,7 +461,7 @@ def read(page: list, rule: Rule, drop_fixed: bool) -> str:
                     out.append(c[1])
                 continue
             name = name_of(c[0])
-            if name in APART or (name == "header" and whole and not inside) or (name == "article" and inside):
+            if name in APART or (name == "header" and whole and not inside) or (name == "article" and inside) or beside(c):
                 continue
             walk(children([(c, own)]), inside or name == "article")
 

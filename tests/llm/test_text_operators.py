@@ -600,6 +600,49 @@ def test_class_names_and_captions_do_not_matter(spark):
         assert extracted(spark, pages) == [f"Head {i} Caption {i} Text of page {i}" for i in range(6)]
 
 
+PARTS_BESIDE = [
+    "<ul><li><a href=/a>Leak one</a></li><li><a href=/b>Leak two</a></li></ul>",
+    "<div class='ad'>Leak: buy number {i} now.</div>",
+    "<div class='comments'><div class='comment'><b>Ann</b><p>Leak, nice {i}</p></div><div class='comment'><b>Bob</b><p>Leak, no {i}</p></div></div>",
+    "<section id=comments><p>Leak {i}</p><p>Leak again {i}</p></section>",
+    "<div role=complementary><p>Leak {i}</p></div>",
+    "<div class='newsletter-box-2'>Leak: write to us {i}</div>",
+    "<nav><p>Leak {i}</p></nav><form><p>Leak {i}</p></form>",
+]
+
+
+@pytest.mark.parametrize("part", PARTS_BESIDE)
+def test_what_stands_within_an_article_without_being_it(spark, part):
+    """On every page of the table, whatever the number of its host's pages; no article text is lost."""
+    import html
+
+    rows, want = [], {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        article = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
+        want[r.page_id] = " ".join(html.unescape(re.sub("<[^>]*>", " ", article)).split())
+        at = r.html.index("</article>") if r.page_id % 2 else r.html.index("</h1>") + 5
+        rows.append((r.page_id, r.url, r.html[:at] + part.format(i=r.page_id) + r.html[at:]))
+    out = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == want
+
+
+def test_named_and_linked_parts_that_are_the_article(spark):
+    pages = [
+        "<article class='comment'><p>All of it is marked</p></article>",
+        "<article><p>Short.</p><section class='news-story'><p>Most of the article stands here</p></section></article>",
+        "<article><p>See <a href=/x>the report</a> for more.</p><p><a href=/y>One linked line</a></p></article>",
+        "<article><ul><li><a href=/a>A list of links</a></li><li><a href=/b>is all there is</a></li></ul></article>",
+        "<article><p>An essay on ads that is long enough to be one.</p><div class='comment-policy'>Kept</div></article>",
+    ]
+    want = ["All of it is marked", "Short. Most of the article stands here", "See the report for more. One linked line", "A list of links is all there is", "An essay on ads that is long enough to be one. Kept"]
+    assert [extracted(spark, [p])[0] for p in pages] == want
+
+
+def test_divisions_of_unlike_contents_are_kept_apart(spark):
+    page = "<div><ul><li><a href=/>Home</a></li></ul></div><div><h1>Head {i}</h1><p>Text of page {i} that goes on and on, as an article does, for a line or two at least</p><p>More of it {i}</p></div><div>Imprint {i}</div>"
+    assert extracted(spark, [page.format(i=i) for i in range(6)]) == [f"Head {i} Text of page {i} that goes on and on, as an article does, for a line or two at least More of it {i}" for i in range(6)]
+
+
 def unnamed(r, i):
     """A page of divisions whose names tell nothing, and its article text: what varies and is long."""
     blocks = [f"Sentence {k} of page {i} " + "goes on " * r.randint(5, 15) for k in range(r.randint(1, 6))]
