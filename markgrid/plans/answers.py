@@ -95,6 +95,7 @@ def sheet_rollup(spark, d):
 
 QUERIES = {
     "answers_v3o": answers_v3o,
+    "answers_v3": graded(g.V3),
     "answers_v2": graded(g.V2),
     "answers_s8": graded(g.S8),
     "answers_v1": graded(g.V1),
@@ -193,6 +194,7 @@ _LIST = "coalesce(string_agg('Q' || q, ',' ORDER BY q) FILTER ({x}), '')"
 
 ORACLES = {
     "answers_v3o": f"WITH {_v3o(SPINE)} SELECT * FROM answers",
+    "answers_v3": f"WITH {_v3o(SPINE)} SELECT * FROM answers".replace("::FLOAT::DOUBLE", ""),
     "answers_v2": f"""WITH {_bubbles()}, {_spine(SPINE)}, x AS (SELECT *, max(f) OVER (PARTITION BY sheet, q) AS top FROM b),
 h AS (SELECT *, f >= 0.35::DOUBLE AND (top < 0.175::DOUBLE OR f >= 0.65::DOUBLE * top) AS hit FROM x),
 qs AS (SELECT sheet, q, count(*) FILTER (hit) AS n, string_agg({_LETTER}, '' ORDER BY rank) FILTER (hit) AS l FROM h GROUP BY sheet, q)

@@ -93,18 +93,20 @@ def nano_mean(values: list[Column]) -> Column:
 
 @dataclass(frozen=True)
 class TemplateDriven:
-    """v3o: fill ratio with an ambiguous band and a filter relative to the darkest bubble."""
+    """v3o and v3: fill ratio with an ambiguous band and a filter relative to the darkest bubble. v3o compares
+    fills of single precision, v3 of double, which differ where a fill lies on a bound."""
 
     filled: float = 0.35
     low: float = 0.18
     high: float = 0.55
     relative: float = 0.65
+    single: bool = True
 
     def statuses(self, rows: DataFrame) -> DataFrame:
         """rows with, per rank, filled and ambiguous flags s0.., b0.. and confidence c0... Steps are
         separate projections, so that no expression repeats another's tree."""
         centre, half, tiny = (self.low + self.high) / 2, (self.high - self.low) / 2, 1e-6
-        rows = rows.withColumns({f"g{r}": f.cast("float").cast("double") for r, f in enumerate(fills())})
+        rows = rows.withColumns({f"g{r}": f.cast("float").cast("double") if self.single else f for r, f in enumerate(fills())})
         fs = named("g")
         rows = rows.withColumn("top", F.greatest(*fs))
         rows = rows.withColumns(
@@ -259,6 +261,7 @@ def graded(marks: DataFrame, policy, questions: int) -> DataFrame:
 
 
 V3O = TemplateDriven()
+V3 = TemplateDriven(single=False)
 V2 = BinaryFallback()
 V2_MODEL = ModelStatus()
 S8 = Tiered(background=True, filled=0.35, margin=0.12, signal=0.20, dominant=2.0, status=0.35)
