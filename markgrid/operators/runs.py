@@ -1,7 +1,6 @@
-"""Pixels as rows: dark runs of a line (y, start, stop), discs as one span a line, and counts by prefix sums.
+"""Pixels as rows: dark runs of a line (y, start, stop), discs as one span a line, and counts by their ends.
 
-An image is never laid out; what a disc covers of a line is a difference of two prefix sums over the
-line's runs, which are few.
+An image is never laid out.
 """
 
 from __future__ import annotations
@@ -34,27 +33,20 @@ def dark_runs(discs: DataFrame, by: list[str], r: str) -> DataFrame:
     return covered(spans, [*by, "y"])
 
 
-def prefix_lines(runs: DataFrame, by: list[str]) -> DataFrame:
-    """by..., y, runs: the runs of a line in order, each with the dark pixels before it."""
-    held = runs.groupBy(*by, "y").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("r"))
-    start = F.array().cast("array<struct<start:int,stop:int,before:int>>")
-    end = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1)["before"] + F.get(acc, F.size(acc) - 1)["stop"] - F.get(acc, F.size(acc) - 1)["start"] + 1, F.lit(0))
-    add = lambda acc, x: F.concat(acc, F.array(F.struct(x["start"].cast("int").alias("start"), x["stop"].cast("int").alias("stop"), end(acc).alias("before"))))
-    return held.select(*by, "y", F.aggregate("r", start, add).alias("runs"))
-
-
-def dark_until(runs: Column, x: Column) -> Column:
-    """The dark pixels of a line up to x."""
-    return F.aggregate(runs, F.lit(0), lambda acc, r: F.when(r["start"] <= x, r["before"] + F.least(x, r["stop"]) - r["start"] + 1).otherwise(acc))
-
-
-def disc_darkness(discs: DataFrame, lines: DataFrame, by: list[str], r: str, shifts: int = 5) -> DataFrame:
+def disc_darkness(discs: DataFrame, runs: DataFrame, by: list[str], r: str, shifts: int = 5) -> DataFrame:
     """by..., cx, cy, r, dark, mask: for each disc the pixels, and the most dark ones among them over sideways shifts of
-    -shifts..shifts. lines: prefix_lines. Pixels that no run has are light, also beyond the page."""
+    -shifts..shifts. runs: dark_runs. Pixels that no run has are light, also beyond the page.
+
+    A disc's line meets the runs of the same line that it can reach, and what they share is a difference of two
+    ends for each shift, so all of it is plain arithmetic in compiled code."""
     key = [*by, "cx", "cy", r]
-    each = disc_lines(discs.select(*key).distinct(), r).join(lines, [*by, "y"], "left")
+    each = disc_lines(discs.select(*key).distinct(), r).alias("a")
+    far, at = F.col("reach") + shifts, F.col("cx")
+    near = (F.col("start") <= at + far) & (F.col("stop") >= at - far)
+    met = each.join(runs.select(*by, "y", "start", "stop"), [*by, "y"]).where(near)
     step = range(-shifts, shifts + 1)
-    within = lambda s: dark_until(F.col("runs"), F.col("cx") + s + F.col("reach")) - dark_until(F.col("runs"), F.col("cx") + s - F.col("reach") - 1)
-    counts = each.groupBy(*key).agg(*[F.sum(F.coalesce(within(s), F.lit(0))).alias(f"s{s + shifts}") for s in step])
-    most = F.array_max(F.array(*[F.col(f"s{s + shifts}") for s in step]))
-    return counts.select(*key, most.alias("dark"), disc_pixels(F.col(r)).alias("mask"))
+    shared = lambda s: F.greatest(F.lit(0), F.least(F.col("stop"), at + s + F.col("reach")) - F.greatest(F.col("start"), at + s - F.col("reach")) + 1)
+    counts = met.groupBy(*key).agg(*[F.sum(shared(s)).alias(f"s{s + shifts}") for s in step])
+    found = counts.select(*key, F.greatest(*[F.col(f"s{s + shifts}") for s in step]).alias("dark"))
+    every = discs.select(*key).distinct().join(found, key, "left")
+    return every.select(*key, F.coalesce("dark", F.lit(0)).alias("dark"), disc_pixels(F.col(r)).alias("mask"))

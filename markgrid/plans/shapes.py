@@ -53,8 +53,7 @@ def anchor_marks(spark, d):
 def disc_darkness(spark, d):
     """The darkness under each circle of a sheet: dark pixels, the best of eleven places sideways, and pixels in all."""
     rows = circles(spark, d)
-    lines = runs.prefix_lines(runs.dark_runs(rows.withColumn("rd", dark_radius()), ["sheet"], "rd"), ["sheet"])
-    return runs.disc_darkness(rows, lines, ["sheet"], "r")
+    return runs.disc_darkness(rows, runs.dark_runs(rows.withColumn("rd", dark_radius()), ["sheet"], "rd"), ["sheet"], "r")
 
 
 QUERIES = {f.__name__: f for f in (page_blobs, largest_blob, blob_solidity, disc_darkness)}

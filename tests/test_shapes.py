@@ -84,11 +84,11 @@ def test_blobs_of_chains_and_rings(spark):
     assert empty.count() == 0 and blobs.measured(empty, ["page"], "rd").count() == 0
 
 
-def test_darkness_by_prefix_sums(spark):
+def test_darkness_under_discs(spark):
     r = random.Random(5)
     dark = [(s, r.randrange(60), r.randrange(60), r.randrange(7)) for s in (1, 2) for _ in range(12)] + [(1, 30, 30, 5)] * 2
     probes = [(s, r.randrange(60), r.randrange(60), r.randrange(1, 9)) for s in (1, 2, 3) for _ in range(20)] + [(1, 2, 2, 6)]
-    lines = runs.prefix_lines(runs.dark_runs(spark.createDataFrame(dark, "sheet int, cx int, cy int, rd int"), ["sheet"], "rd"), ["sheet"])
+    lines = runs.dark_runs(spark.createDataFrame(dark, "sheet int, cx int, cy int, rd int"), ["sheet"], "rd")
     got = {(x.sheet, x.cx, x.cy, x.r): (x.dark, x.mask) for x in runs.disc_darkness(spark.createDataFrame(probes, "sheet int, cx int, cy int, r int"), lines, ["sheet"], "r").collect()}
     want = {}
     for s, cx, cy, radius in probes:
