@@ -72,13 +72,15 @@ def code_cells(circles: DataFrame, height: int, centres: list[float]) -> DataFra
 def every_nth_split(rows: DataFrame, by: list[str], order: list[str], n: int = 5, ranges: int = 1024) -> DataFrame:
     """Every nth row of each group goes to val. Few groups may hold all rows, so rows are numbered within
     ranges of the first of order (numeric), on top of the sizes of the ranges before: a window never
-    sees more than one range of a group, or the sizes of a group's ranges."""
+    sees more than one range of a group, or the sizes of a group's ranges. A column split is replaced."""
+    names = rows.columns
+    rows = rows.select(F.struct(*names).alias("__row"), *dict.fromkeys([*by, *order]))
     ends = rows.agg(F.min(order[0]).alias("__lo"), F.max(order[0]).alias("__hi"))  # one row
     ranged = rows.crossJoin(F.broadcast(ends)).withColumn("__range", F.floor((F.col(order[0]) - F.col("__lo")) * ranges / (F.col("__hi") - F.col("__lo") + 1)))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = ranged.groupBy(*by, "__range").agg(F.count("*").alias("__n")).withColumn("__before", before)
     seq = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order)) - 1 + F.col("__before")
-    return ranged.join(sizes, [*by, "__range"]).withColumn("split", F.when(seq % n == 0, "val").otherwise("train")).select(*rows.columns, "split")
+    return ranged.join(sizes, [*by, "__range"]).withColumn("split", F.when(seq % n == 0, "val").otherwise("train")).select(*[F.col("__row").getField(c).alias(c) for c in names if c != "split"], "split")
 
 
 def box_line(cls: Column, x0: Column, y0: Column, x1: Column, y1: Column, width: int, height: int) -> Column:

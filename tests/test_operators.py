@@ -71,3 +71,15 @@ def test_within_reach_finds_all_pairs(spark):
     two = spark.createDataFrame([(1, *p) for p in b], "page long, ox long, oy long")
     want = sum((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= 400 for p in a for q in b)
     assert geometry.within_reach(one, two, ["page"], 20).count() == want
+
+
+def test_split_of_columns_with_the_names_it_uses(spark):
+    from pyspark.sql import functions as F
+
+    from markgrid.operators import codes
+
+    rows = spark.range(23).select((F.col("id") % 2).alias("g"), F.col("id").alias("k"), *[F.lit(7).alias(c) for c in ("__lo", "__hi", "__range", "__n", "__before", "split")])
+    out = codes.every_nth_split(rows, ["g"], ["k"], 5)
+    assert out.columns == ["g", "k", "__lo", "__hi", "__range", "__n", "__before", "split"]
+    got = {(r.g, r.k): r.split for r in out.collect()}
+    assert got == {(k % 2, k): "val" if k // 2 % 5 == 0 else "train" for k in range(23)}
