@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .shared import table
 from .text import give_back
 
-WINDOW, END_ID, MAX_OPEN, KEPT_WORDS = 4096, 2, 512, 250_000
+WINDOW, END_ID, MAX_OPEN, KEPT_WORDS = 4096, 2, 512, 200_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -69,8 +69,11 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(1 + max(vocabulary.values()), bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        # words and their parts of letters or marks; beyond KEPT_WORDS a table grows old, and what is still used moves on
         self.kept: dict[str, bytes] = {"": b""}
         self.plain: dict[str, bytes] = {"": b""}
+        self.old_kept: dict[str, bytes] = {}
+        self.old_plain: dict[str, bytes] = {}
 
     def each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -99,7 +102,10 @@ class WordEncoder:
                 parts.append((w, stem, tail))
                 stems.add(stem)
                 tails.add(tail)
-        plain = self.plain
+        plain, old = self.plain, self.old_plain
+        for x in stems | tails:
+            if x not in plain and x in old:
+                plain[x] = old[x]
         for some, encode in ((stems, self.letters), (tails, self.each)):
             some = [x for x in some if x not in plain]
             for at in range(0, len(some), 5_000):
@@ -111,14 +117,20 @@ class WordEncoder:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         words = [split(t) if t else [] for t in texts]
-        for held in (self.kept, self.plain):
-            if len(held) > KEPT_WORDS:
-                held.clear()
-                held[""] = b""
+        if len(self.kept) > KEPT_WORDS:
+            self.old_kept, self.kept = self.kept, {"": b""}
+        if len(self.plain) > KEPT_WORDS:
+            self.old_plain, self.plain = self.plain, {"": b""}
         get = self.kept.get
         found = [list(map(get, ws)) for ws in words]
         gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
-        self.learn(list({ws[i] for ws, at in zip(words, gaps) for i in at}))
+        new, old = [], self.old_kept
+        for w in {ws[i] for ws, at in zip(words, gaps) for i in at}:
+            if (known := old.get(w)) is None:
+                new.append(w)
+            else:
+                self.kept[w] = known
+        self.learn(new)
         for ws, ids, at in zip(words, found, gaps):
             for i in at:
                 ids[i] = get(ws[i])

@@ -728,3 +728,13 @@ def test_pages_of_odd_tables(spark):
     df = spark.createDataFrame([(*x, "h", "w", 1, 2, 3, "t") for x in rows], schema)
     got = sorted(((r.page_id or 0), r.text) for r in html_extract.main_text(df).collect())
     assert [(i, len(t)) for i, t in got] == [(0, 1), (1, 0), (2, 1), (2, 1), (3, 5_000_000), (4, 1_499_999)]
+
+
+def test_word_tables_that_grow_old_give_the_same_ids(monkeypatch):
+    r = np.random.default_rng(4)
+    words = ["w%d" % i for i in range(200)] + ["Été,", "naïve!", "x" * 50, "A.B", "日本"]
+    texts = [" ".join(words[i] for i in r.zipf(1.3, 60) % len(words)) for _ in range(60)] + [None, ""]
+    want = packing.WordEncoder(packing.default_tokenizer()).ids(texts)
+    monkeypatch.setattr(packing, "KEPT_WORDS", 20)
+    own = packing.WordEncoder(packing.default_tokenizer())
+    assert [x for i in range(0, len(texts), 4) for x in own.ids(texts[i : i + 4])] == want and len(own.old_kept) > 20
