@@ -11,7 +11,11 @@ and classes of words are tables that grow with the corpus.
 3. Every other word with a training count of FLOOR or more gets a class from all its own contexts:
    the classes of the tokens before and after each of its occurrences are gathered per word by one
    shuffle, and the word moves to the class that gives most likelihood (the exchange step to first
-   order; all words move at once, in parallel). Words of fewer training occurrences, and words
+   order; all words move at once, in parallel). Class bigrams are counted anew after each such pass, and
+   the next one sees the new classes, until a pass adds less than LEAST_GAIN of likelihood a token, PASSES
+   at most; a pass that lowers the likelihood is taken back. The classes that contexts are made of are
+   those of the seeds and of the CONTEXT_WORDS most frequent other words, which are broadcast; words
+   beyond stand there with the class of their cell. Words of fewer training occurrences, and words
    never seen, take the class of their cell, whose contexts are those of all words of that ending
    outside the seeds.
 4. Every text becomes a sequence of classes, a byte a token. Words outside the FREQUENT most frequent
@@ -43,6 +47,7 @@ from .shared import crc_mod, remove, table, written
 from .text import LOWER, chunks, hash_spans, signed, slices, spans
 
 SEEDS, CELLS, CLASSES, FLOOR, FREQUENT, SWEEPS = 1023, 256, 48, 3, 1_000_000, 6
+PASSES, LEAST_GAIN, CONTEXT_WORDS = 4, 0.03, 1_000_000
 #: Words and tokens that a task holds before it passes them on.
 FLUSH, HELD = 1_000_000, 2_000_000
 END, SEEN_LATER = 0, 255
@@ -254,14 +259,66 @@ def best_classes(contexts: np.ndarray, g: np.ndarray) -> np.ndarray:
     return gain.argmax(1)
 
 
-def word_classes(docs: DataFrame, seeds: np.ndarray, of: np.ndarray, g: np.ndarray) -> DataFrame:
-    """h, k: the class of each word but the seeds that docs (text binary) have FLOOR times or more."""
-    shared = docs.sparkSession.sparkContext.broadcast((seeds, of, g))
+def likelihood(g: np.ndarray) -> float:
+    """The log-likelihood of a class bigram model from its class pairs, but for what no choice of classes changes."""
+    return float(_f(g).sum() - _f(g.sum(0)).sum() - _f(g.sum(1)).sum())
+
+
+class Assignment:
+    """A class for every word: its own if it is among the words here, else that of its cell. Seeds come first in words."""
+
+    def __init__(self, seeds: np.ndarray, words: np.ndarray, k: np.ndarray, cells: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.seed = words[order], np.append(order < len(seeds), False)
+        self.k = np.concatenate([k[order], cells]).astype(np.uint8)
+
+    def finder(self):
+        """A function from hashes and cells to classes, and whether each is a seed."""
+        find = Lookup(self.words)
+
+        def classes(h, cell):
+            at = find(h)
+            return self.k[np.where(at >= 0, at, len(self.words) + cell.astype(np.int64))], self.seed[at]
+
+        return classes
+
+
+def pair_counts(found: DataFrame, run, classes: int) -> np.ndarray:
+    """The sum of the class pairs that run finds in each task's part of found."""
+
+    def rows(batches):
+        g = run(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes * classes, dtype=np.int32)), pa.array(g)], ["pair", "n"])
+
+    g = np.zeros(classes * classes)
+    for pair, n in found.mapInArrow(rows, "pair int, n long").groupBy("pair").agg(F.sum("n")).collect():  # classes^2 rows
+        g[pair] = n
+    return g.reshape(classes, classes)
+
+
+def class_bigrams(docs: DataFrame, now: Assignment, classes: int = CLASSES) -> np.ndarray:
+    """Counts of class pairs over docs (text binary); the end token also stands before a text."""
+    shared = docs.sparkSession.sparkContext.broadcast(now)
+
+    def run(batches):
+        of, g = shared.value.finder(), np.zeros(classes * classes, np.int64)
+        for _, texts in chunks(batches, "text"):
+            h, cell, sizes = tokens(texts)
+            k = framed(of(h, cell)[0], sizes, END).astype(np.int64)
+            g += np.bincount(k[:-1] * classes + k[1:], minlength=classes * classes)
+        return g
+
+    return pair_counts(docs.select("text"), run, classes)
+
+
+def word_classes(docs: DataFrame, now: Assignment, g: np.ndarray) -> DataFrame:
+    """h, k: the best class of each word but the seeds that docs (text binary) have FLOOR times or more, by
+    the classes that its neighbours have now and their pairs g."""
+    shared = docs.sparkSession.sparkContext.broadcast((now, g))
     classes = len(g)
 
     def gather(batches):
-        seeds_, of_, _ = shared.value
-        find, held = Lookup(seeds_), []
+        of, held = shared.value[0].finder(), []
 
         def out():
             h, near = (np.concatenate(x) for x in zip(*held))
@@ -274,10 +331,10 @@ def word_classes(docs: DataFrame, seeds: np.ndarray, of: np.ndarray, g: np.ndarr
 
         for _, texts in chunks(batches, "text"):
             h, cell, sizes = tokens(texts)
-            at = find(h)
-            k = framed(of_[units_of(at, cell, len(seeds_))].astype(np.uint8), sizes, END)
+            own, seed = of(h, cell)
+            k = framed(own, sizes, END)
             place = np.arange(len(h)) + np.repeat(np.arange(len(sizes)), sizes) + 1
-            rare = np.flatnonzero(at < 0)
+            rare = np.flatnonzero(~seed)
             held.append((h[rare], np.stack([k[place[rare] - 1], k[place[rare] + 1] + classes], 1).astype(np.uint8)))
             if sum(len(x[0]) for x in held) > HELD:
                 yield out()
@@ -286,7 +343,7 @@ def word_classes(docs: DataFrame, seeds: np.ndarray, of: np.ndarray, g: np.ndarr
             yield out()
 
     def choose(batches):
-        pairs = shared.value[2]
+        pairs = shared.value[1]
         last, over = np.zeros(0, np.uint64), np.zeros((0, 2 * classes))
 
         def out(h, contexts):
@@ -315,6 +372,30 @@ def word_classes(docs: DataFrame, seeds: np.ndarray, of: np.ndarray, g: np.ndarr
     return near.repartition("h").sortWithinPartitions("h").mapInArrow(choose, "h long, k smallint")
 
 
+def settled(docs: DataFrame, counts: DataFrame, seeds: np.ndarray, of: np.ndarray, g: np.ndarray) -> DataFrame | None:
+    """h, k of the words but the seeds after passes over docs (text binary) that each raise the likelihood; None
+    if no pass does. counts: h, c; of, g: classes of units and their pairs."""
+    spark, rest, value = docs.sparkSession, None, likelihood(g)
+    some = counts.where(F.col("c") >= least_of(counts, "c", CONTEXT_WORDS)).select("h")
+    now = Assignment(seeds, seeds, of[1 : 1 + len(seeds)], of[1 + len(seeds) :])
+    for _ in range(PASSES):
+        moved = written(word_classes(docs, now, g), "word-classes")
+        got = moved.join(some, "h").select("h", "k").toArrow()  # CONTEXT_WORDS rows at most
+        own = [got.column("h").to_numpy().view(np.uint64), got.column("k").to_numpy()]
+        after = Assignment(seeds, np.concatenate([seeds, own[0]]), np.concatenate([of[1 : 1 + len(seeds)], own[1]]), of[1 + len(seeds) :])
+        pairs = class_bigrams(docs, after, len(g))
+        gain = likelihood(pairs) - value
+        if gain <= 0:
+            remove(spark, moved)
+            break
+        if rest is not None:
+            remove(spark, rest)
+        rest, now, g, value = moved, after, pairs, value + gain
+        if gain <= LEAST_GAIN * g.sum():
+            break
+    return rest
+
+
 class Model:
     """What tasks need: all of bounded size."""
 
@@ -334,12 +415,13 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
     seeds = seeds_of(counts)
     m = unit_bigrams(training, seeds)
     of = exchange(m)
-    rest = word_classes(training, seeds, of, class_pairs(m, of))
-    named = docs.sparkSession.createDataFrame([(int(h), int(of[i + 1])) for i, h in enumerate(signed(seeds))], "h long, k smallint")
-    cell_class = of[1 + len(seeds) :]
+    spark, cell_class = docs.sparkSession, of[1 + len(seeds) :]
+    named = spark.createDataFrame([(int(h), int(of[i + 1])) for i, h in enumerate(signed(seeds))], "h long, k smallint")
+    rest = settled(training, counts, seeds, of, class_pairs(m, of))
     by_cell = F.element_at(F.lit([int(k) for k in cell_class]), (F.col("h").bitwiseAND(CELLS - 1) + 1).cast("int")).cast("smallint")
-    words = written(counts.join(rest.unionByName(named), "h", "left").select("h", "c", "total", F.coalesce("k", by_cell).alias("k")), "words")
-    remove(docs.sparkSession, counts)
+    own = named if rest is None else rest.unionByName(named)
+    words = written(counts.join(own, "h", "left").select("h", "c", "total", F.coalesce("k", by_cell).alias("k")), "words")
+    remove(spark, counts, *([] if rest is None else [rest]))
     n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
     for k, n, v in words.where("c > 0").groupBy("k").agg(F.sum("c"), F.count("*")).collect():  # CLASSES rows
         n_class[k], v_class[k] = n, v
@@ -427,12 +509,9 @@ def sequence_pairs(found: DataFrame, classes: int = CLASSES) -> np.ndarray:
             if b.num_rows:
                 k = np.append(np.uint8(END), filled(b)[0]).astype(np.int64)  # a text's end stands before the next one
                 g += np.bincount(k[:-1] * classes + k[1:], minlength=classes * classes)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes * classes, dtype=np.int32)), pa.array(g)], ["pair", "n"])
+        return g
 
-    g = np.zeros(classes * classes)
-    for pair, n in found.select("classes", "later").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n")).collect():  # classes^2 rows
-        g[pair] = n
-    return g.reshape(classes, classes)
+    return pair_counts(found.select("classes", "later"), run, classes)
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:

@@ -439,6 +439,7 @@ def test_scores_equal_a_plain_class_bigram(spark, odd, monkeypatch):
     """Classes of all words over the floor from their own contexts, and scores, by loops over words."""
     monkeypatch.setattr(lm_scoring, "SEEDS", 12)
     monkeypatch.setattr(lm_scoring, "FREQUENT", 100)
+    monkeypatch.setattr(lm_scoring, "LEAST_GAIN", 0)
     split = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
     docs = [(i, [*(t or "").encode().lower().split()]) for i, t in ((r.doc_id, r.text) for r in documents(spark).select("doc_id", "text").collect())]
     code = {w: int(lm_scoring.signed(lm_scoring.tokens([w])[0])[0]) for w in {w for _, ws in docs for w in ws}}
@@ -456,17 +457,28 @@ def test_scores_equal_a_plain_class_bigram(spark, odd, monkeypatch):
     of = lm_scoring.exchange(m)
     k = lm_scoring.CLASSES
     g = lm_scoring.class_pairs(m, of)
-    contexts = {w: np.zeros(2 * k) for w in c}
-    for i, ws in docs:
-        if not split(i):
-            own = [0, *(int(of[unit(w)]) for w in ws), 0]
-            for at, w in enumerate(ws):
-                contexts[w][own[at]] += 1
-                contexts[w][k + own[at + 2]] += 1
     far = [w for w in c if c[w] >= lm_scoring.FLOOR and w not in seeds]
     assert len(far) > 50
-    best = dict(zip(far, lm_scoring.best_classes(np.array([contexts[w] for w in far]), g)))
-    classes = {w: int(best.get(w, of[unit(w)])) for w in code}
+    classes, values = {w: int(of[unit(w)]) for w in code}, [lm_scoring.likelihood(g)]
+    for _ in range(lm_scoring.PASSES):
+        contexts, pairs = {w: np.zeros(2 * k) for w in c}, np.zeros((k, k))
+        for i, ws in docs:
+            if not split(i):
+                own = [0, *(classes[w] for w in ws), 0]
+                for at, w in enumerate(ws):
+                    contexts[w][own[at]] += 1
+                    contexts[w][k + own[at + 2]] += 1
+        moved = classes | dict(zip(far, map(int, lm_scoring.best_classes(np.array([contexts[w] for w in far]), g))))
+        for i, ws in docs:
+            if not split(i):
+                own = [0, *(moved[w] for w in ws), 0]
+                for a, b in zip(own, own[1:]):
+                    pairs[a, b] += 1
+        if lm_scoring.likelihood(pairs) <= values[-1]:
+            break
+        classes, g = moved, pairs
+        values.append(lm_scoring.likelihood(g))
+    assert len(values) > 2 and values == sorted(values)  # later passes add to the first
     n, v, pairs = Counter(), Counter(), np.zeros((k, k))
     for w in c:
         n[classes[w]] += c[w]
