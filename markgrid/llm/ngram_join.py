@@ -25,8 +25,8 @@ Two documents link when 100 * |A n B| >= percent * |A u B| over their sets of wo
    elements in each of SKETCH cells, and every element in one set only changes one parity, so sets
    that differ in more parities than linked sets may differ in elements cannot link. This is exact.
 6. Candidates are verified by full sets, made anew of just the documents that have candidates. The
-   set of a is sent to each b, that of b is sent once to every PART pairs of b, so a document of very
-   many candidates is no hot key.
+   set of a is sent to each b, that of b is sent once to every PART pairs of b, and a row of a names no
+   more than about LISTED of its pairs, so a document of very many candidates is no hot key on either side.
 
 Defined cases: null and empty texts have an empty set and link with nothing; texts of fewer words
 than a shingle are one shingle; rows of a repeated doc_id are one document: if its texts differ, it
@@ -46,7 +46,7 @@ from .components import components
 from .shared import free_name, remove, table, written
 from .text import chunk_words, chunks, mix, shingles, signed
 
-HOT_LEAST, HOT_LIMIT, ROUNDS, L_MAX, HEADS, SKETCH, BROADCAST_IDS, PART, HOT_CLASSES = 4, 500_000, 2, 8, 4, 512, 1_000_000, 32, 10_000
+HOT_LEAST, HOT_LIMIT, ROUNDS, L_MAX, HEADS, SKETCH, BROADCAST_IDS, PART, LISTED, HOT_CLASSES = 4, 500_000, 2, 8, 4, 512, 1_000_000, 32, 1_000, 10_000
 _other, _third = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -155,7 +155,9 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, texts_of:
     small = pairs.count() <= BROADCAST_IDS
     heads = pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).alias("parts"))
     part = F.pmod(F.xxhash64("a"), F.col("parts"))
-    to = pairs.join(heads, "b").groupBy(F.col("a").alias("id")).agg(F.collect_list(F.struct("b", part.alias("part"))).alias("carried"))
+    tails = pairs.groupBy("a").agg(F.ceil(F.count("*") / LISTED).alias("lists")).where("lists > 1")
+    own_list = F.pmod(F.xxhash64("b"), F.coalesce("lists", F.lit(1)))
+    to = pairs.join(heads, "b").join(tails, "a", "left").groupBy(F.col("a").alias("id"), own_list.alias("list")).agg(F.collect_list(F.struct("b", part.alias("part"))).alias("carried")).drop("list")
     left = full_sets(docs, to, k, small, texts_of).select(F.col("id").alias("a"), F.col("items").alias("x"), F.inline("carried"))
     right = full_sets(docs, heads.select(F.col("b").alias("id"), F.col("parts").alias("carried")), k, small, texts_of).select(
         F.col("id").alias("b"), F.col("items").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("carried") - 1)).alias("part")

@@ -210,7 +210,7 @@ def test_hot_heads_and_classes_and_repeated_ids(spark, monkeypatch):
     """Small bounds, so that heads are split, classes are broadcast, and sets are joined by a shuffle."""
     docs = documents(spark)
     want = sorted(tuple(x) for x in ngram_join.near_classes(docs, 3, 90).fillna(-1).collect())
-    for name, value in (("PART", 2), ("HOT_CLASSES", 3), ("BROADCAST_IDS", 0)):
+    for name, value in (("PART", 2), ("LISTED", 1), ("HOT_CLASSES", 3), ("BROADCAST_IDS", 0)):
         monkeypatch.setattr(ngram_join, name, value)
     assert sorted(tuple(x) for x in ngram_join.near_classes(docs, 3, 90).fillna(-1).collect()) == want
     a, b = "one two three four five six seven eight nine ten", "another text that has nothing to do with it at all"
