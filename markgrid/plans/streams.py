@@ -19,14 +19,22 @@ def shared(spark) -> str:
     return base or "file://" + tempfile.mkdtemp(prefix="spark-streams-")
 
 
+def events_at(d):
+    return f"{d}/[e]vents.parquet"
+
+
 def source(spark, d):
-    return scans.scan_events(spark, f"{d}/[e]vents.parquet")
+    return scans.scan_events(spark, events_at(d))
 
 
 def streamed(transform):
     return lambda spark, d: scans.run_available(spark, transform(source(spark, d)), shared(spark))
 
 
+def whole(transform):
+    return lambda spark, d: scans.run_to_end(spark, events_at(d), transform, shared(spark))
+
+
 WINDOW_S, LIMIT = 86_400, 3
 
 
@@ -68,7 +76,7 @@ def retention_sweep(spark, d):
 
 
 QUERIES = {
-    "stream_hourly_scans": streamed(scans.hourly),
+    "stream_hourly_scans": whole(scans.hourly),
     "stream_sliding": streamed(scans.sliding),
     "stream_session": streamed(scans.sessions),
     "stream_dedupe": streamed(scans.first_of_each),
@@ -83,7 +91,7 @@ QUERIES = {
 _W = "w AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTES AS passed FROM events)"
 _JUDGED = f"""SELECT user_id, event_id, epoch_us(ts) AS at, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {WINDOW_S * 1_000_000 - 1} PRECEDING AND CURRENT ROW) AS requests FROM events"""
 ORACLES = {
-    "stream_hourly_scans": f"WITH {_W} SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS scans, sum(floor(value * 1e6 + 0.5)::BIGINT)::BIGINT AS value_micro FROM events, w WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= passed GROUP BY 1, 2",
+    "stream_hourly_scans": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS scans, sum(floor(value * 1e6 + 0.5)::BIGINT)::BIGINT AS value_micro FROM events GROUP BY ALL",
     "stream_sliding": f"""WITH {_W}, s AS (SELECT time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01') AS b FROM events), b AS (SELECT b AS start FROM s UNION ALL SELECT b - INTERVAL 3 HOURS FROM s)
 SELECT start AS start, count(*) AS scans FROM b, w WHERE start + INTERVAL 6 HOURS <= passed GROUP BY 1""",
     "stream_session": f"""WITH {_W}, l AS (SELECT user_id, ts, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOURS, true)::INT AS new FROM events),

@@ -15,12 +15,19 @@ from pyspark.sql import functions as F
 
 DELAY_S = 600
 DELAY = f"{DELAY_S} seconds"
+#: How far beyond the watermark a stream is closed: more than the delay and the longest window or gap together.
+REACH = "2 days"
+#: A watermark begins at 1970 and takes what is before that for late, so windows count time from 2000 years earlier
+#: (whole cycles of the calendar, whole days), in microseconds.
+ERA = 5 * 146_097 * 86_400 * 1_000_000
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def scan_events(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
-    """The event stream of a folder or (as a glob pattern) file of Parquet, with event time in ts."""
-    rows = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def scan_events(spark: SparkSession, path: str, files_per_trigger: int | None = 8) -> DataFrame:
+    """The event stream of a folder or (as a glob pattern) file of Parquet, with event time in ts; without a number
+    of files all that are there make one micro-batch."""
+    reader = spark.readStream.schema(SCHEMA)
+    rows = (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -29,21 +36,30 @@ def plain(name: str) -> Column:
     return F.col(name).cast("timestamp_ntz")
 
 
+def timed(events: DataFrame) -> DataFrame:
+    return events.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + ERA)).withWatermark("ts", DELAY)
+
+
+def untimed(instant: Column) -> Column:
+    """An instant of timed rows as the tables have it."""
+    return F.timestamp_micros(F.unix_micros(instant) - ERA).cast("timestamp_ntz")
+
+
 def hourly(events: DataFrame) -> DataFrame:
     w = F.window("ts", "1 hour")
-    return events.withWatermark("ts", DELAY).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("scans"), F.sum(F.floor(F.col("value") * 1e6 + 0.5).cast("long")).alias("value_micro")).select(
-        plain("w.start").alias("start"), "event_type", "scans", "value_micro"
+    return timed(events).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("scans"), F.sum(F.floor(F.col("value") * 1e6 + 0.5).cast("long")).alias("value_micro")).select(
+        untimed(F.col("w.start")).alias("start"), "event_type", "scans", "value_micro"
     )
 
 
 def sliding(events: DataFrame) -> DataFrame:
     w = F.window("ts", "6 hours", "3 hours")
-    return events.withWatermark("ts", DELAY).groupBy(w.alias("w")).agg(F.count("*").alias("scans")).select(plain("w.start").alias("start"), "scans")
+    return timed(events).groupBy(w.alias("w")).agg(F.count("*").alias("scans")).select(untimed(F.col("w.start")).alias("start"), "scans")
 
 
 def sessions(events: DataFrame, gap: str = "2 hours") -> DataFrame:
     w = F.session_window("ts", gap)
-    return events.withWatermark("ts", DELAY).groupBy(w.alias("w"), "user_id").agg(F.count("*").alias("scans")).select("user_id", plain("w.start").alias("start"), plain("w.end").alias("stop"), "scans")
+    return timed(events).groupBy(w.alias("w"), "user_id").agg(F.count("*").alias("scans")).select("user_id", untimed(F.col("w.start")).alias("start"), untimed(F.col("w.end")).alias("stop"), "scans")
 
 
 def first_of_each(events: DataFrame) -> DataFrame:
@@ -88,6 +104,21 @@ def run_available(spark: SparkSession, stream: DataFrame, base: str) -> DataFram
     return result_at(spark, place)
 
 
+def run_to_end(spark: SparkSession, path: str, transform, base: str) -> DataFrame:
+    """Runs a transformation over all events that a path has and returns the whole result, with the windows that are
+    still open at its end. The events are one micro-batch, so none is late behind another, whatever order the files
+    have. Then a row of a second source closes the stream: it carries the watermark past all windows but its own,
+    which stays open, so it is in no result."""
+    place = new_place(base)
+    events = scan_events(spark, path, None).unionByName(scan_events(spark, f"{place}/[c]losing", None))
+    stream = transform(events)
+    passed = run_at(stream, place)[-1]["eventTime"]["watermark"]
+    at = untimed(F.lit(passed).cast("timestamp") + F.expr(f"INTERVAL {REACH}"))
+    spark.range(1).select(at.alias("ts")).write.parquet(f"{place}/closing")
+    run_at(stream, place)
+    return result_at(spark, place)
+
+
 def batch_folder(rows: DataFrame, path: str, number: int) -> None:
     """Writes a micro-batch to a folder of its own, so that a batch that is run again replaces its rows."""
     rows.write.mode("overwrite").parquet(f"{path}/batch={number}")

@@ -1,12 +1,17 @@
 import datetime
 import itertools
+import shutil
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from markgrid.plans import streams
 from markgrid.sources import sinks
 from markgrid.streaming import limits, scans
 
+from .conftest import rows_of
+
 START = datetime.datetime(2024, 1, 1)
 
 
@@ -104,3 +109,24 @@ def test_sweep_drops_whole_days_once(spark, tmp_path):
     assert sinks.sweep_days(spark, path, now, 2) == []
     assert sorted({r.at.day for r in spark.read.parquet(f"{path}/day=*").collect()}) == [3, 4, 5] and (tmp_path / "runs" / "other").exists()
     assert sinks.sweep_days(spark, str(tmp_path / "nothing"), now, 2) == []
+
+
+@pytest.mark.parametrize("name, times", [("stream_hourly_scans", 1)])
+def test_whole_result_of_a_stream(spark, tmp_path, name, times):
+    """Each event is counted: in windows open at the end, in files that come out of order, before 1970."""
+    folder, n = tmp_path / "events.parquet", 10
+    folder.mkdir()
+    for k in range(n):  # newest first
+        day = START - datetime.timedelta(days=(0, 1, 2, 3, 4, 5, 6, 7, 8, 20_000)[k])
+        made = [(k * 100 + i, day + datetime.timedelta(minutes=59 * i), None if i % 7 == 0 else i % 3, "view", i / 8, "{}") for i in range(30)]
+        made.append((k * 100 + 30, day, 5, "click", 1.0, "{}"))
+        made += [(k * 100 + 31 + j, day + datetime.timedelta(microseconds=t), 5, "click", 1.0, "{}") for j, t in enumerate((7_200_000_000, 14_400_000_000, 21_600_000_001))]
+        spark.createDataFrame(made, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/made/{k}")
+        (made_file,) = (tmp_path / "made" / str(k)).glob("*.parquet")
+        shutil.copy(made_file, folder / f"part-{k}.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/*.parquet'")
+        want = rows_of(c.execute(streams.ORACLES[name]).df())
+    got = streams.QUERIES[name](spark, str(tmp_path))
+    assert got.agg(F.sum("scans")).first()[0] == times * n * 34
+    assert rows_of(got) == want
