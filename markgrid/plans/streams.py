@@ -77,7 +77,7 @@ def retention_sweep(spark, d):
 
 QUERIES = {
     "stream_hourly_scans": whole(scans.hourly),
-    "stream_sliding": streamed(scans.sliding),
+    "stream_sliding": whole(scans.sliding),
     "stream_session": streamed(scans.sessions),
     "stream_dedupe": streamed(scans.first_of_each),
     "stream_rate_limit": streamed(scans.over_limit),
@@ -92,8 +92,8 @@ _W = "w AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTES AS p
 _JUDGED = f"""SELECT user_id, event_id, epoch_us(ts) AS at, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {WINDOW_S * 1_000_000 - 1} PRECEDING AND CURRENT ROW) AS requests FROM events"""
 ORACLES = {
     "stream_hourly_scans": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS scans, sum(floor(value * 1e6 + 0.5)::BIGINT)::BIGINT AS value_micro FROM events GROUP BY ALL",
-    "stream_sliding": f"""WITH {_W}, s AS (SELECT time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01') AS b FROM events), b AS (SELECT b AS start FROM s UNION ALL SELECT b - INTERVAL 3 HOURS FROM s)
-SELECT start AS start, count(*) AS scans FROM b, w WHERE start + INTERVAL 6 HOURS <= passed GROUP BY 1""",
+    "stream_sliding": """WITH s AS (SELECT time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01') AS b FROM events), w AS (SELECT b AS start FROM s UNION ALL SELECT b - INTERVAL 3 HOURS FROM s)
+SELECT start AS start, count(*) AS scans FROM w GROUP BY ALL""",
     "stream_session": f"""WITH {_W}, l AS (SELECT user_id, ts, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOURS, true)::INT AS new FROM events),
 g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM l), s AS (SELECT user_id, min(ts) AS start, (max(ts) + INTERVAL 2 HOURS) AS stop, count(*) AS scans FROM g GROUP BY user_id, n) SELECT s.* FROM s, w WHERE stop <= passed""",
     "stream_dedupe": "SELECT DISTINCT user_id, event_type, date_trunc('second', ts) AS at FROM events",
