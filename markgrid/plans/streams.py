@@ -78,7 +78,7 @@ def retention_sweep(spark, d):
 QUERIES = {
     "stream_hourly_scans": whole(scans.hourly),
     "stream_sliding": whole(scans.sliding),
-    "stream_session": streamed(scans.sessions),
+    "stream_session": whole(scans.sessions),
     "stream_dedupe": streamed(scans.first_of_each),
     "stream_rate_limit": streamed(scans.over_limit),
     "stream_sliding_limit": stream_sliding_limit,
@@ -94,8 +94,8 @@ ORACLES = {
     "stream_hourly_scans": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS scans, sum(floor(value * 1e6 + 0.5)::BIGINT)::BIGINT AS value_micro FROM events GROUP BY ALL",
     "stream_sliding": """WITH s AS (SELECT time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01') AS b FROM events), w AS (SELECT b AS start FROM s UNION ALL SELECT b - INTERVAL 3 HOURS FROM s)
 SELECT start AS start, count(*) AS scans FROM w GROUP BY ALL""",
-    "stream_session": f"""WITH {_W}, l AS (SELECT user_id, ts, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOURS, true)::INT AS new FROM events),
-g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM l), s AS (SELECT user_id, min(ts) AS start, (max(ts) + INTERVAL 2 HOURS) AS stop, count(*) AS scans FROM g GROUP BY user_id, n) SELECT s.* FROM s, w WHERE stop <= passed""",
+    "stream_session": """WITH l AS (SELECT user_id, ts, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOURS, true)::INT AS new FROM events),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM l) SELECT user_id, min(ts) AS start, (max(ts) + INTERVAL 2 HOURS) AS stop, count(*) AS scans FROM g GROUP BY user_id, n""",
     "stream_dedupe": "SELECT DISTINCT user_id, event_type, date_trunc('second', ts) AS at FROM events",
     "stream_rate_limit": f"WITH {_W} SELECT user_id, date_trunc('day', ts) AS start, count(*) AS requests FROM events, w WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= passed GROUP BY 1, 2 HAVING count(*) > 3",
     "stream_sliding_limit": f"WITH {_W}, j AS ({_JUDGED}) SELECT j.*, requests <= {LIMIT} AS allowed FROM j, w WHERE j.\"at\" <= epoch_us(passed)",

@@ -111,7 +111,7 @@ def test_sweep_drops_whole_days_once(spark, tmp_path):
     assert sinks.sweep_days(spark, str(tmp_path / "nothing"), now, 2) == []
 
 
-@pytest.mark.parametrize("name, times", [("stream_hourly_scans", 1), ("stream_sliding", 2)])
+@pytest.mark.parametrize("name, times", [("stream_hourly_scans", 1), ("stream_sliding", 2), ("stream_session", 1)])
 def test_whole_result_of_a_stream(spark, tmp_path, name, times):
     """Each event is counted: in windows open at the end, in files that come out of order, before 1970."""
     folder, n = tmp_path / "events.parquet", 10
