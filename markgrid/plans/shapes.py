@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blobs, runs
+from ..operators import blobs, pages, runs
 from ..operators import geometry as geo
 from ..sources.marks import CIRCLES_SQL, MASK, circles
 
-ORDERS_A_PAGE, LARGEST = 32, 14
+ORDERS_A_PAGE = 32
 #: Squared bounds of an anchor's size, least ratio of its sides and least solidity (fixed values of the sheet format).
 LEAST_AREA, MOST_AREA, LEAST_ASPECT, LEAST_SOLIDITY = 81, 12656, 0.65, 0.70
 
@@ -21,13 +21,15 @@ def dark_radius():
 
 
 def discs(spark, d):
+    """Dark discs, a page's together; one without a place or a radius has no pixels."""
     page = F.floor(F.col("sheet") / ORDERS_A_PAGE)
-    rows = circles(spark, d).select(page.alias("page"), "cx", "cy", dark_radius().alias("rd")).distinct()
-    return rows.withColumn("id", ((F.col("page") * 1024 + F.col("cx")) * 2048 + F.col("cy")) * 64 + F.col("rd"))
+    rows = circles(spark, d).select(page.alias("page"), "cx", "cy", dark_radius().alias("rd")).where("cx IS NOT NULL AND cy IS NOT NULL AND rd >= 0")
+    known = F.coalesce(F.col("page"), F.lit(0))
+    return pages.by_page(rows, "page").withColumn("id", ((known * 1024 + F.col("cx")) * 2048 + F.col("cy")) * 64 + F.col("rd"))
 
 
 def blob_rows(spark, d):
-    return blobs.measured(blobs.labelled(discs(spark, d), ["page"], "rd", LARGEST), ["page"], "rd")
+    return pages.page_blobs(discs(spark, d), "page", "rd")
 
 
 def page_blobs(spark, d):
@@ -43,7 +45,7 @@ def largest_blob(spark, d):
 def blob_solidity(spark, d):
     """Blobs of an anchor's size and squareness, with the share of their hull that they fill."""
     some = blob_rows(spark, d).where((F.col("area") > LEAST_AREA) & (F.col("area") < MOST_AREA) & (blobs.aspect() >= LEAST_ASPECT))
-    return some.select("page", "blob", "area", "cx", "cy", blobs.aspect().alias("aspect"), blobs.solidity().alias("solidity"))
+    return some.select("page", "blob", "area", "cx", "cy", blobs.aspect().alias("aspect"), (F.col("area") / F.col("hull")).alias("solidity"))
 
 
 def anchor_marks(spark, d):

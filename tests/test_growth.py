@@ -2,16 +2,20 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from markgrid import catalog
 from markgrid.functions.columns import choice_label
+from markgrid.operators import blobs, pages
 from markgrid.operators import geometry as geo
 from markgrid.plans import grid
 from markgrid.sources import templates as t
 from markgrid.sources.marks import circles
 
 from .conftest import rows_of
+from .test_shapes import chain_and_ring
 
 
 def shuffled(spark, df):
@@ -49,3 +53,41 @@ def test_grid_lines_are_the_lines_of_the_bubbles(spark):
 
 def test_assembled_grid_moves_no_bubbles(spark, sf_dir):
     assert moved(spark, sf_dir, "assembled_grid") < 12
+
+
+def test_page_kernel_is_the_table_one(spark, monkeypatch):
+    """Blobs of pages with chains, rings, doubles and discs of no page: as by joins of cells, with blocks of any size."""
+    rows = [(p, i + 1000 * p, *c) for p, some in ((1, chain_and_ring()), (2, chain_and_ring()[::3]), (-4, [(5, 5, 3), (5, 5, 6), (17, 5, 4)])) for i, c in enumerate(sorted(set(some)))]
+    df = spark.createDataFrame(rows, "page int, id long, cx int, cy int, rd int")
+    old = blobs.measured(blobs.labelled(df, ["page"], "rd", 14), ["page"], "rd").withColumn("solidity", blobs.solidity()).drop("lines")
+    share = (F.col("area") / F.col("hull")).alias("solidity")
+    names = ["page", "blob", "area", "cx", "cy", "width", "height", "solidity"]
+    want = rows_of(old, names)
+    assert rows_of(pages.page_blobs(pages.by_page(df, "page"), "page", "rd").select("*", share), names) == want
+    whole = [np.array(v) for v in zip(*sorted((p, x, y, r, i) for p, i, x, y, r in rows))]
+    for block in (1, 7, 300):
+        got = blocked(monkeypatch, block, whole)
+        assert sorted(map(tuple, got)) == sorted((int(x.page), x.blob, x.area, x.cx, x.cy, x.width, x.height, x.solidity) for x in old.collect())
+    lost = spark.createDataFrame([(None, 5, 1, 1, 0), (None, 6, 900, 900, 0), (0, 7, 1, 1, 0)], "page int, id long, cx int, cy int, rd int")
+    assert {tuple(x)[:3] for x in pages.page_blobs(pages.by_page(lost, "page"), "page", "rd").collect()} == {(None, None, 2), (0, 7, 1)}
+
+
+def blocked(monkeypatch, block, whole):
+    for name in ("blocks", "bands"):
+        monkeypatch.setattr(pages, name, lambda *a, f=vars(pages)[name], **b: f(*a, most=block))
+    page, x, y, r, ids = whole
+    got = pages.blobs_of(page, np.zeros(len(page), bool), ids, x, y, r)
+    monkeypatch.undo()
+    return zip(*[got[k].tolist() for k in ("by", "blob", "area", "cx", "cy", "width", "height")], (got["area"] / got["hull"]).tolist())
+
+
+def test_groups_stay_whole():
+    sizes = [3, 1, 50, 2, 2, 9, 1]
+    flat = [i if i else None for i, n in enumerate(sizes) for _ in range(n)]
+    batches = [pa.RecordBatch.from_pydict({"g": pa.array(flat[i : i + 4], pa.int64())}) for i in range(0, len(flat), 4)]
+    got = [t["g"].to_pylist() for t in pages.whole_groups(iter(batches), "g", 5)]
+    assert sum(got, []) == flat and all(a[-1] != b[0] for a, b in zip(got, got[1:])) and len(got) > 2
+
+
+def test_blobs_move_discs_once(spark, sf_dir):
+    assert moved(spark, sf_dir, "blob_solidity") < 1.5
