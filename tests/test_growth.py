@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from markgrid import catalog
@@ -89,5 +90,6 @@ def test_groups_stay_whole():
     assert sum(got, []) == flat and all(a[-1] != b[0] for a, b in zip(got, got[1:])) and len(got) > 2
 
 
-def test_blobs_move_discs_once(spark, sf_dir):
-    assert moved(spark, sf_dir, "blob_solidity") < 1.5
+@pytest.mark.parametrize("name, most", [("blob_solidity", 1.5), ("anchor_candidates_top12", 1.5)])
+def test_pages_move_discs_once(spark, sf_dir, name, most):
+    assert moved(spark, sf_dir, name) < most
