@@ -1,13 +1,15 @@
 """Operators that place things on a sheet: spans and bars, columns, row lattices, anchor quads and boxes.
 
 A sheet has a bounded number of detections, so each is gathered into sorted arrays once, and the
-rules are array expressions inside the JVM.
+rules are array expressions inside the JVM; quads are tried in NumPy, over many pages at once.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,26 +87,62 @@ def fit_lattice(centres: DataFrame, by: str, rows: int, y0: int, y1: int, noise:
     return fitted.select(by, "pitch", "row0", F.when(F.col("row0").isNull(), F.lit(0.0)).otherwise(near / F.size("ys").cast("double")).alias("quality"), "lattice")
 
 
+def quads_of(x: np.ndarray, y: np.ndarray, least_area: float, squareness: float, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Of pages (rows of x and y) of n candidates each: the places of the corners tl, tr, br, bl of the best quad, and its area; -1 without one."""
+    pages, n = x.shape
+    row = np.arange(pages)[:, None]
+    ranks = []
+    for key in (x + y, y - x, -(x + y), x - y):
+        rank = np.empty((pages, n), np.int64)
+        rank[row, np.lexsort((y, x, key))] = np.arange(n)
+        ranks.append(rank)
+    best, area = np.zeros((pages, 4), np.int64), np.full(pages, -1.0)
+    every = itertools.combinations(range(n), 4)
+    while four := list(itertools.islice(every, most)):
+        quad = np.array(four)
+        step = max(1, most // len(quad))
+        for at in range(0, pages, step):
+            part = row[at : at + step]
+            ends = [quad[np.arange(len(quad)), rank[at : at + step][:, quad].argmin(axis=2)] for rank in ranks]
+            (ax, ay), (bx, by), (cx, cy), (dx, dy) = ((x[part, e].astype(np.float64), y[part, e].astype(np.float64)) for e in ends)
+            size = np.abs((ax * by - bx * ay) + (bx * cy - cx * by) + (cx * dy - dx * cy) + (dx * ay - ax * dy)) / 2
+            side = lambda px, py, qx, qy: np.sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy))
+            alike = lambda a, b: np.minimum(a, b) / (np.maximum(a, b) + 1e-6) > squareness
+            good = alike(side(ax, ay, bx, by), side(dx, dy, cx, cy)) & alike(side(ax, ay, dx, dy), side(bx, by, cx, cy)) & (size > least_area)
+            size = np.where(good, size, -1.0)
+            first, own = size.argmax(axis=1), np.arange(len(part))
+            better = np.flatnonzero(size[own, first] > area[at : at + step])
+            area[at + better] = size[better, first[better]]
+            best[at + better] = np.stack([e[better, first[better]] for e in ends], axis=1)
+    return best, area
+
+
 def best_quad(candidates: DataFrame, by: str, least_area: float, squareness: float = 0.7) -> DataFrame:
     """by, tl_x .. bl_y, area: of all quads of four candidates (by, place 0.., cx, cy) the one of largest
     area whose opposite sides are alike by more than squareness; of equals the first by place. A
-    group has a few candidates (twelve make 495 quads)."""
+    group has a few candidates (twelve make 495 quads); groups of one size are tried together."""
     held = candidates.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("place", "cx", "cy"))).alias("c")).where(F.size("c") >= 4)
-    n = F.size("c")
-    for name, low, high in (("i", F.lit(0), n - 4), ("j", F.col("i") + 1, n - 3), ("k", F.col("j") + 1, n - 2), ("l", F.col("k") + 1, n - 1)):
-        held = held.withColumn(name, F.explode(F.sequence(low, high)))
-    four = held.select(by, F.array("i", "j", "k", "l").alias("quad"), F.array(*[F.get("c", F.col(x)) for x in "ijkl"]).alias("p"))
-    corner = lambda key: F.array_min(F.transform("p", lambda p: F.struct(key(p["cx"], p["cy"]).alias("k"), p["cx"].alias("x"), p["cy"].alias("y"))))
-    keys = {"tl": lambda x, y: x + y, "tr": lambda x, y: y - x, "br": lambda x, y: -(x + y), "bl": lambda x, y: x - y}
-    four = four.select(by, "quad", *[corner(k).alias(c) for c, k in keys.items()])
-    ring = list(keys)
-    x, y = (lambda c: F.col(f"{c}.x").cast("double")), (lambda c: F.col(f"{c}.y").cast("double"))
-    area = F.abs(reduce(lambda a, b: a + b, [x(a) * y(b) - x(b) * y(a) for a, b in zip(ring, ring[1:] + ring[:1])])) / 2
-    side = lambda a, b: F.sqrt((x(a) - x(b)) * (x(a) - x(b)) + (y(a) - y(b)) * (y(a) - y(b)))
-    alike = lambda a, b: F.least(a, b) / (F.greatest(a, b) + F.lit(1e-6)) > squareness
-    good = four.withColumn("area", area).where(alike(side("tl", "tr"), side("bl", "br")) & alike(side("tl", "bl"), side("tr", "br")) & (F.col("area") > least_area))
-    best = good.groupBy(by).agg(F.min(F.struct((-F.col("area")).alias("minus"), "quad", *ring)).alias("b"))
-    return best.select(by, *[F.col(f"b.{c}.{a}").alias(f"{c}_{a}") for c in ring for a in "xy"], (-F.col("b.minus")).alias("area"))
+    held = held.select(by, F.col("c.cx").alias("xs"), F.col("c.cy").alias("ys"))
+    kind = lambda name: candidates.schema[name].dataType.simpleString()
+    names = [f"{c}_{a}" for c in ("tl", "tr", "br", "bl") for a in "xy"]
+    schema = f"{by} {kind(by)}, " + ", ".join(f"{v} {kind('c' + v[-1])}" for v in names) + ", area double"
+
+    def run(batches):
+        for batch in batches:
+            sizes = batch["xs"].value_lengths().to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            flat = [batch[v].flatten() for v in ("xs", "ys")]
+            x, y = (v.to_numpy().astype(np.int64) for v in flat)
+            for n in np.unique(sizes):
+                own = np.flatnonzero(sizes == n)
+                at = starts[own][:, None] + np.arange(n)
+                best, area = quads_of(x[at], y[at], least_area, squareness)
+                some = np.flatnonzero(area >= 0)
+                place = at[some][np.arange(len(some))[:, None], best[some]]
+                corners = [flat[i].take(pa.array(place[:, c])) for c in range(4) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([batch[by].take(pa.array(own[some])), *corners, pa.array(area[some])], [by, *names, "area"])
+
+    return held.mapInArrow(run, schema)
 
 
 def cut(x: Column) -> Column:

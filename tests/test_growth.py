@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from markgrid import catalog
 from markgrid.functions.columns import choice_label
-from markgrid.operators import blobs, pages
+from markgrid.operators import blobs, layout, pages
 from markgrid.operators import geometry as geo
 from markgrid.plans import grid
 from markgrid.sources import templates as t
@@ -90,6 +90,19 @@ def test_groups_stay_whole():
     assert sum(got, []) == flat and all(a[-1] != b[0] for a, b in zip(got, got[1:])) and len(got) > 2
 
 
-@pytest.mark.parametrize("name, most", [("blob_solidity", 1.5), ("anchor_candidates_top12", 1.5)])
+@pytest.mark.parametrize("name, most", [("blob_solidity", 1.5), ("anchor_candidates_top12", 1.5), ("anchor_quad", 1.5)])
 def test_pages_move_discs_once(spark, sf_dir, name, most):
     assert moved(spark, sf_dir, name) < most
+
+
+def test_quads_in_blocks():
+    """The best quad is the same however few quads are tried at once; all equal: the first by place."""
+    r = np.random.default_rng(4)
+    x, y = r.integers(0, 750, (30, 9)), r.integers(0, 1060, (30, 9))
+    want = layout.quads_of(x, y, 39750.0, 0.7)
+    assert (want[1] > 0).sum() > 5
+    for most in (1, 5, 200):
+        best, area = layout.quads_of(x, y, 39750.0, 0.7, most)
+        assert (area == want[1]).all() and (best == want[0]).all()
+    square = np.array([[0, 400, 400, 0, 0, 400]]), np.array([[0, 0, 400, 400, 0, 0]])
+    assert layout.quads_of(*square, 1.0, 0.7)[0].tolist() == [[0, 1, 2, 3]]
