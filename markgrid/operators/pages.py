@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-DISCS, BLOCK = 200_000, 2_000_000
+DISCS, BLOCK = 200_000, 1_000_000
 MEASURES = "blob long, area long, cx long, cy long, width int, height int, hull double"
 
 
@@ -240,3 +240,65 @@ def page_blobs(discs: DataFrame, by: str, r: str) -> DataFrame:
             yield from pa.Table.from_arrays(arrays, [by, *names]).to_batches(50_000)
 
     return discs.select(by, "id", "cx", "cy", r).mapInArrow(run, schema)
+
+
+def runs_of(base: np.ndarray, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last pixel of the runs that spans cover together, all on one axis: base is where a span's line begins on it."""
+    order = np.argsort(start := base + x - reach, kind="stable")
+    start, stop = start[order], np.maximum.accumulate((base + x + reach)[order])
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > stop[:-1] + 1])) if len(start) else np.zeros(0, np.int64)
+    return start[first], stop[np.append(first[1:], len(start)) - 1] if len(start) else stop
+
+
+def darkness_of(page: np.ndarray, x: np.ndarray, y: np.ndarray, r: np.ndarray, dark_r: np.ndarray, shifts: int) -> tuple[np.ndarray, ...]:
+    """The distinct discs (page, x, y, r) of whole pages, each with the most pixels that it shares, over sideways shifts of
+    -shifts..shifts, with the dark discs (radius dark_r, none if negative) of its page."""
+    order = np.lexsort((r, y, x, page))
+    own = order[changes(page[order], x[order], y[order], r[order])]
+    lit = np.flatnonzero(dark_r >= 0)
+    dp, dx, dy, dr = largest_at([page[lit], x[lit], y[lit]], dark_r[lit], dark_r[lit])[:4] if len(lit) else [np.zeros(0, np.int64)] * 4
+    page, x, y, r = page[own], x[own], y[own], r[own]
+    shared = np.zeros((len(own), 2 * shifts + 1), np.int64)
+    g = np.cumsum(changes(page)) - 1
+    dg = g[np.searchsorted(page, dp)]
+    edge = lambda f, sign: int(f(np.concatenate([x + sign * (r + shifts), dx + sign * dr])))
+    left, top, high = edge(np.min, -1), int((y - r).min()), int((y + r).max() - (y - r).min()) + 1
+    wide = edge(np.max, 1) - left + 2
+    begin = lambda g, at: (g * high + at - top) * wide - left
+    for low, to in bands(y, r):
+        disc, at, reach = lines(dy, dr, low, to)
+        start, stop = runs_of(begin(dg[disc], at), dx[disc], reach)
+        for part in blocks(2 * r + 1):
+            disc, at, reach = lines(y[part], r[part], low, to)
+            first = begin(g[part][disc], at) + x[part][disc] - reach
+            nearest = np.searchsorted(stop, first - shifts, "left")
+            counts = np.maximum(np.searchsorted(start, first + 2 * reach + shifts, "right") - nearest, 0)
+            met = np.flatnonzero(counts)
+            disc, reach, first, nearest, counts = disc[met] + part.start, reach[met], first[met], nearest[met], counts[met]
+            for some in blocks(counts):
+                item, place = spread_out(counts[some])
+                run, at, probe = nearest[some][item] + place, first[some][item], disc[some][item]
+                a, b, last = ((v).astype(np.int32) for v in (start[run] - at, stop[run] - at, 2 * reach[some][item]))
+                ends = np.flatnonzero(changes(probe))
+                for k in range(-shifts, shifts + 1):
+                    n = np.maximum(np.minimum(b, last + k) - np.maximum(a, k) + 1, 0)
+                    shared[probe[ends], k + shifts] += np.add.reduceat(n, ends)
+    return page, x, y, r, shared.max(axis=1)
+
+
+def disc_darkness(discs: DataFrame, by: str, r: str, dark_r: str, shifts: int = 5) -> DataFrame:
+    """by, cx, cy, r, dark, mask as runs.disc_darkness has it, of discs (by, cx, cy, r, none null; dark_r, null for a light one) which
+    by_page has dealt; the dark discs of a page are on it."""
+    kind = lambda name: f"{name} {discs.schema[name].dataType.simpleString()}"
+    schema = ", ".join([*map(kind, (by, "cx", "cy", r)), "dark long", "mask int"])
+
+    def run(batches):
+        for rows in whole_groups(batches, by):
+            faint = rows[dark_r].cast(pa.int64()).fill_null(-1).to_numpy()
+            *key, dark = darkness_of(*[numbers(rows, n) for n in (by, "cx", "cy", r)], faint, shifts)
+            radii, place = np.unique(key[-1], return_inverse=True)
+            mask = np.array([(2 * lines(np.zeros(1, np.int64), v[None], -v, v)[2] + 1).sum() for v in radii])
+            arrays = [pa.array(v).cast(rows.schema.field(n).type) for n, v in zip((by, "cx", "cy", r), key)]
+            yield from pa.Table.from_arrays([*arrays, pa.array(dark), pa.array(mask[place], pa.int32())], [by, "cx", "cy", r, "dark", "mask"]).to_batches(50_000)
+
+    return discs.select(by, "cx", "cy", r, dark_r).mapInArrow(run, schema)

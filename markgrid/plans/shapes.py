@@ -54,8 +54,12 @@ def anchor_marks(spark, d):
 
 def disc_darkness(spark, d):
     """The darkness under each circle of a sheet: dark pixels, the best of eleven places sideways, and pixels in all."""
-    rows = circles(spark, d)
-    return runs.disc_darkness(rows, runs.dark_runs(rows.withColumn("rd", dark_radius()), ["sheet"], "rd"), ["sheet"], "r")
+    rows = circles(spark, d).where("r IS NOT NULL").withColumn("rd", dark_radius())
+    placed = F.col("sheet").isNotNull() & F.col("cx").isNotNull() & F.col("cy").isNotNull()
+    key = ["sheet", "cx", "cy", "r"]
+    found = pages.disc_darkness(pages.by_page(rows.where(placed).select(*key, "rd"), "sheet"), "sheet", "r", "rd")
+    # a circle without a sheet or a place is over nothing dark
+    return found.union(rows.where(~placed).select(*key).distinct().select(*key, F.lit(0).cast("long").alias("dark"), runs.disc_pixels(F.col("r")).alias("mask")))
 
 
 QUERIES = {f.__name__: f for f in (page_blobs, largest_blob, blob_solidity, disc_darkness)}

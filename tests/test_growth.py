@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from markgrid import catalog
 from markgrid.functions.columns import choice_label
-from markgrid.operators import blobs, layout, pages
+from markgrid.operators import blobs, layout, pages, runs
 from markgrid.operators import geometry as geo
 from markgrid.plans import grid
 from markgrid.sources import templates as t
@@ -90,7 +90,7 @@ def test_groups_stay_whole():
     assert sum(got, []) == flat and all(a[-1] != b[0] for a, b in zip(got, got[1:])) and len(got) > 2
 
 
-@pytest.mark.parametrize("name, most", [("blob_solidity", 1.5), ("anchor_candidates_top12", 1.5), ("anchor_quad", 1.5)])
+@pytest.mark.parametrize("name, most", [("blob_solidity", 1.5), ("anchor_candidates_top12", 1.5), ("anchor_quad", 1.5), ("disc_darkness", 1.5), ("page_alignment", 3), ("aligned_circles", 4), ("page_blobs", 1.5), ("largest_blob", 1.5)])
 def test_pages_move_discs_once(spark, sf_dir, name, most):
     assert moved(spark, sf_dir, name) < most
 
@@ -106,3 +106,21 @@ def test_quads_in_blocks():
         assert (area == want[1]).all() and (best == want[0]).all()
     square = np.array([[0, 400, 400, 0, 0, 400]]), np.array([[0, 0, 400, 400, 0, 0]])
     assert layout.quads_of(*square, 1.0, 0.7)[0].tolist() == [[0, 1, 2, 3]]
+
+
+def test_darkness_kernel_is_the_table_one(spark, monkeypatch):
+    """Darkness under discs by whole pages, in blocks of any size, with doubles, light discs and crowded pages: as by joins of lines."""
+    r = random.Random(11)
+    rows = [(p, r.randrange(70), r.randrange(70), r.randrange(1, 9), r.choice([None, 0, 1, 3, 6, 9])) for p in (-3, 1, 2) for _ in range(40)]
+    rows += rows[:5] + [(9, 4, 4, 3, None)]
+    df = spark.createDataFrame(rows, "page int, cx int, cy int, r int, rd int")
+    old = runs.disc_darkness(df.drop("rd"), runs.dark_runs(df.where("rd IS NOT NULL"), ["page"], "rd"), ["page"], "r")
+    want = rows_of(old)
+    assert rows_of(pages.disc_darkness(pages.by_page(df, "page"), "page", "r", "rd")) == want
+    whole = [np.array(v) for v in zip(*sorted((p, x, y, a, -1 if b is None else b) for p, x, y, a, b in rows))]
+    plain = [v.tolist() for v in pages.darkness_of(*whole, 5)]
+    for block in (1, 9, 500):
+        for name in ("blocks", "bands"):
+            monkeypatch.setattr(pages, name, lambda *a, f=vars(pages)[name], **b: f(*a, most=block))
+        assert [v.tolist() for v in pages.darkness_of(*whole, 5)] == plain
+        monkeypatch.undo()
