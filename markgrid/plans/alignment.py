@@ -60,7 +60,7 @@ def page_alignment(spark, d):
 def aligned_circles(spark, d):
     """The circles of each page on the aligned page."""
     x, y = taken(F.col("cx"), F.col("cy"))
-    rows = paged(spark, d).select("page", "sheet", "q", "cx", "cy").distinct()
+    rows = paged(spark, d).select("page", "sheet", "q", "cx", "cy").repartition("page").distinct()  # dealt once, for the join too
     return rows.join(page_maps(spark, d), "page").select("sheet", "q", "cx", "cy", x.alias("x"), y.alias("y"))
 
 
