@@ -1,7 +1,8 @@
 """Operators that place things on a sheet: spans and bars, columns, row lattices, anchor quads and boxes.
 
 A sheet has a bounded number of detections, so each is gathered into sorted arrays once, and the
-rules are array expressions inside the JVM; quads are tried in NumPy, over many pages at once.
+rules are array expressions inside the JVM; quads and lattices are tried in NumPy, over
+many pages at once.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import half_even
+from . import pages
 
 
 def inside(width: int, height: int) -> Column:
@@ -63,28 +65,91 @@ def median_of(values: Column) -> Column:
     return (middle(F.size(values) - 1) + middle(F.size(values))) / F.lit(2.0)
 
 
-def fit_lattice(centres: DataFrame, by: str, rows: int, y0: int, y1: int, noise: int = 5, reach: int = 12) -> DataFrame:
-    """by, pitch, row0, quality, lattice from row centres (by, col, y) of all columns of a sheet.
+def medians(g: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The groups that have values, in order, and the median of each."""
+    order = np.lexsort((values, g))
+    g, values = g[order], values[order]
+    first = np.flatnonzero(pages.changes(g)) if len(g) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(g)))
+    return g[first], (values[first + (n - 1) // 2] + values[first + n // 2]) / 2.0
+
+
+def first_rows(g: np.ndarray, y: np.ndarray, pitch: np.ndarray, rows: int) -> np.ndarray:
+    """row0 of each group 0, 1, .. of centres (g, y, by g) with a pitch: the first try of the least sum of distances.
+
+    Between the places where a row meets a centre the sum is concave, so the first least try is the first or last of all, or next to
+    such a place: where those are fewer than the tries, only they are summed."""
+    start = np.flatnonzero(pages.changes(g))
+    size = np.diff(np.append(start, len(g)))
+    low, tries = np.minimum.reduceat(y, start) - pitch / 2, np.ceil(pitch + 1).astype(np.int64)
+    off = y - low[g]
+    meets = [off - np.clip(np.floor((off + 1) / pitch[g]) - back, 0, rows - 1) * pitch[g] for back in range(3)]
+    near = np.clip(np.stack([cut(v) for v in meets for cut in (np.floor, np.ceil)], axis=1).astype(np.int64), 0, tries[g][:, None] - 1).ravel()
+    few = 6 * size + 2 < tries
+    counts = np.where(few, 6 * size + 2, tries)
+    row0 = np.empty(len(pitch))
+    for part in pages.blocks(counts * size):
+        group, k = pages.spread_out(counts[part])
+        heads = np.flatnonzero(k == 0)
+        group += part.start
+        left = 6 * size[group] - k
+        picked = np.where(left > 0, near[np.minimum(6 * start[group] + k, len(near) - 1)], np.where(left == 0, 0, tries[group] - 1))
+        k = np.where(few[group], picked, k)
+        at = low[group] + k
+        one, place = pages.spread_out(size[group])
+        away, step = y[start[group[one]] + place] - at[one], pitch[group[one]]
+        far = np.abs(away - np.clip(np.floor(away / step + 0.5), 0, rows - 1) * step)
+        total = np.add.reduceat(far, np.cumsum(size[group]) - size[group])
+        least = np.minimum.reduceat(total, heads)
+        row0[part] = low[part] + np.minimum.reduceat(np.where(total == least[group - part.start], k, tries[group]), heads)
+    return row0
+
+
+def fit_lattice(centres: DataFrame, by: str, rows: int, y0: int, y1: int, noise: int = 5, reach: int = 12, once: bool = False) -> DataFrame:
+    """by, pitch, row0, quality, lattice from row centres (by, col, y; whole numbers, neither col nor y null) of all columns of a
+    sheet; with once, equal ones count once.
 
     The pitch is the median over columns of the median step of over `noise` between neighbouring
     centres; row0 is, in steps of one pixel over half a pitch to each side of the topmost centre, the
     first with the least sum of distances to the nearest of `rows` rows; quality is the share of
-    centres within reach of a row. Without a pitch of `noise`: uniform rows, quality 0."""
-    step = F.lead("y").over(Window.partitionBy(by, "col").orderBy("y")) - F.col("y")
-    steps = centres.withColumn("step", step)
-    columns = steps.groupBy(by, "col").agg(F.median(F.when(F.col("step") > noise, F.col("step"))).alias("own"), F.collect_list("y").alias("ys"))
-    held = columns.groupBy(by).agg(F.median("own").alias("pitch"), F.array_sort(F.flatten(F.collect_list("ys"))).alias("ys"))
-    pitch, last = F.col("pitch"), F.lit(rows - 1)
-    place = lambda y, row0: F.greatest(F.lit(0), F.least(last, F.floor((y - row0) / pitch + 0.5)))
-    far = lambda y, row0: F.abs(y - (row0 + place(y, row0) * pitch))
-    total = lambda row0: F.aggregate("ys", F.lit(0.0), lambda acc, y: acc + far(y, row0))
-    first = F.get("ys", F.lit(0)) - pitch / 2
-    tries = F.transform(F.sequence(F.lit(0), F.ceil(pitch + 1).cast("int") - 1), lambda k: F.struct(total(first + k).alias("err"), (first + k).alias("row0")))
-    fitted = held.withColumn("row0", F.when(pitch >= noise, F.array_min(tries)["row0"]))
-    lattice = F.transform(F.sequence(F.lit(0), last), lambda i: half_even(F.col("row0") + i * pitch))
-    fitted = fitted.withColumn("lattice", F.when(F.col("row0").isNull(), uniform_rows(F.lit(float(y0)), F.lit(float(y1)), F.lit(rows))).otherwise(lattice))
-    near = F.size(F.filter("ys", lambda y: F.exists("lattice", lambda v: F.abs(y - v) <= reach)))
-    return fitted.select(by, "pitch", "row0", F.when(F.col("row0").isNull(), F.lit(0.0)).otherwise(near / F.size("ys").cast("double")).alias("quality"), "lattice")
+    centres within reach of a row. Without a pitch of `noise`: uniform rows, quality 0. Many sheets are
+    fitted at once in NumPy; pitches are quarters of a pixel, so sums of distances are exact in any order."""
+    uniform = np.rint(y0 + (np.arange(rows) + 0.5) * (float(y1 - y0) / rows)).astype(np.int32)
+
+    def run(batches):
+        for table in pages.whole_groups(batches, by):
+            key, unknown = pages.keys(table, by)
+            g = np.cumsum(pages.changes(key, unknown)) - 1
+            heads = np.flatnonzero(pages.changes(g))
+            col, y = pages.numbers(table, "col"), pages.numbers(table, "y")
+            order = np.lexsort((y, col, g))
+            g, col, y = g[order], col[order], y[order]
+            if once:
+                new = pages.changes(g, col, y)
+                g, col, y = g[new], col[new], y[new]
+            step = np.diff(y)
+            some = np.flatnonzero((g[1:] == g[:-1]) & (col[1:] == col[:-1]) & (step > noise))
+            column = np.cumsum(pages.changes(g, col)) - 1
+            of, own = medians(column[some], step[some])
+            first = np.flatnonzero(pages.changes(column))
+            with_pitch, found = medians(g[first[of]], own)
+            n = len(heads)
+            pitch, row0 = np.full(n, np.nan), np.full(n, np.nan)
+            pitch[with_pitch] = found
+            fit = np.flatnonzero(pitch >= noise)
+            mine = np.isin(g, fit)
+            if len(fit):
+                row0[fit] = first_rows(np.searchsorted(fit, g[mine]), y[mine], pitch[fit], rows)
+            lattice = np.tile(uniform, (n, 1))
+            lattice[fit] = np.rint(row0[fit][:, None] + np.arange(rows) * pitch[fit][:, None]).astype(np.int32)
+            near = (np.abs(y[:, None] - lattice[g]) <= reach).any(axis=1)
+            quality = np.where(np.isnan(row0), 0.0, np.bincount(g, near, n) / np.bincount(g, minlength=n))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * rows + 1, rows), pa.int32()), pa.array(lattice.ravel()))
+            arrays = [pa.array(key[heads], mask=unknown[heads]).cast(table.schema.field(by).type), pa.array(pitch, mask=np.isnan(pitch)), pa.array(row0, mask=np.isnan(row0)), pa.array(quality), lists]
+            yield from pa.Table.from_arrays(arrays, [by, "pitch", "row0", "quality", "lattice"]).to_batches(10_000)
+
+    kind = centres.schema[by].dataType.simpleString()
+    return pages.by_page(centres.select(by, "col", "y"), by).mapInArrow(run, f"{by} {kind}, pitch double, row0 double, quality double, lattice array<int>")
 
 
 def quads_of(x: np.ndarray, y: np.ndarray, least_area: float, squareness: float, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:

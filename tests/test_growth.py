@@ -1,5 +1,6 @@
 """What queries move between tasks stays a small multiple of their input."""
 
+import math
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from markgrid import catalog
+from markgrid.functions import extensions
 from markgrid.functions.columns import choice_label
 from markgrid.operators import blobs, layout, pages, runs
 from markgrid.operators import geometry as geo
@@ -124,3 +126,23 @@ def test_darkness_kernel_is_the_table_one(spark, monkeypatch):
             monkeypatch.setattr(pages, name, lambda *a, f=vars(pages)[name], **b: f(*a, most=block))
         assert [v.tolist() for v in pages.darkness_of(*whole, 5)] == plain
         monkeypatch.undo()
+
+
+def test_lattices_of_wide_pitch(spark, sf_dir):
+    """Few centres and many tries, in blocks too: the first least try of all; and what is moved is the centres once."""
+    r = np.random.default_rng(6)
+    for _ in range(300):
+        pitch, ys = float(r.integers(20, 1400)) / 4, np.sort(r.integers(0, 1060, r.integers(1, 7)))
+        tries = [ys[0] - pitch / 2 + k for k in range(math.ceil(pitch + 1))]
+        errors = [sum(min(abs(y - (at + i * pitch)) for i in range(12)) for y in ys.tolist()) for at in tries]
+        two = np.concatenate([ys, ys])
+        assert layout.first_rows(np.repeat([0, 1], len(ys)), two, np.array([pitch, pitch]), 12).tolist() == [tries[errors.index(min(errors))]] * 2
+    assert moved(spark, sf_dir, "lattice_fit") < 1.5
+
+
+def test_spreads_of_many_lists():
+    r = np.random.default_rng(8)
+    lists = [r.integers(0, 20, n).astype(float) for n in (0, 1, 4, 0, 7, 2, 1, 0)]
+    got = extensions.spreads(np.concatenate(lists), np.array([len(v) for v in lists]))
+    assert [None if math.isnan(x) else x for x in got] == [float(np.median(np.abs(v - np.median(v)))) if len(v) else None for v in lists]
+    assert np.isnan(extensions.spreads(np.zeros(0), np.array([0, 0]))).all()
