@@ -24,7 +24,7 @@ def lateral_bubbles(spark, d):
 def fill_spread(spark, d):
     """The median absolute deviation of the fills of each sheet."""
     extensions.register(spark)
-    return spark.sql("SELECT sheet, spread(fill) AS spread FROM {c} GROUP BY sheet", c=circles(spark, d).select("sheet", "fill"))
+    return spark.sql("SELECT sheet, nanvl(spread_of_list(fills), NULL) AS spread FROM (SELECT sheet, collect_list(fill) AS fills FROM {c} GROUP BY sheet)", c=circles(spark, d).select("sheet", "fill"))
 
 
 def labelled(spark, d):
